@@ -66,3 +66,8 @@ def slices(batch, column: str, most_bytes: int = 4_000_000):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` (a stored table) to be broadcast if it has few rows; beyond that Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored, table
+from .common import lower_ascii, small, stored, table
 
 #: Each level groups on one key more; only rows in groups of two or more reach the next.
 LEVELS = (["n_bytes"], ["n_bytes", "prefix_hash"], ["n_bytes", "prefix_hash", "text_sha256"])
@@ -55,6 +55,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`exact_dedup` drops; rows with a null id stay."""
+    found = exact_dedup(docs, id_col, text_col)
+    gone = stored(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id", "text_sha256").distinct(), "dedup-gone")
+    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.sha2(text, 256)})
+    match = (F.col("__id") == F.col("doc_id_gone")) & (F.col("__hash") == F.col("hash_gone"))
+    gone = small(gone.select(F.col("doc_id").alias("doc_id_gone"), F.col("text_sha256").alias("hash_gone")))
+    return keyed.join(gone, match, "left_anti").drop("__id", "__hash")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
