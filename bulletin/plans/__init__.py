@@ -1 +1,4 @@
+"""All registered queries.  Importing this package registers them."""
 
+from . import catalogue, reports  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
