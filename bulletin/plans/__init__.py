@@ -1,4 +1,4 @@
 """All registered queries.  Importing this package registers them."""
 
-from . import catalogue, reports, retrieval, scheduling  # noqa: F401
+from . import catalogue, ingest, reports, retrieval, rules, scheduling  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
