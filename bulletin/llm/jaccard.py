@@ -2,9 +2,9 @@
 
 All n-grams have one global order, rare ones first, which is cut into fragments.  The first
 fragment of a document is its prefix, among whose n-grams any similar document shares one; it
-gives candidate pairs and a first partial count with positions, from which an upper bound of the
-overlap follows.  For the pairs that can still reach the threshold the overlaps in the fragments
-of the whole order are counted separately and summed.
+gives candidate pairs and, from how many of its n-grams others share, an upper bound of their
+overlap.  For the pairs that can reach the threshold the overlaps in the fragments of the whole
+order are counted separately and summed.
 
 Equal sets are one class from the start.  Copies in large numbers never make all pairs: an
 n-gram's list is first joined with one class of it (a star) and what that links is contracted to
@@ -14,6 +14,8 @@ round forms all of those, so no link is lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,23 +29,40 @@ FREQUENT = 4 << 60
 MAX_STARS = 8
 
 
-def close_sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def can_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
+    """Whether two classes with this n-gram as the first that their prefixes share can link.
+
+    Up to where the earlier ending prefix ends, both prefixes hold all of their sets, so the
+    overlap is at most that class's reach: what is live in its prefix from here on and all behind.
+    """
+    most = F.when(a("last") <= b("last"), a("reach")).otherwise(b("reach"))
+    n = a("n") + b("n")
+    return (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & ((100 + percent) * most >= percent * n)
 
 
-def live_postings(sets: DataFrame) -> DataFrame:
-    """(token, set_id, n, pos) of the prefix n-grams that at least two classes share."""
-    rows = sets.where("n_shingles > 0").select(
-        "set_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")
-    )
+def live_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """The prefix n-grams that at least two classes share.
+
+    ``token``, ``set_id``, ``n`` (size), ``last`` (the prefix's last n-gram), ``reach`` (an upper
+    bound of the overlap with a class that shares nothing before) and ``shared`` (live share).
+    """
+    rows = sets.where("n_shingles > 0").select("set_id", F.explode("prefix").alias("token"))
     rare, frequent = rows.where(F.col("token") < FREQUENT), rows.where(F.col("token") >= FREQUENT)
-    ends = lambda w: (F.min("set_id").over(w), F.max("set_id").over(w))
-    lo, hi = ends(Window.partitionBy("token"))
-    rare = rare.select("*", lo.alias("lo"), hi.alias("hi")).where("lo < hi").drop("lo", "hi")
-    shared = frequent.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi")
-    frequent = frequent.join(shared.select("token"), "token", "left_semi")
-    columns = ["token", "set_id", "n", "pos"]
-    return rare.select(columns).distinct().union(frequent.select(columns).distinct())
+    w = Window.partitionBy("token")
+    rare = rare.select("*", F.min("set_id").over(w).alias("lo"), F.max("set_id").over(w).alias("hi")).where("lo < hi").drop("lo", "hi")
+    ends = frequent.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi")
+    frequent = frequent.join(ends.select("token"), "token", "left_semi")
+    columns = ["token", "set_id"]
+    live = stored(rare.select(columns).distinct().union(frequent.select(columns).distinct()), "jaccard-live")
+    shapes = sets.where("n_shingles > 0").groupBy("set_id").agg(
+        F.max(F.col("n_shingles")).cast("int").alias("n"), F.max(F.element_at("prefix", -1)).alias("last")
+    )
+    own = Window.partitionBy("set_id")
+    place, held = F.row_number().over(own.orderBy("token")), F.count(F.lit(1)).over(own).cast("int")
+    behind = F.floor((percent * F.col("n") + 99) / 100).cast("int") - 1
+    return live.join(shapes, "set_id").select(
+        "token", "set_id", "n", "last", (held - place + 1 + behind).alias("reach"), (held / F.col("n")).alias("shared")
+    )
 
 
 def star_pairs(live: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -53,20 +72,15 @@ def star_pairs(live: DataFrame, turn: int, percent: int) -> DataFrame:
     later ones are random.
     """
     order = -F.col("shared") if turn == 0 else F.xxhash64("set_id", F.lit(turn)).cast("double")
+    hub = F.struct(order.alias("o"), F.xxhash64("set_id").alias("r"), "set_id", "n", "last", "reach", "comp")
     hubs = (
-        live.groupBy("token")
-        .agg(
-            F.min(F.struct(order.alias("o"), F.xxhash64("set_id").alias("r"), "set_id", "n", "comp")).alias("hub"),
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-        )
-        .where("lo < hi")
+        live.groupBy("token").agg(F.min(hub).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     )
     pairs = live.join(hubs.select("token", "hub"), "token").where(
-        (F.col("comp") != F.col("hub.comp")) & close_sizes(F.col("n"), F.col("hub.n"), percent)
+        (F.col("comp") != F.col("hub.comp")) & can_link(F.col, lambda c: F.col(f"hub.{c}"), percent)
     )
     return pairs.select(
-        F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")
+        F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b"), (F.col("n") + F.col("hub.n")).alias("n")
     ).distinct()
 
 
@@ -79,35 +93,18 @@ def open_pairs(live: DataFrame) -> int:
 
 
 def rest_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that share a list."""
+    """All pairs of classes of different components that share a list and can link."""
     ends = live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    still = live.join(ends.select("token"), "token", "left_semi").select("token", "set_id", "n", "comp")
-    left = still.select("token", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "comp")))
+    still = live.join(ends.select("token"), "token", "left_semi").drop("shared")
+    left = still.select("token", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "last", "reach", "comp")))
     return (
         left.join(still, "token")
-        .where((F.col("l_comp") < F.col("comp")) & close_sizes(F.col("l_n"), F.col("n"), percent))
-        .select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b"))
+        .where((F.col("l_comp") < F.col("comp")) & can_link(F.col, lambda c: F.col(f"l_{c}"), percent))
+        .select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b"), (F.col("l_n") + F.col("n")).alias("n"))
         .distinct()
     )
 
 
-def prefix_survivors(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the count of the prefix fragment leaves possible.
-
-    With c shared n-grams there, the last at places i and j, the overlap is at most c and what
-    follows; a pair of prefixes whose last shared n-gram is in a longer prefix is counted the same.
-    """
-    side = lambda k, n, i: live.select("token", F.col("set_id").alias(k), F.col("n").alias(n), F.col("pos").alias(i))
-    counted = (
-        pairs.join(side("a", "na", "i"), "a")
-        .join(side("b", "nb", "j"), ["b", "token"])
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    )
-    most = F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
-    return counted.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b", "na", "nb")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, order, size: int, percent: int, fragments: int) -> DataFrame:
     """The pairs that link: overlaps are counted in each fragment and summed per pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id").select("doc_id", "set_id")
@@ -121,9 +118,9 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, order, size
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), ["b", "fragment"])
-        .groupBy("a", "b", "na", "nb")
+        .groupBy("a", "b", "n")
         .agg(overlap)
-        .where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+        .where((100 + percent) * F.col("overlap") >= percent * F.col("n"))
         .select("a", "b")
     )
 
@@ -145,10 +142,7 @@ def near_duplicates(
     order = shingles.frequency_classes(texts, size)
     sets = stored(shingles.prefixes(texts, order, size, percent), "jaccard-sets")
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    live = live_postings(sets)
-    live = stored(live, "jaccard-live")
-    share = live.groupBy("set_id").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
-    base = stored(live.join(share, "set_id"), "jaccard-postings")
+    base = stored(live_postings(sets, percent), "jaccard-postings")
     links, labels = spark.createDataFrame([], "a long, b long"), None
     turn, before = 0, None
     while True:
@@ -160,8 +154,7 @@ def near_duplicates(
         if not left:
             break
         last = left <= 3 * base.count() and turn > 0 or turn >= MAX_STARS or before is not None and left > 0.8 * before
-        pairs = rest_pairs(tagged, percent) if last else star_pairs(tagged, turn, percent)
-        pairs = stored(prefix_survivors(stored(pairs, "jaccard-pairs"), live, percent), "jaccard-survivors")
+        pairs = stored(rest_pairs(tagged, percent) if last else star_pairs(tagged, turn, percent), "jaccard-pairs")
         links = stored(links.union(verified(pairs, texts, classes, order, size, percent, fragments)), "jaccard-links")
         labels = components(links)
         if last:

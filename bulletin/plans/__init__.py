@@ -1,4 +1,4 @@
 """All registered queries.  Importing this package registers them."""
 
-from . import catalogue, ingest, reports, retrieval, rules, scheduling, texts  # noqa: F401
+from . import accounts, catalogue, documents, ingest, reports, retrieval, rules, scheduling, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
