@@ -59,12 +59,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent_words(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most`` of up to 64 bytes, in order of count.
+    """The most frequent words, at most ``most`` of up to 64 bytes without the end token, in order of count.
 
     A histogram of logarithmic count classes gives the least count, so only these rows are read.
     """
     step = F.floor(F.log2("c") * 16)
-    short = vocabulary.where(F.octet_length("word") <= LONGEST_WORD)
+    short = vocabulary.where(F.octet_length("word").between(1, LONGEST_WORD))
     sizes = short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
     least, total = None, 0
     for row in sizes:
@@ -282,10 +282,10 @@ def fit(rows: DataFrame, words: list[bytes], counts: np.ndarray, totals: tuple[i
     pairs[found["code"].to_numpy()] = found["n"].to_numpy()
     in_class = np.bincount(classes[:m], weights=counts, minlength=c)
     n, v = totals
-    rare_tokens, rare_words = n - int(counts.sum()), v - m
+    rare_tokens, rare_words = n - int(counts.sum()), v - int((counts > 0).sum())
     # Words that no neighbour placed share the last class with those beyond the table.
-    last = (classes[:m] == c - 1).nonzero()[0]
-    rare_tokens, rare_words = rare_tokens + int(counts[last].sum()), rare_words + len(last)
+    last = ((classes[:m] == c - 1) | (counts == 0)).nonzero()[0]
+    rare_tokens, rare_words = rare_tokens + int(counts[last].sum()), rare_words + int((counts[last] > 0).sum())
     with np.errstate(divide="ignore"):
         log_word = np.log10(counts / np.maximum(in_class[classes[:m]], 1))
     log_word[last] = np.log10((counts[last] + 0.5) / (rare_tokens + 0.5 * (rare_words + 1)))
@@ -303,7 +303,7 @@ def score(rows: DataFrame, vocabulary: DataFrame, model: BrownModel) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         base = np.append(np.log10((m.counts + 0.5) / (m.train_tokens + 0.5 * (m.vocabulary_size + 1))), 0.0)
-        word = np.append(m.log_word, 0.0)
+        word, seen = np.append(m.log_word, 0.0), np.append(m.counts > 0, False)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -317,7 +317,7 @@ def score(rows: DataFrame, vocabulary: DataFrame, model: BrownModel) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"), batch.column("doc_id"), batch.column("learn"), pa.array(ends - starts, pa.int64()),
-                    pa.array(total((ids < len(m.words)).astype(np.int64))), pa.array(total(base[ids])),
+                    pa.array(total(seen[ids].astype(np.int64))), pa.array(total(base[ids])),
                     pa.array(total(m.log_next[first, classes] + word[ids])),
                 ],
                 schema=schema,
@@ -367,10 +367,9 @@ def score_texts(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_col).alias("text")
     )
     vocabulary = stored(word_counts(texts.where("learn")), "brown-words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = frequent_words(vocabulary, table_words)
-    ends = dict(top).get(END, 0)
-    top = [(END, ends), *(x for x in top if x[0] != END)]
+    end_count = F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))
+    n, v, ends = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), end_count).first()
+    top = [(END, ends), *frequent_words(vocabulary, table_words)]
     words, counts = [w for w, _ in top], np.array([c for _, c in top], dtype=np.int64)
     rows = stored(sequences(texts, words), "brown-sequences")
     return score(rows, vocabulary, fit(rows, words, counts, (n, v), n_classes, clustered))
