@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, text_bytes
-from .pieces import PieceEncoder
+from .pieces import PLAIN, WORDS_WITH_SPACE, parts
 
 #: One step contracts one pair a word.  state: word << 32 | position, token; live until the fixpoint.
 LEFTMOST = """
@@ -79,7 +79,7 @@ class BytePairs:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.split = regex.compile(pattern).findall
+        self.pattern, self.split = pattern, regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         self.con.execute("SET enable_progress_bar = false")
@@ -97,7 +97,6 @@ class BytePairs:
             self.con.execute(f"CREATE TABLE {name} AS FROM new_rows")
             self.con.unregister("new_rows")
         self.words: dict[str, bytes] = {}
-        self.pieces = PieceEncoder(self.encode_pieces)
 
     def contract(self, words: list[bytes], query: str) -> list[bytes]:
         """Ids of each word, as buffers of unsigned 32-bit integers."""
@@ -137,15 +136,21 @@ class BytePairs:
                     start, held = i + 1, 0
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        split = [self.split(p) for p in pieces]
-        if len(self.words) > 100_000:
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the words that are not known yet are contracted together."""
+        split = [[self.words_of(p) for p in parts(t)] for t in texts]
+        if len(self.words) > 300_000:
             self.words = {}
-        new = {w for words in split for w in words}.difference(self.words)
-        ids = self.encode_words(list(new))
-        known = self.words | ids
-        self.words.update((w, x) for w, x in ids.items() if len(w) <= self.KEPT)
-        return [b"".join(known[w] for w in words) for words in split]
+        known = self.words
+        new = {w for chunks in split for words in chunks for w in words}.difference(known)
+        long = {w: x for w, x in self.encode_words(list(new)).items() if len(w) > self.KEPT or known.setdefault(w, x) is None}
+        look = (lambda w: known.get(w) or long[w]) if long else known.__getitem__
+        return [b"".join([b"".join(map(look, words)) for words in chunks]) for chunks in split]
+
+    def words_of(self, text: str) -> list[str]:
+        if self.pattern == public_tokenizers.PATTERN and PLAIN.fullmatch(text):
+            return WORDS_WITH_SPACE.findall(text)
+        return self.split(text)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -184,7 +189,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         pairs = model(path, words)
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids = pairs.pieces([str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()])
+                ids = pairs.encode_texts([str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=IDS)

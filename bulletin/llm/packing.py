@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table, text_bytes
-from .pieces import tokenizer_pieces
+from .pieces import tokenizer_words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema(
@@ -93,7 +93,7 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_pieces(path)
+        encode = tokenizer_words(path)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -1,79 +1,112 @@
-"""Token ids of whole texts through a bounded memory of space-delimited pieces.
+"""Token ids of whole texts through a bounded memory of distinct words.
 
-A space that is followed by a non-space always begins a new pre-token in the vocabularies used
-here (the pattern's classes take at most one leading space, white-space runs stop before the
-last one), so a text can be cut there, each distinct piece encoded once, and the ids joined.
+A space that is followed by a non-space always begins a new word in the vocabularies used here
+(the pattern's classes take at most one leading space, white-space runs stop before the last
+one), so long texts can be cut there, and words that are found once need not be encoded again.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Iterator
 
 CUT = re.compile(r" (?=\S)")
-
-
-class PieceEncoder:
-    """Encode texts piece by piece.
-
-    ``encode`` maps a list of strings to a list of id buffers (unsigned 32-bit, little-endian).
-    Two generations of at most ``generation`` pieces are kept; pieces of more than ``longest``
-    characters are encoded but not kept.
+#: Characters for which Python's own expressions find the same words as the vocabularies' patterns:
+#: printable ASCII, tab, line breaks and the Latin letters of the first 256 code points.
+PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORDS_WITH_SPACE = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+WORDS_LOWER = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+
+
+def parts(text: str, most: int = 1_000_000) -> Iterator[str]:
+    """The text in parts of about ``most`` characters, cut where a word begins."""
+    start = 0
+    while len(text) - start > most and (cut := CUT.search(text, start + most)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet by its rule: printable Latin-1 bytes are themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+class TokenizerWords(dict):
+    """Ids (unsigned 32-bit, little-endian) of distinct words by a ``tokenizers`` file.
+
+    Plain texts are split into words by the file's pattern and each distinct word goes to its BPE
+    model; in other texts the space-delimited pieces with other characters go through the whole
+    tokenizer.  Words of up to ``longest`` characters are kept, at most two generations of
+    ``generation`` each.  Strings of special tokens inside a text count as ordinary text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], generation: int = 250_000, longest: int = 64):
-        self.encode, self.generation, self.longest = encode, generation, longest
-        self.now: dict = {}
-        self.before: dict = {}
+    def __init__(self, path: str, generation: int = 300_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.tokenize = self.whole.model.tokenize
+        self.lower = self.whole.normalizer is not None
+        self.split = (WORDS_LOWER if self.lower else WORDS_WITH_SPACE).findall
+        alphabet = byte_alphabet()
+        self.table = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in [9, 10, 13, *range(32, 127), *range(192, 256)]}
+        self.generation, self.longest = generation, longest
+        self.before: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(word.translate(self.table))]).tobytes()
+        if len(word) <= self.longest:
+            self[word] = ids
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text.lower() if self.lower else text)))
+
+    def mixed(self, text: str) -> bytes:
+        out, first = [], True
+        for piece in CUT.split(text):
+            piece = piece if first else " " + piece
+            first = False
+            if PLAIN.fullmatch(piece):
+                out.append(self.plain(piece))
+                continue
+            ids = self.odd.get(piece)
+            if ids is None:
+                ids = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+                if len(piece) <= self.longest:
+                    self.odd[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.now) > self.generation:
-            self.now, self.before = {}, self.now
-        known, cut = self.now, []
-        wanted: set = set()
+        out = []
         for text in texts:
-            parts = CUT.split(text)
-            parts[0] = (parts[0],)  # no space before it
-            cut.append(parts)
-            wanted |= set(parts).difference(known)
-        fresh = []
-        for piece in wanted:
-            if (ids := self.before.get(piece)) is not None:
-                known[piece] = ids
-            else:
-                fresh.append(piece)
-        ids = self.encode([p[0] if isinstance(p, tuple) else " " + p for p in fresh])
-        known.update(zip(fresh, ids))
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for piece in fresh:
-            if len(piece if isinstance(piece, str) else piece[0]) > self.longest:
-                del known[piece]
+            out.append(b"".join([self.plain(p) if PLAIN.fullmatch(p) else self.mixed(p) for p in parts(text)]))
+            if len(self) > self.generation:
+                self.before = dict(self)
+                self.clear()
+            if len(self.odd) > self.generation:
+                self.odd.clear()
         return out
 
 
-_LOADED: dict[str, PieceEncoder] = {}
-
+_LOADED: dict[str, TokenizerWords] = {}
 
-def tokenizer_pieces(path: str) -> PieceEncoder:
-    """The encoder for a ``tokenizers`` file, loaded once in each Python worker.
 
-    Strings of special tokens inside a text count as ordinary text.
-    """
+def tokenizer_words(path: str) -> TokenizerWords:
+    """The encoder for a ``tokenizers`` file, loaded once in each Python worker."""
     if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(pieces), 5000):
-                for e in model.encode_batch_fast(pieces[i : i + 5000], add_special_tokens=False):
-                    out.append(np.array(e.ids, dtype="<u4").tobytes())
-            return out
-
-        _LOADED[path] = PieceEncoder(encode)
+        _LOADED[path] = TokenizerWords(path)
     return _LOADED[path]

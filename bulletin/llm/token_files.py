@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, table, text_bytes
-from .pieces import tokenizer_pieces
+from .pieces import tokenizer_words
 
 LIST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Parquet settings by encoding of the list's values.
@@ -32,7 +32,7 @@ def encode_lists(docs: DataFrame, id_col: str, text_col: str, path: str, end_id:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_pieces(path)
+        encode = tokenizer_words(path)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()]
