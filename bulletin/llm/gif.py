@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .common import slices, table, text_bytes
 
@@ -42,10 +43,10 @@ def to_bits(codes: list[int], mask: np.ndarray) -> np.ndarray:
     return np.unpackbits(raw, axis=1, bitorder="little")[mask[: len(codes)]]
 
 
-def from_bits(bits: np.ndarray, mask: np.ndarray) -> list[int]:
+def from_bits(bits: np.ndarray, mask: np.ndarray) -> np.ndarray:
     spread = np.zeros(mask.shape, np.uint8)
     spread[mask] = bits
-    return np.packbits(spread, axis=1, bitorder="little").view("<u2")[:, 0].tolist()
+    return np.packbits(spread, axis=1, bitorder="little").view("<u2")[:, 0].astype(np.int64)
 
 
 def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
@@ -55,15 +56,14 @@ def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
     bits = [to_bits([clear], mask)]
     run: list[int] = []
     known: dict[int, int] = {}
-    find, keep = known.get, run.append
+    keep = run.append
     code = first
     samples = iter(data)
     prefix = next(samples, -1)
     for byte in samples:
         key = prefix << 8 | byte
-        longer = find(key)
-        if longer is not None:
-            prefix = longer
+        if key in known:
+            prefix = known[key]
             continue
         keep(prefix)
         known[key] = code
@@ -82,6 +82,35 @@ def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
     return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
 
 
+def spelled(codes: np.ndarray, min_size: int) -> bytes:
+    """What the codes of one run (without clear and end codes) spell, up to the first impossible one.
+
+    The k-th entry of the table is what the k-th code spells and the byte after it, so a code
+    copies bytes that stand before it in the output.  Lengths and bytes are found for all codes
+    together by pointer jumping.
+    """
+    clear = 1 << min_size
+    places = np.arange(len(codes))
+    literal = codes < clear
+    parent = codes - (clear + 2)
+    wrong = np.flatnonzero(~literal & ((parent < 0) | (parent >= places)))
+    if len(wrong):
+        codes, literal, parent, places = (x[: wrong[0]] for x in (codes, literal, parent, places))
+    n = len(codes)
+    lengths, jump = np.append(np.ones(n, np.int64), 0), np.append(np.where(literal, n, parent), n)
+    while (jump != n).any():
+        lengths += lengths[jump]
+        jump = jump[jump]
+    lengths = lengths[:n]
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(places, lengths)
+    at = np.arange(len(owner))
+    source = np.where(literal[owner], at, starts[np.where(literal, 0, parent)][owner] + at - starts[owner])
+    while (source != (further := source[source])).any():
+        source = further
+    return codes[owner[source]].astype(np.uint8).tobytes()
+
+
 def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
     """At most ``most`` indices from a code stream; a damaged stream ends where it breaks.
 
@@ -91,44 +120,29 @@ def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
     clear, end = 1 << min_size, (1 << min_size) + 1
     bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
     mask, starts = MASKS[min_size], STARTS[min_size]
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]  # the codes clear and end stand for nothing
     out: list[bytes] = []
     at, got = 0, 0
-    known, previous, tail = list(base), b"", False
     while got < most:
-        if tail:
-            n = min((len(bits) - at) // 12, 4096)
-            ends, cells = 12 * np.arange(n + 1), np.arange(16)[None, :].repeat(n, 0) < 12
-        else:
-            n = int(np.searchsorted(starts, len(bits) - at, "right")) - 1
-            ends, cells = starts, mask[:n]
-        if n <= 0:
-            break
-        codes = from_bits(bits[at : at + int(ends[n])], cells)
-        used, learn, emit, size = 0, known.append, out.append, len(known)
-        for code in codes:
-            used += 1
-            if code < size:
-                entry = known[code]
-                if not entry:  # clear or end
-                    break
-            elif code == size and previous:
-                entry = previous + previous[:1]
-            else:
-                code = end
+        run: list[np.ndarray] = []
+        stop = end
+        n = int(np.searchsorted(starts, len(bits) - at, "right")) - 1
+        ends, cells = starts, mask[: max(n, 0)]
+        while n > 0:
+            codes = from_bits(bits[at : at + int(ends[n])], cells)
+            marks = np.flatnonzero((codes == clear) | (codes == end))
+            used = int(marks[0]) if len(marks) else n
+            run.append(codes[:used])
+            at += int(ends[min(used + 1, n)])
+            if len(marks):
+                stop = int(codes[used])
                 break
-            emit(entry)
-            if previous and not tail:
-                learn(previous + entry[:1])
-                size += 1
-            previous = entry
-        got = sum(map(len, out))
-        at += int(ends[used])
-        if code == end:
+            n = min((len(bits) - at) // 12, 4096) if n == len(mask) or len(run) > 1 else 0
+            ends, cells = 12 * np.arange(n + 1), np.arange(16)[None, :].repeat(n, 0) < 12
+        if run:
+            out.append(spelled(np.concatenate(run), min_size))
+            got += len(out[-1])
+        if stop == end:
             break
-        tail = code != clear
-        if not tail:
-            known, previous = list(base), b""
     return b"".join(out)[:most]
 
 
@@ -215,8 +229,11 @@ def gif_decode(media: bytes) -> list[dict]:
             before = canvas.copy() if disposal == 3 else None
             area = canvas[top : top + h, left : left + w]
             shown = image[: area.shape[0], : area.shape[1]]
-            opaque = np.ones(shown.shape, bool) if clear_index is None else shown != clear_index
-            area[opaque] = full[shown[opaque]]
+            if clear_index is None:
+                area[:] = full[shown]
+            else:
+                opaque = shown != clear_index
+                area[opaque] = full[shown[opaque]]
             frames.append(
                 {"left": left, "top": top, "width": w, "height": h, "delay_cs": delay, "start_cs": clock, "disposal": disposal,
                  "canvas_width": canvas_w, "canvas_height": canvas_h, "canvas": canvas.copy(), "samples": area[:, :, 0].tobytes()}
@@ -274,8 +291,7 @@ def frames(rows: DataFrame, media_col: str = "media", canvas: bool = True) -> Da
     Each frame has its place, times, disposal, a 64-bin colour histogram, ``samples`` (the red
     channel of its area) and, if asked for, ``canvas`` (RGBA).  Null or foreign media have none.
     """
-    spark = rows.sparkSession
-    schema = rows.schema.add("frames", spark.range(0).selectExpr(f"CAST(NULL AS {FRAME}) AS f").schema[0].dataType)
+    schema = StructType([*rows.schema.fields, StructField("frames", DataType.fromDDL(FRAME))])
     names = [n for n in ("left top width height delay_cs start_cs disposal canvas_width canvas_height").split()]
 
     def row(frame: dict) -> dict:
