@@ -30,10 +30,13 @@ def decoded(content: Column) -> Column:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """One row per file: path, mime, n_bytes, file_hash, text (of text types), and why it is refused."""
+    """One row per file: path, mime, n_bytes, file_hash, text (of text types), and why it is refused.
+
+    Spark's reader leaves empty files out.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     kind = mime(F.col("content"), F.col("path"))
-    reason = F.when(F.col("length") > MOST_BYTES, "too large").when(F.col("length") == 0, "empty").when(F.col("mime").isNull(), "unknown type")
+    reason = F.when(F.col("length") > MOST_BYTES, "too large").when(F.col("mime").isNull(), "unknown type")
     return rows.withColumn("mime", kind).select(
         "path", "mime", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("file_hash"),
         F.when(F.col("mime").isin(TEXT_TYPES), decoded(F.col("content"))).alias("text"), reason.alias("refused"),
