@@ -29,104 +29,131 @@ FREQUENT = 4 << 60
 MAX_STARS = 8
 
 
+def behind(n: Column, percent: int) -> Column:
+    """Number of a class's n-grams that stand after its prefix."""
+    return F.floor((percent * n + 99) / 100).cast("int") - 1
+
+
+def of_first_ending(a: Callable[[str], Column], b: Callable[[str], Column], name: str) -> Column:
+    """The value of the class whose prefix ends first in the global order; the larger one where that is open."""
+    return F.when(a("last") < b("last"), a(name)).when(a("last") > b("last"), b(name)).otherwise(F.greatest(a(name), b(name)))
+
+
 def can_link(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
     """Whether two classes with this n-gram as the first that their prefixes share can link.
 
-    Up to where the earlier ending prefix ends, both prefixes hold all of their sets, so the
+    Up to where the first ending prefix ends, both prefixes hold all of their sets, so the
     overlap is at most that class's reach: what is live in its prefix from here on and all behind.
     """
-    most = F.when(a("last") <= b("last"), a("reach")).otherwise(b("reach"))
     n = a("n") + b("n")
-    return (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & ((100 + percent) * most >= percent * n)
+    close = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
+    return close & ((100 + percent) * of_first_ending(a, b, "reach") >= percent * n)
 
 
-def live_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """The prefix n-grams that at least two classes share.
+def per_token(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """Add aggregates over the rows of each n-gram.
 
-    ``token``, ``set_id``, ``n`` (size), ``last`` (the prefix's last n-gram), ``reach`` (an upper
-    bound of the overlap with a class that shares nothing before) and ``shared`` (live share).
+    Rare n-grams, whose lists are short, take a window; those of the frequent classes are
+    pre-aggregated and joined, so a list of any length is spread over tasks.
     """
-    rows = sets.where("n_shingles > 0").select("set_id", F.explode("prefix").alias("token"))
-    rare, frequent = rows.where(F.col("token") < FREQUENT), rows.where(F.col("token") >= FREQUENT)
     w = Window.partitionBy("token")
-    rare = rare.select("*", F.min("set_id").over(w).alias("lo"), F.max("set_id").over(w).alias("hi")).where("lo < hi").drop("lo", "hi")
-    ends = frequent.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi")
-    frequent = frequent.join(ends.select("token"), "token", "left_semi")
-    columns = ["token", "set_id"]
-    live = stored(rare.select(columns).distinct().union(frequent.select(columns).distinct()), "jaccard-live")
-    shapes = sets.where("n_shingles > 0").groupBy("set_id").agg(
-        F.max(F.col("n_shingles")).cast("int").alias("n"), F.max(F.element_at("prefix", -1)).alias("last")
-    )
-    own = Window.partitionBy("set_id")
-    place, held = F.row_number().over(own.orderBy("token")), F.count(F.lit(1)).over(own).cast("int")
-    behind = F.floor((percent * F.col("n") + 99) / 100).cast("int") - 1
-    return live.join(shapes, "set_id").select(
-        "token", "set_id", "n", "last", (held - place + 1 + behind).alias("reach"), (held / F.col("n")).alias("shared")
-    )
+    rare = rows.where(F.col("token") < FREQUENT).withColumns({k: v.over(w) for k, v in aggregates.items()})
+    often = rows.where(F.col("token") >= FREQUENT)
+    return rare.unionByName(often.join(often.groupBy("token").agg(*(v.alias(k) for k, v in aggregates.items())), "token"))
 
 
-def star_pairs(live: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of each list's hub with the members of other components.
+def live_heads(sets: DataFrame, percent: int) -> DataFrame:
+    """The classes that share an n-gram of their prefix with another class's prefix.
 
-    The hub of the first turn is the class whose prefix is shared most, as an original's is; the
-    later ones are random.
+    ``set_id``, ``n`` (size), ``last`` (high bits of the prefix's last n-gram) and ``head``, the
+    shared n-grams in order.
     """
-    order = -F.col("shared") if turn == 0 else F.xxhash64("set_id", F.lit(turn)).cast("double")
-    hub = F.struct(order.alias("o"), F.xxhash64("set_id").alias("r"), "set_id", "n", "last", "reach", "comp")
-    hubs = (
-        live.groupBy("token").agg(F.min(hub).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    )
-    pairs = live.join(hubs.select("token", "hub"), "token").where(
-        (F.col("comp") != F.col("hub.comp")) & can_link(F.col, lambda c: F.col(f"hub.{c}"), percent)
+    full = sets.where("n_shingles > 0")
+    rows = per_token(full.select("set_id", F.explode("prefix").alias("token")), lo=F.min("set_id"), hi=F.max("set_id"))
+    heads = rows.where("lo < hi").groupBy("set_id").agg(F.array_sort(F.collect_set("token")).alias("head"))
+    shapes = full.groupBy("set_id").agg(
+        F.max("n_shingles").cast("int").alias("n"), F.max(F.shiftright(F.element_at("prefix", -1), 32)).cast("int").alias("last")
     )
-    return pairs.select(
-        F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b"), (F.col("n") + F.col("hub.n")).alias("n")
-    ).distinct()
+    return heads.join(shapes, "set_id").select("set_id", "n", "last", "head")
 
 
-def open_pairs(live: DataFrame) -> int:
-    """Pairs of different components over all lists, from counts."""
-    counts = live.groupBy("token", "comp").count().groupBy("token").agg(
-        F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same")
-    )
-    return counts.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
+def open_lists(heads: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Postings of lists that still hold different components, less those that can link with none.
+
+    A class can link with those of at most ``cap`` n-grams where its prefix ends first, so a row
+    stays if its cap allows for the list's smallest class or its size for the list's largest cap.
+    ``hub`` is the class that a star of this turn has in its middle: in the first turn the one
+    that shares most of its n-grams, as an original does, then random ones; ``list_n`` counts rows.
+    """
+    rows = heads.withColumn("comp", F.col("set_id"))
+    if labels is not None:
+        found = small(labels.select(F.col("id").alias("set_id"), "label"))
+        rows = heads.join(found, "set_id", "left").withColumn("comp", F.coalesce("label", "set_id"))
+    rows = rows.select("set_id", "n", "last", "comp", F.size("head").alias("held"), F.posexplode("head").alias("place", "token"))
+    rows = rows.select("token", "set_id", "n", "last", (F.col("held") - F.col("place") + behind(F.col("n"), percent)).alias("reach"), "comp")
+    order = -(F.col("reach") / F.col("n")) if turn == 0 else F.xxhash64("set_id", F.lit(turn)).cast("double")
+    cap = F.floor((100 + percent) * F.col("reach") / percent) - F.col("n")
+    seen = per_token(
+        rows,
+        lo=F.min("comp"), hi=F.max("comp"), least_n=F.min("n"), most_cap=F.max(cap), list_n=F.count(F.lit(1)),
+        hub=F.min(F.struct(order.alias("o"), F.xxhash64("set_id").alias("r"), "set_id", "n", "last", "reach", "comp")),
+    )
+    kept = (F.col("lo") < F.col("hi")) & ((cap >= F.col("least_n")) | (F.col("n") <= F.col("most_cap")))
+    return seen.where(kept).select(*rows.columns, "list_n", "hub")
+
+
+def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each class with one hub of its lists, of another component, that it can link with."""
+    rows = lists.where((F.col("comp") != F.col("hub.comp")) & can_link(F.col, lambda c: F.col(f"hub.{c}"), percent))
+    best = rows.groupBy("set_id", "n").agg(F.min("hub").alias("hub"))
+    return best.select(
+        F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b"), (F.col("n") + F.col("hub.n")).alias("n")
+    ).distinct()
 
 
-def rest_pairs(live: DataFrame, percent: int) -> DataFrame:
+def rest_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share a list and can link."""
-    ends = live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    still = live.join(ends.select("token"), "token", "left_semi").drop("shared")
-    left = still.select("token", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "last", "reach", "comp")))
+    columns = ["token", "set_id", "n", "last", "reach", "comp"]
+    left = lists.select("token", *(F.col(c).alias(f"l_{c}") for c in columns[1:]))
     return (
-        left.join(still, "token")
+        left.join(lists.select(columns), "token")
         .where((F.col("l_comp") < F.col("comp")) & can_link(F.col, lambda c: F.col(f"l_{c}"), percent))
         .select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b"), (F.col("l_n") + F.col("n")).alias("n"))
         .distinct()
     )
 
 
+def with_prefix_overlap(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the overlap of the prefix fragment and all behind the first ending prefix leave possible."""
+    side = lambda k: heads.select(F.col("set_id").alias(k), F.struct("last", behind(F.col("n"), percent).alias("behind"), "head").alias(f"h{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    rest = of_first_ending(lambda c: F.col(f"ha.{c}"), lambda c: F.col(f"hb.{c}"), "behind")
+    most = F.size(F.array_intersect("ha.head", "hb.head")) + rest
+    return both.where((100 + percent) * most >= percent * F.col("n")).select("a", "b", "n")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, order, size: int, percent: int, fragments: int) -> DataFrame:
     """The pairs that link: overlaps are counted in each fragment and summed per pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id").select("doc_id", "set_id")
-    wanted = stored(wanted, "jaccard-wanted")
-    rows = texts.withColumn("key", F.xxhash64("doc_id")).join(
-        small(wanted.select(F.xxhash64("doc_id").alias("key"), "set_id")), "key"
-    )
-    parts = stored(shingles.segments(rows, order, size, fragments).distinct(), "jaccard-segments")
-    side = lambda k: parts.select(F.col("set_id").alias(k), "fragment", F.col("keys").alias(f"keys_{k}"))
-    overlap = F.sum(F.size(F.array_intersect("keys_a", "keys_b"))).alias("overlap")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
+    wanted = small(stored(wanted.select(F.xxhash64("doc_id").alias("key"), "set_id"), "jaccard-wanted"))
+    rows = texts.withColumn("key", F.xxhash64("doc_id")).join(wanted, "key")
+    segments = stored(shingles.segments(rows, order, size, fragments), "jaccard-segments")
+    side = lambda k: segments.select(F.col("set_id").alias(k), "fragment", F.col("keys").alias(f"keys_{k}"))
+    part = F.max(F.size(F.array_intersect("keys_a", "keys_b"))).alias("part")  # repeated rows give equal parts
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), ["b", "fragment"])
+        .groupBy("a", "b", "n", "fragment")
+        .agg(part)
         .groupBy("a", "b", "n")
-        .agg(overlap)
+        .agg(F.sum("part").alias("overlap"))
         .where((100 + percent) * F.col("overlap") >= percent * F.col("n"))
         .select("a", "b")
     )
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, fragments: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, fragments: int = 4
 ) -> DataFrame:
     """Link documents whose word-shingle sets have a Jaccard similarity of ``percent`` / 100.
 
@@ -142,19 +169,18 @@ def near_duplicates(
     order = shingles.frequency_classes(texts, size)
     sets = stored(shingles.prefixes(texts, order, size, percent), "jaccard-sets")
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    base = stored(live_postings(sets, percent), "jaccard-postings")
+    heads = stored(live_heads(sets, percent), "jaccard-heads")
     links, labels = spark.createDataFrame([], "a long, b long"), None
+    most = 3 * (heads.agg(F.sum(F.size("head"))).first()[0] or 0)
     turn, before = 0, None
     while True:
-        tagged = base.withColumn("comp", F.col("set_id"))
-        if labels is not None:
-            tagged = base.join(labels, base["set_id"] == labels["id"], "left").select(base["*"], F.coalesce("label", "set_id").alias("comp"))
-            tagged = stored(tagged, "jaccard-tagged")
-        left = open_pairs(tagged)
+        lists = stored(open_lists(heads, labels, turn, percent), "jaccard-lists")
+        left = (lists.agg(F.sum("list_n")).first()[0] or 0) / 2
         if not left:
             break
-        last = left <= 3 * base.count() and turn > 0 or turn >= MAX_STARS or before is not None and left > 0.8 * before
-        pairs = stored(rest_pairs(tagged, percent) if last else star_pairs(tagged, turn, percent), "jaccard-pairs")
+        last = turn > 0 and (left <= most or left > 0.8 * before or turn >= MAX_STARS)
+        pairs = rest_pairs(lists, percent) if last else star_pairs(lists, percent)
+        pairs = stored(with_prefix_overlap(pairs, heads, percent), "jaccard-pairs")
         links = stored(links.union(verified(pairs, texts, classes, order, size, percent, fragments)), "jaccard-links")
         labels = components(links)
         if last:

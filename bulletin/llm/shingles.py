@@ -151,6 +151,11 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
 
 
+def set_hash(keys: np.ndarray) -> int:
+    """64-bit hash of a set, signed."""
+    return int.from_bytes(xxhash.xxh3_64_digest(keys.tobytes()), "big", signed=True)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Keys of a set of n among which any set of that similarity shares one."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -172,7 +177,7 @@ def prefixes(texts: DataFrame, classes: np.ndarray, size: int, percent: int) ->
                 cut = [k[: prefix_length(len(k), percent)] for k in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*cut, np.empty(0, np.int64)])))
-                ids = np.array([xxhash.xxh3_64_intdigest(k.tobytes()) for k in sets], np.uint64).astype(np.int64)
+                ids = np.array([set_hash(k) for k in sets], np.int64)
                 sizes = pa.array([len(k) for k in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids), lists], schema=schema)
 
@@ -187,7 +192,10 @@ def pivots(fragments: int) -> np.ndarray:
 
 
 def segments(texts: DataFrame, classes: np.ndarray, size: int, fragments: int) -> DataFrame:
-    """(set_id, fragment, keys): each text's keys cut at the pivots; empty segments are left out."""
+    """(set_id, fragment, keys): each text's keys cut at the pivots; empty segments are left out.
+
+    A row whose text does not have the set of its ``set_id`` (another row of that id) gives none.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(classes)
     cuts = pivots(fragments)
     schema = pa.schema([("set_id", pa.int64()), ("fragment", pa.int32()), ("keys", pa.list_(pa.int64()))])
@@ -199,6 +207,8 @@ def segments(texts: DataFrame, classes: np.ndarray, size: int, fragments: int) -
                 ids, numbers, sizes, values = [], [], [], []
                 for set_id, hashes in zip(batch.column("set_id").to_pylist(), shingle_hashes(raw_texts(batch), size)):
                     keys = keys_of(hashes, table)
+                    if set_hash(keys) != set_id:
+                        continue
                     values.append(keys)
                     edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
                     for k, (i, j) in enumerate(zip(edges, edges[1:])):
