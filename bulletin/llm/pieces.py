@@ -47,7 +47,7 @@ class TokenizerWords(dict):
     ``generation`` each.  Strings of special tokens inside a text count as ordinary text.
     """
 
-    def __init__(self, path: str, generation: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, generation: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -122,9 +122,13 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
 
         def flush() -> None:
             if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                again = counts > 1
-                np.add.at(totals, (values[again] >> np.uint64(60 - BUCKET_BITS)).astype(np.int64), counts[again])
+                values = np.concatenate(held)
+                held.clear()
+                values.sort()
+                again = np.zeros(len(values), bool)
+                np.equal(values[1:], values[:-1], out=again[1:])
+                again[:-1] |= again[1:]
+                np.add.at(totals, (values[again] >> np.uint64(60 - BUCKET_BITS)).astype(np.int64), 1)
 
         for hashes in (h for whole in batches for batch in slices(whole, "text", SLICE) for h in shingle_hashes(raw_texts(batch), size)):
             if (same := xxhash.xxh3_128_digest(hashes.tobytes())) in seen:
@@ -134,7 +138,7 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
             n += len(hashes)
             if n > CHUNK:
                 flush()
-                held, seen, n = [], set(), 0
+                seen, n = set(), 0
         flush()
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at])], names=["bucket", "n"])
