@@ -1,11 +1,12 @@
 """Brown class-based bigram language model over whole texts.
 
-Every training word is counted.  Words of a table of bounded size get classes: the most frequent
-ones by exchange clustering (each moves to the class that gains most likelihood, in sweeps), the
-rest of the table by one exchange step that Spark tasks count for.  Words beyond the table share
-one class and are looked up in the counted vocabulary by a join.  A token's probability is that
-of its class after the class before it, discounted and backed off to the class's own frequency,
-times that of the word in its class.
+Every training word is counted and gets a class: the most frequent ones by exchange clustering
+(each moves to the class that gains most likelihood, in sweeps), all others by exchange sweeps
+that Spark tasks count for, each over all neighbours that have a class by then.  A table of the
+frequent words is at hand in every task; classes and counts of the words beyond it are Parquet
+tables that are joined.  Only words that training has not seen share a class, for which the words
+seen once stand in.  A token's probability is that of its class after the class before it,
+discounted and backed off to the class's own frequency, times that of the word in its class.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import id_bucket, slices, stored, table, text_bytes
 
 END = b""  # no word is empty
-LONGEST_WORD = 64
+LONGEST_WORD = 1024
 DISCOUNT = 0.5
 
 
@@ -58,27 +59,36 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most`` of up to 64 bytes without the end token, in order of count.
+def frequent_words(vocabulary: DataFrame, most: int, most_bytes: int = 1 << 24) -> list[tuple[bytes, int]]:
+    """The most frequent words without the end token, in order of count.
 
-    A histogram of logarithmic count classes gives the least count, so only these rows are read.
+    At most ``most`` words and ``most_bytes`` bytes of words of up to 1024 bytes.  A histogram of
+    logarithmic count classes, and one of hash classes within the count class that is cut, give
+    the bounds, so only these rows are read.
     """
-    step = F.floor(F.log2("c") * 16)
+    step, part = F.floor(F.log2("c") * 16), F.pmod(F.xxhash64("word"), F.lit(1024))
     short = vocabulary.where(F.octet_length("word").between(1, LONGEST_WORD))
-    sizes = short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    least, total = None, 0
-    for row in sizes:
-        if total + row["count"] > most:
+    size = [F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")]
+    inside, total, held, cut = F.lit(False), 0, 0, None
+    for row in short.groupBy(step.alias("step")).agg(*size).orderBy(F.desc("step")).collect():
+        if total + row["n"] > most or held + row["bytes"] > most_bytes:
+            cut = row["step"]
             break
-        least, total = row["step"], total + row["count"]
-    if least is None:
-        return []
-    rows = short.where(step >= least).select("word", "c").toArrow()
+        inside, total, held = step >= row["step"], total + row["n"], held + row["bytes"]
+    if cut is not None:
+        last = None
+        for row in short.where(step == cut).groupBy(part.alias("part")).agg(*size).orderBy("part").collect():
+            if total + row["n"] > most or held + row["bytes"] > most_bytes:
+                break
+            last, total, held = row["part"], total + row["n"], held + row["bytes"]
+        if last is not None:
+            inside = inside | ((step == cut) & (part <= last))
+    rows = short.where(inside).select("word", "c").toArrow()
     return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 SEQUENCES = pa.schema(
-    [("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.binary()))]
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.binary()))]
 )
 
 
@@ -100,6 +110,7 @@ def sequences(texts: DataFrame, words: list[bytes]) -> DataFrame:
                 rare_ends = np.searchsorted(at, ends).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row"),
                         batch.column("doc_id"),
                         batch.column("learn"),
                         pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids)),
@@ -108,8 +119,39 @@ def sequences(texts: DataFrame, words: list[bytes]) -> DataFrame:
                     schema=SEQUENCES,
                 )
 
-    return texts.select("doc_id", "learn", "text").mapInArrow(
-        run, "doc_id long, learn boolean, ids array<int>, rare array<binary>"
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "learn", "text").mapInArrow(
+        run, "row long, doc_id long, learn boolean, ids array<int>, rare array<binary>"
+    )
+
+
+AROUND = pa.schema(
+    [("row", pa.int64()), ("learn", pa.bool_()), ("pos", pa.int32()), ("word", pa.binary()), ("before", pa.int32()), ("after", pa.int32()), ("rare_before", pa.binary())]
+)
+
+
+def around(rows: DataFrame, m: int) -> DataFrame:
+    """Each token beyond the table of ``m`` words with its neighbours' places, and the word before it if that is beyond it too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ids")
+            ids, words = lists.flatten().to_numpy(), batch.column("rare").flatten()
+            at = np.flatnonzero(ids == m)
+            if not len(at):
+                continue
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            owner = np.searchsorted(ends, at, "right")
+            before, after = ids[at - 1], ids[at + 1]  # the end token comes before and after each text
+            earlier = pa.array(np.maximum(np.arange(len(at)) - 1, 0), mask=before != m)
+            full = [batch.column(c).take(pa.array(owner)) for c in ("row", "learn")]
+            whole = pa.RecordBatch.from_arrays(
+                [*full, pa.array(at, pa.int32()), words, pa.array(before), pa.array(after), words.take(earlier)], schema=AROUND
+            )
+            for start in range(0, len(at), 10_000):
+                yield whole.slice(start, 10_000)
+
+    return rows.select("row", "learn", "ids", "rare").mapInArrow(
+        run, "row long, learn boolean, pos int, word binary, before int, after int, rare_before binary"
     )
 
 
@@ -139,11 +181,11 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 4) -> np.ndarray:
+def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 50) -> np.ndarray:
     """Classes of words by exchange clustering on their bigram counts (words x words).
 
     Each word in turn leaves its class and joins the one where the likelihood of the class
-    bigrams gains most, until a sweep moves nothing.  Word 0 keeps class 0 to itself.
+    bigrams gains most, until a sweep moves nothing or ``sweeps`` are done.  Word 0 keeps class 0 to itself.
     """
     k = len(bigrams)
     b = bigrams.astype(np.float64)
@@ -190,34 +232,96 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 4) -> np.ndarray
     return classes
 
 
-def best_class(contexts: DataFrame, log_next: np.ndarray, class_n: np.ndarray, k: int) -> DataFrame:
-    """(word, class) for the words beyond ``k``: the class that gives a word's contexts most likelihood.
+def best(owner: np.ndarray, codes: np.ndarray, n: np.ndarray, words: int, log_next: np.ndarray, class_n: np.ndarray) -> np.ndarray:
+    """The class that gives each word's neighbours most likelihood.
 
-    ``contexts``: code = (word x 2 + side) x classes + neighbour class; a word has at most two
-    rows a class, so its group is bounded.
+    A neighbour's code is its class before the word, classes + its class after it, or 2 x classes
+    if it has no class yet.
     """
-    n = len(class_n)
+    c = len(class_n)
+    weights = np.concatenate([log_next, log_next.T, np.zeros((1, c))])
+    out = np.empty(words, np.int32)
+    order = np.argsort(owner, kind="stable")
+    owner, codes, n = owner[order], codes[order], n[order]
+    for start in range(0, words, 2000):
+        end = min(start + 2000, words)
+        i, j = np.searchsorted(owner, [start, end])
+        seen = np.bincount((owner[i:j] - start) * (2 * c + 1) + codes[i:j], n[i:j], (end - start) * (2 * c + 1)).reshape(-1, 2 * c + 1)
+        total = seen.sum(1, keepdims=True) / 2
+        score = seen @ weights - total * np.log(class_n + total)
+        score[:, [0, c - 1]] = -np.inf  # of the end token and of unseen words
+        out[start:end] = score.argmax(1)
+    return out
+
+
+def best_class(contexts: DataFrame, log_next: np.ndarray, class_n: np.ndarray) -> DataFrame:
+    """(word, class) of table words from their contexts: code = word x (2 x classes + 1) + a neighbour's code.
+
+    A word has at most two rows a class, so its group is bounded.
+    """
+    n = 2 * len(class_n) + 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, rows = batch.column("word").to_pylist(), batch.column("rows").to_pylist()
-            chosen = []
-            for pairs in rows:
-                score, total = np.zeros(n), 0
-                for p in pairs:
-                    side, c = divmod(p["code"] % (2 * n), n)
-                    score += p["n"] * (log_next[:, c] if side else log_next[c])
-                    total += p["n"]
-                score -= total / 2 * np.log(class_n + total / 2)
-                score[0] = score[n - 1] = -np.inf
-                chosen.append(int(score.argmax()))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(chosen, pa.int32())], names=["word", "class"])
-
-    word = F.floor(F.col("code") / (2 * n)).alias("word")
-    grouped = contexts.groupBy(word).agg(F.collect_list(F.struct("code", "n")).alias("rows")).where(F.col("word") >= k)
+            lists = batch.column("rows")
+            rows, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            codes, counts = rows.field("code").to_numpy() % n, rows.field("n").to_numpy()
+            chosen = best(owner, codes, counts, batch.num_rows, log_next, class_n)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(chosen)], names=["word", "class"])
+
+    word = F.floor(F.col("code") / n).alias("word")
+    grouped = contexts.groupBy(word).agg(F.collect_list(F.struct("code", "n")).alias("rows"))
     return grouped.mapInArrow(choose, "word long, class int")
 
 
+def rare_contexts(pairs: DataFrame, rare: DataFrame, c: int) -> DataFrame:
+    """(word, codes): the classes of neighbours beyond the table, from pairs (rare_before, word) and classes (word, class)."""
+    known = rare.select("word", "class")
+    first = pairs.join(known.withColumnRenamed("word", "rare_before"), "rare_before").select("word", F.col("class").alias("code"))
+    second = pairs.join(known, "word").select(F.col("rare_before").alias("word"), (F.col("class") + c).alias("code"))
+    return first.unionByName(second).groupBy("word").agg(F.collect_list("code").alias("codes"))
+
+
+def rare_best(rare: DataFrame, near: DataFrame | None, classes: np.ndarray, log_next: np.ndarray, class_n: np.ndarray) -> DataFrame:
+    """The words beyond the table (word, before, after) with the class of their neighbours' most likelihood and their count."""
+    c, m, joined = len(class_n), len(classes) - 1, near is not None
+    rare = rare.select("word", "before", "after")
+    rows = rare.withColumn("codes", F.array().cast("array<int>")) if not joined else rare.join(near, "word", "left")
+    shared = rare.sparkSession.sparkContext.broadcast((classes, log_next, class_n))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, log_next, class_n = shared.value
+        for batch in batches:
+            owners, codes = [], []
+            for name in ("before", "after", "codes"):
+                lists = batch.column(name)
+                values, owner = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy()
+                if name != "codes":
+                    # What lies beyond the table comes with ``codes``, if it has a class.
+                    values = np.where(values == m, 2 * c, classes[values] + (c if name == "after" else 0))
+                    if joined:
+                        values, owner = values[values < 2 * c], owner[values < 2 * c]
+                owners.append(owner)
+                codes.append(values.astype(np.int64))
+            code = np.concatenate(codes)
+            chosen = best(np.concatenate(owners), code, np.ones(len(code)), batch.num_rows, log_next, class_n)
+            counts = pc.list_value_length(batch.column("before")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("before"), batch.column("after"), pa.array(chosen), counts], names=["word", "before", "after", "class", "c"]
+            )
+
+    return rows.select("word", "before", "after", "codes").mapInArrow(choose, "word binary, before array<int>, after array<int>, class int, c long")
+
+
+def beside_rare(rare: DataFrame, k: int, m: int, c: int) -> DataFrame:
+    """(code, n): contexts of the table words from ``k`` on that neighbours beyond the table give."""
+    n = 2 * c + 1
+    before = rare.select(F.explode("before").alias("id"), (F.col("class") + c).alias("near"))
+    after = rare.select(F.explode("after").alias("id"), F.col("class").alias("near"))
+    code = (F.col("id").cast("long") * n + F.col("near")).alias("code")
+    return before.unionByName(after).where(F.col("id").between(k, m - 1)).groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+
+
 def transitions(pairs: np.ndarray) -> np.ndarray:
     """log10 of the smoothed class-transition probabilities, from counts (before x after)."""
     n = len(pairs)
@@ -233,16 +337,41 @@ def transitions(pairs: np.ndarray) -> np.ndarray:
 class BrownModel:
     words: list[bytes]  # the table, most frequent first but for the end token in front
     counts: np.ndarray
-    classes: np.ndarray  # of the table's words; the last class is that of all other words
+    classes: np.ndarray  # of the table's words; the last class is that of unseen words
     log_next: np.ndarray
     log_word: np.ndarray  # of the table's words in their classes
     train_tokens: int
     vocabulary_size: int
-    rare_tokens: int
-    rare_words: int
+    in_class: np.ndarray  # training tokens of each class
+    log_unseen: float
+    placed: DataFrame  # tokens beyond the table by row
 
 
-def fit(rows: DataFrame, words: list[bytes], counts: np.ndarray, totals: tuple[int, int], n_classes: int = 96, clustered: int = 2048) -> BrownModel:
+PLACED = "array<struct<pos:int,before:int,after:int,class:int,c:bigint>>"
+
+
+def place(rows: DataFrame, rare: DataFrame, m: int, c: int) -> DataFrame:
+    """(row, learn, rare): each row's tokens beyond the table with their classes and counts, joined with those of the words."""
+    told = around(rows, m).drop("rare_before").join(rare.select("word", "class", "c"), "word", "left")
+    item = F.struct("pos", "before", "after", F.coalesce("class", F.lit(c - 1)).alias("class"), F.coalesce("c", F.lit(0)).alias("c"))
+    return told.groupBy("row", "learn").agg(F.collect_list(item).cast(PLACED).alias("rare"))
+
+
+def unpacked(batch: pa.RecordBatch, classes: np.ndarray, once: np.ndarray):
+    """Placed tokens in order: row, class before, class, class after (-1 if its token is in the list too), count, and whether the neighbours were seen once."""
+    lists = batch.column("rare")
+    items, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    order = np.lexsort((items.field("pos").to_numpy(), owner))
+    before, after, own, n = (items.field(f).to_numpy()[order] for f in ("before", "after", "class", "c"))
+    m = len(classes) - 1
+    earlier = lambda x: np.concatenate([x[-1:], x[:-1]])
+    first = np.where(before == m, earlier(own), classes[before])
+    return owner[order], first, own, np.where(after == m, -1, classes[after]), n, np.where(before == m, earlier(n) == 1, once[before]), once[after]
+
+
+def fit(
+    rows: DataFrame, words: list[bytes], counts: np.ndarray, totals: tuple[int, int], n_classes: int = 96, clustered: int = 2048, sweeps: int = 2
+) -> BrownModel:
     """Classes and probabilities from the stored sequences of the training texts."""
     m, c = len(words), n_classes + 1
     k = min(clustered, m)
@@ -258,52 +387,101 @@ def fit(rows: DataFrame, words: list[bytes], counts: np.ndarray, totals: tuple[i
     top = exchange(bigrams.reshape(k, k), n_classes)
     classes = np.full(m + 1, c - 1, np.int64)
     classes[:k] = top
-    if m > k:
-        hot = np.eye(c)[top]
-        pairs = hot.T @ bigrams.reshape(k, k) @ hot
+    hot = np.eye(c)[top]
+    pairs = hot.T @ bigrams.reshape(k, k) @ hot
+    tokens = around(learn, m)
+    rare = stored(tokens.groupBy("word").agg(F.collect_list("before").alias("before"), F.collect_list("after").alias("after")), "brown-rare")
+    both_rare = stored(tokens.where("rare_before IS NOT NULL").select("rare_before", "word"), "brown-rare-pairs")
+    for sweep in range(sweeps):
         known = classes.copy()
+        if sweep:
+            pairs = table_pairs(learn, known, counts, c)
 
         def contexts(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            after_known, before_known = (before >= k) & (before < m) & (ids < k), (ids >= k) & (ids < m) & (before < k)
-            first = (before[after_known].astype(np.int64) * 2 + 1) * c + known[ids[after_known]]
-            second = ids[before_known].astype(np.int64) * 2 * c + known[before[before_known]]
-            return np.concatenate([first, second])
+            first = (before >= k) & (before < m) & (known[ids] < c - 1)
+            second = (ids >= k) & (ids < m) & (known[before] < c - 1)
+            return np.concatenate(
+                [before[first].astype(np.int64) * (2 * c + 1) + c + known[ids[first]], ids[second].astype(np.int64) * (2 * c + 1) + known[before[second]]]
+            )
+
+        natural, class_n = transitions(pairs) * np.log(10), pairs.sum(1) + 1
+        if m > k:
+            seen = counted(learn, contexts)
+            seen = seen.unionByName(beside_rare(rare, k, m, c)) if sweep else seen
+            chosen = best_class(seen, natural, class_n).toArrow()
+            classes[chosen["word"].to_numpy()] = chosen["class"].to_numpy()
+            if not sweep:
+                alone = np.flatnonzero(classes[:m] == c - 1)  # no neighbour has a class yet
+                classes[alone] = min(1, n_classes - 1)
+        near = rare_contexts(both_rare, rare, c) if sweep else None
+        rare = stored(rare_best(rare, near, classes, natural, class_n), "brown-classes")
+    placed = stored(place(rows, rare, m, c), "brown-placed")
+    pairs = table_pairs(learn, classes, counts, c) + rare_pairs(placed.where("learn"), classes, counts, c)
+    in_class = np.bincount(classes[:m], weights=counts, minlength=c)
+    for row in rare.groupBy("class").agg(F.sum("c").alias("c")).collect():
+        in_class[row["class"]] += row["c"]
+    once = int((counts == 1).sum()) + rare.where("c = 1").count()
+    with np.errstate(divide="ignore"):
+        log_word = np.where(counts > 0, np.log10(counts / np.maximum(in_class[classes[:m]], 1)), 0.0)
+    n, v = totals
+    return BrownModel(words, counts, classes, transitions(pairs), log_word, n, v, in_class, -float(np.log10(once + 1)), placed)
 
-        natural = transitions(pairs) * np.log(10)
-        chosen = best_class(counted(learn, contexts), natural, pairs.sum(1) + 1, k).toArrow()
-        classes[chosen["word"].to_numpy()] = chosen["class"].to_numpy()
-    final = classes
 
-    def class_pairs(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return final[before] * c + final[ids]
+def with_once(first: np.ndarray, second: np.ndarray, first_once: np.ndarray, second_once: np.ndarray, c: int) -> np.ndarray:
+    """Codes of class pairs; words seen once stand in for the unseen ones, as their class was chosen by these very pairs."""
+    return np.where(first_once, c - 1, first).astype(np.int64) * c + np.where(second_once, c - 1, second)
 
-    found = counted(learn, class_pairs).toArrow()  # at most classes x classes rows
+
+def matrix(found: pa.Table, c: int) -> np.ndarray:
     pairs = np.zeros(c * c)
     pairs[found["code"].to_numpy()] = found["n"].to_numpy()
-    in_class = np.bincount(classes[:m], weights=counts, minlength=c)
-    n, v = totals
-    rare_tokens, rare_words = n - int(counts.sum()), v - int((counts > 0).sum())
-    # Words that no neighbour placed share the last class with those beyond the table.
-    last = ((classes[:m] == c - 1) | (counts == 0)).nonzero()[0]
-    rare_tokens, rare_words = rare_tokens + int(counts[last].sum()), rare_words + int((counts[last] > 0).sum())
-    with np.errstate(divide="ignore"):
-        log_word = np.log10(counts / np.maximum(in_class[classes[:m]], 1))
-    log_word[last] = np.log10((counts[last] + 0.5) / (rare_tokens + 0.5 * (rare_words + 1)))
-    return BrownModel(words, counts, classes, transitions(pairs.reshape(c, c)), log_word, n, v, rare_tokens, rare_words)
+    return pairs.reshape(c, c)
+
+
+def table_pairs(learn: DataFrame, classes: np.ndarray, counts: np.ndarray, c: int) -> np.ndarray:
+    """Counts of class pairs (before x after) of neighbours that are both in the table."""
+    m, once = len(classes) - 1, np.append(counts == 1, False)
+
+    def codes(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        both = (before < m) & (ids < m)
+        before, ids = before[both], ids[both]
+        return with_once(classes[before], classes[ids], once[before], once[ids], c)
 
+    return matrix(counted(learn, codes).toArrow(), c)  # at most classes x classes rows
 
-def score(rows: DataFrame, vocabulary: DataFrame, model: BrownModel) -> DataFrame:
-    """Token counts and log10 probabilities of every sequence; other words are joined with the vocabulary."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+def rare_pairs(placed: DataFrame, classes: np.ndarray, counts: np.ndarray, c: int) -> np.ndarray:
+    """Counts of the other class pairs."""
+    once_in_table = np.append(counts == 1, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(c * c, np.int64)
+        for batch in batches:
+            _, first, own, after, n, once_before, once_after = unpacked(batch, classes, once_in_table)
+            if len(own):
+                once, last = n == 1, after >= 0
+                codes = np.concatenate([with_once(first, own, once_before, once, c), with_once(own[last], after[last], once[last], once_after[last], c)])
+                total += np.bincount(codes, minlength=c * c)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["code", "n"])
+
+    return matrix(placed.select("rare").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow(), c)
+
+
+def score(rows: DataFrame, model: BrownModel) -> DataFrame:
+    """Token counts and log10 probabilities of every sequence."""
+    m, c = len(model.words), len(model.in_class)
+    n, v = model.train_tokens, model.vocabulary_size
+    shared = rows.sparkSession.sparkContext.broadcast((model.counts, model.classes, model.log_next, model.log_word, model.in_class, model.log_unseen))
     schema = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
          ("base_score", pa.float64()), ("score", pa.float64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        base = np.append(np.log10((m.counts + 0.5) / (m.train_tokens + 0.5 * (m.vocabulary_size + 1))), 0.0)
-        word, seen = np.append(m.log_word, 0.0), np.append(m.counts > 0, False)
+        counts, of_word, log_next, log_word, _, _ = shared.value
+        base = np.append(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))), 0.0)
+        word, seen = np.append(log_word, 0.0), np.append(counts > 0, False)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -311,34 +489,34 @@ def score(rows: DataFrame, vocabulary: DataFrame, model: BrownModel) -> DataFram
             ids = lists.flatten().to_numpy()
             ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             starts = np.concatenate([[0], ends[:-1]])
-            classes = m.classes[ids]
-            first = np.concatenate([classes[-1:], classes[:-1]])  # the end token before each text
+            classes = of_word[ids]
+            before = np.concatenate([ids[-1:], ids[:-1]])  # the end token before each text
+            inside = np.where((ids < m) & (before < m), log_next[of_word[before], classes], 0.0)
             total = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"), batch.column("doc_id"), batch.column("learn"), pa.array(ends - starts, pa.int64()),
-                    pa.array(total(seen[ids].astype(np.int64))), pa.array(total(base[ids])),
-                    pa.array(total(m.log_next[first, classes] + word[ids])),
+                    pa.array(total(seen[ids].astype(np.int64))), pa.array(total(base[ids])), pa.array(total(inside + word[ids])),
                 ],
                 schema=schema,
             )
 
-    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "learn", "ids", "rare"), "brown-rows")
-    told = numbered.select("row", "doc_id", "learn", "ids").mapInArrow(
+    def run_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, of_word, log_next, _, in_class, log_unseen = shared.value
+        for batch in batches:
+            owner, first, own, after, count, _, _ = unpacked(batch, of_word, of_word < 0)
+            value = log_next[first, own] + np.where(after >= 0, log_next[own, np.maximum(after, 0)], 0.0)
+            value += np.where(count > 0, np.log10(np.maximum(count, 1) / np.maximum(in_class[own], 1)), log_unseen)
+            base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+            sums = [np.bincount(owner, x, batch.num_rows) for x in (count > 0, base, value)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "rare_known", "rare_base", "rare_score"]
+            )
+
+    told = rows.select("row", "doc_id", "learn", "ids").mapInArrow(
         run, "row long, doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    rare = numbered.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word")).groupBy("row", "word").count()
-    c = F.coalesce("c", F.lit(0))
-    n, v, rn, rv = model.train_tokens, model.vocabulary_size, model.rare_tokens, model.rare_words
-    looked_up = (
-        rare.join(vocabulary, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("count") * F.log10((c + 0.5) / (n + 0.5 * (v + 1)))).alias("rare_base"),
-            F.sum(F.col("count") * F.log10((c + 0.5) / (rn + 0.5 * (rv + 1)))).alias("rare_score"),
-        )
-    )
+    looked_up = model.placed.select("row", "rare").mapInArrow(run_rare, "row long, rare_known long, rare_base double, rare_score double")
     add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return told.join(looked_up, "row", "left").select(
         "doc_id",
@@ -360,8 +538,8 @@ def score_texts(
     ``base_score`` (add-half unigram) and ``score``, both log10 probabilities.  A null or empty
     text is the end token alone.  Repeated rows are scored, and learned from, as often as they
     occur; a null ``learn`` is held out; other columns are ignored; an empty table gives no rows.
-    ``table_words`` bounds the words that have classes of their own (the others share one, with
-    their own counts) and ``clustered`` those that the exchange sweeps move.
+    ``table_words`` bounds the words that every task holds (the others are joined) and
+    ``clustered`` those that the driver's exchange moves before the sweeps of all words.
     """
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_col).alias("text")
@@ -372,7 +550,7 @@ def score_texts(
     top = [(END, ends), *frequent_words(vocabulary, table_words)]
     words, counts = [w for w, _ in top], np.array([c for _, c in top], dtype=np.int64)
     rows = stored(sequences(texts, words), "brown-sequences")
-    return score(rows, vocabulary, fit(rows, words, counts, (n, v), n_classes, clustered))
+    return score(rows, fit(rows, words, counts, (n, v), n_classes, clustered))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,24 @@ def test_brown_probabilities_sum_to_one(documents):
         assert math.isclose(inside + sum(10 ** model.log_next[before, k] for k in empty), 1, rel_tol=1e-6)
 
 
+def test_brown_words_beyond_the_table_get_classes(documents):
+    """Words that the table does not hold come to the classes of the words in whose place they stand."""
+    texts = [(i, f"the {'xy'[i % 2]}{i % 40 // 2} {'runs' if i % 2 else 'of'}") for i in range(400)]
+    texts += [(1000 + i, f"the {'ab'[i % 2]} {'runs' if i % 2 else 'of'}") for i in range(400)]
+    rows = documents(texts).selectExpr("doc_id", "true AS learn", "cast(text AS binary) AS text")
+    words = [brown.END, b"the", b"of", b"runs", b"a", b"b"]
+    counts = np.array([800, 800, 400, 400, 200, 200])
+    model = brown.fit(brown.sequences(rows, words), words, counts, (3200, 46), n_classes=6, clustered=6)
+    found = {(i["before"], i["after"], i["class"]) for r in model.placed.collect() for i in r["rare"]}
+    assert found == {(1, 2, model.classes[4]), (1, 3, model.classes[5])}
+
+
+def test_brown_table_is_filled_when_counts_tie(spark):
+    vocabulary = spark.createDataFrame([(b"%d" % i, 3) for i in range(5000)] + [(b"x" * 100, 9)], "word binary, c long")
+    got = brown.frequent_words(vocabulary, 2000)
+    assert 1900 < len(got) <= 2000 and got[0] == (b"x" * 100, 9)
+
+
 def test_brown_empty_and_untrained(documents):
     assert brown.score_texts(documents([]), F.lit(True)).count() == 0
     got = brown.score_texts(documents([(1, "a b"), (2, None)]), F.lit(False)).collect()
