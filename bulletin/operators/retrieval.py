@@ -90,13 +90,13 @@ def fused(legs: list[DataFrame], k: int = FUSION_K) -> DataFrame:
 
 
 def selected(hits: DataFrame, k: int, floor: float = FLOOR) -> DataFrame:
-    """Hits over the floor, one for each (doc, index), then one for each content, then the best k."""
+    """Hits over the floor, one for each (doc, index), then one for each content (whole, without case, white space squeezed), then the best k."""
     def first(by: list[Column], rows: DataFrame) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(F.desc("score"), "doc", "index")
         return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
     rows = first([F.col("doc"), F.col("index")], hits.where(F.col("score") >= floor))
-    rows = first([F.md5(F.lower(F.trim("content")))], rows)
+    rows = first([F.md5(F.lower(F.trim(F.regexp_replace("content", r"(?U)[\s\x1c-\x1f]+", " "))))], rows)
     return rows.orderBy(F.desc("score"), "doc", "index").limit(k)
 
 

@@ -96,6 +96,13 @@ def test_merge_adjacent(spark):
     assert got == [(0, 2, "a\nb\nc"), (4, 4, "e")]
 
 
+def test_selected_compares_whole_squeezed_content(spark):
+    head = "x" * 60
+    rows = [(1, 0, 0.9, f"{head} a  b"), (2, 0, 0.85, f" {head}\n A\tb\u00a0"), (3, 0, 0.8, f"{head} other")]
+    got = retrieval.selected(spark.createDataFrame(rows, "doc long, index long, score double, content string"), 10)
+    assert [r["doc"] for r in got.collect()] == [1, 3]
+
+
 def test_fusion(spark):
     leg = lambda *ids: spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, rank long")
     got = retrieval.fused([leg("x", "y"), leg("y")]).orderBy(F.desc("fused")).collect()
