@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
-from .pieces import PLAIN, WORDS_WITH_SPACE, parts
+from .common import fresh_worker, slices, table, text_bytes
+from .pieces import Memory, Words
 
 #: One step contracts one pair a word.  state: word << 32 | position, token; live until the fixpoint.
 LEFTMOST = """
@@ -67,11 +67,14 @@ FROM token_rows JOIN vocabulary USING (tok) GROUP BY d
 """
 
 
-class BytePairs:
-    """Ranks and merge table of one vocabulary in a DuckDB connection of this Python worker."""
+class BytePairs(Words):
+    """Ranks and merge table of one vocabulary in a DuckDB connection of this Python worker.
+
+    Encoding remembers distinct words, decoding distinct runs of tokens up to the next token
+    that begins with a space; DuckDB contracts and spells what is new.
+    """
 
     LONG = 1024  # bytes of a word from which all occurrences of a pair are contracted in one step
-    KEPT = 64  # characters of the longest word that is kept
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -79,7 +82,11 @@ class BytePairs:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern, self.split = pattern, regex.compile(pattern).findall
+        self.own_pattern, self.split = pattern != public_tokenizers.PATTERN, regex.compile(pattern).findall
+        super().__init__(self.encode_words, self.encode_pieces)
+        self.runs = Memory(self.decode_runs, 100_000, 256)
+        self.begins_run = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.begins_run[[r for t, r in self.ranks.items() if t.startswith(b" ")]] = True
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         self.con.execute("SET enable_progress_bar = false")
@@ -96,7 +103,6 @@ class BytePairs:
             self.con.register("new_rows", data)
             self.con.execute(f"CREATE TABLE {name} AS FROM new_rows")
             self.con.unregister("new_rows")
-        self.words: dict[str, bytes] = {}
 
     def contract(self, words: list[bytes], query: str) -> list[bytes]:
         """Ids of each word, as buffers of unsigned 32-bit integers."""
@@ -115,51 +121,61 @@ class BytePairs:
         raw = np.asarray(out["tok"]).astype("<u4").tobytes()
         return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words; a word in the vocabulary is its own token."""
-        out: dict[str, bytes] = {}
-        short: list[tuple[str, bytes]] = []
-        long: list[tuple[str, bytes]] = []
-        for word in words:
-            raw = word.encode("utf-8")
-            if (rank := self.ranks.get(raw)) is not None:
-                out[word] = rank.to_bytes(4, "little")
+        out = [b""] * len(words)
+        new: dict[bool, list[int]] = {False: [], True: []}
+        for i, word in enumerate(words):
+            if word == b"\0":  # stands between texts
+                continue
+            if (rank := self.ranks.get(word)) is not None:
+                out[i] = rank.to_bytes(4, "little")
             else:
-                (short if len(raw) <= self.LONG else long).append((word, raw))
-        for some, query, most in ((short, LEFTMOST, 300_000), (long, ALL_OCCURRENCES, 300_000)):
+                new[len(word) > self.LONG].append(i)
+        for long, places in new.items():
             start, held = 0, 0
-            for i, (_, raw) in enumerate(some):
-                held += len(raw)
-                if held >= most or i == len(some) - 1:
-                    group = some[start : i + 1]
-                    out.update(zip([g[0] for g in group], self.contract([g[1] for g in group], query)))
-                    start, held = i + 1, 0
+            for k, i in enumerate(places):
+                held += len(words[i])
+                if held >= 300_000 or k == len(places) - 1:
+                    group = places[start : k + 1]
+                    for at, ids in zip(group, self.contract([words[g] for g in group], ALL_OCCURRENCES if long else LEFTMOST)):
+                        out[at] = ids
+                    start, held = k + 1, 0
         return out
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the words that are not known yet are contracted together."""
-        split = [[self.words_of(p) for p in parts(t)] for t in texts]
-        if len(self.words) > 300_000:
-            self.words = {}
-        known = self.words
-        new = {w for chunks in split for words in chunks for w in words}.difference(known)
-        long = {w: x for w, x in self.encode_words(list(new)).items() if len(w) > self.KEPT or known.setdefault(w, x) is None}
-        look = (lambda w: known.get(w) or long[w]) if long else known.__getitem__
-        return [b"".join([b"".join(map(look, words)) for words in chunks]) for chunks in split]
-
-    def words_of(self, text: str) -> list[str]:
-        if self.pattern == public_tokenizers.PATTERN and PLAIN.fullmatch(text):
-            return WORDS_WITH_SPACE.findall(text)
-        return self.split(text)
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        tok = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that the expression cuts into words."""
+        split = [[w.encode() for w in self.split(p.decode())] for p in pieces]
+        distinct = list({w for words in split for w in words})
+        found = dict(zip(distinct, self.words(distinct))) | {b"\0": self.byte_ids[:1].tobytes()}
+        return [b"".join([found[w] for w in words]) for words in split]
+
+    def plain(self, text: str) -> bool:
+        return not self.own_pattern and super().plain(text)
+
+    def mixed(self, text: str) -> bytes:
+        return self.encode_pieces([text.encode()])[0] if self.own_pattern else super().mixed(text)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each text from the tokens of all and where each ends."""
+        if not len(ids):
+            return [b""] * len(ends)
+        begins = self.begins_run[ids]
+        begins[ends[ends < len(ids)]] = True
+        begins[0] = True
+        starts = np.flatnonzero(begins)
+        spelled, at = self.runs.spell(ids.astype("<i4").tobytes(), 4 * starts)
+        edges = at[np.searchsorted(starts, ends)].tolist()
+        return [bytes(spelled[a:b]) for a, b in zip([0, *edges], edges)]
+
+    def decode_runs(self, runs: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        d = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
+        tok = np.frombuffer(b"".join(runs), "<i4")
         self.con.register("token_rows", pa.table({"d": d, "pos": np.arange(len(d), dtype=np.int32), "tok": tok}))
-        out = [b""] * len(ids)
-        for doc, raw in self.con.execute(DECODE).fetchall():
-            out[doc] = raw
+        out = [b""] * len(runs)
+        for run, raw in self.con.execute(DECODE).fetchall():
+            out[run] = raw
         self.con.unregister("token_rows")
         return out
 
@@ -174,58 +190,75 @@ def model(path: str, pattern: str) -> BytePairs:
 
 
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+DECODED = pa.schema([*IDS, ("bytes", pa.binary())])
+
+
+def encoded(batches: Iterator[pa.RecordBatch], pairs: BytePairs) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            ids = pairs([str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=IDS)
+
+
+def decoded(batches: Iterator[pa.RecordBatch], pairs: BytePairs) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        ends = whole.column("ids").offsets.to_numpy()
+        start = 0
+        while start < whole.num_rows:  # a bounded number of tokens at a time, one row at least
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 1_000_000, "right")) - 1)
+            part = whole.slice(start, stop - start)
+            values = part.column("ids")
+            at = values.offsets.to_numpy()
+            raw = pairs.decode(values.values.to_numpy()[at[0] : at[-1]], at[1:] - at[0])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), values, pa.array(raw, pa.binary())], schema=DECODED)
+            start = stop
+
+
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None, and_decode: bool = False
+) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every whole text, without special tokens.
 
     ``ranks`` is a tiktoken rank file and ``pattern`` the expression that splits texts into
     words.  A null or empty text has no ids.  Repeated rows give repeated rows; a null id stays
-    null; other columns are ignored; an empty table gives no rows.
+    null; other columns are ignored; an empty table gives no rows.  ``and_decode`` adds what
+    :func:`decode` gives for the ids, by the same worker.
     """
     path, words = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker("bpe")
         pairs = model(path, words)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                ids = pairs.encode_texts([str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=IDS)
+        ids = encoded(batches, pairs)
+        yield from decoded(ids, pairs) if and_decode else ids
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>"
+        run, "doc_id long, ids array<int>" + (", bytes binary" if and_decode else "")
     )
 
 
 def decode(tokens: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Add ``bytes``, the concatenated byte strings of ``ids``; empty ids give no bytes."""
+    """``doc_id``, ``ids`` and ``bytes``, the concatenated byte strings of ``ids`` (columns of those names are read).
+
+    Null or empty ids give no bytes.  A null ``doc_id`` stays null; repeated rows give repeated
+    rows; other columns are ignored; an empty table gives no rows.  Ids that are not in the
+    vocabulary are an error.
+    """
     path, words = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    schema = pa.schema([*IDS, ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = model(path, words)
-        for whole in batches:
-            ends = whole.column("ids").offsets.to_numpy()
-            start = 0
-            while start < whole.num_rows:  # a bounded number of tokens at a time, one row at least
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 500_000, "right")) - 1)
-                part = whole.slice(start, stop - start)
-                values = part.column("ids")
-                at = values.offsets.to_numpy()
-                flat = values.values.to_numpy()
-                raw = pairs.decode([flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), values, pa.array(raw, pa.binary())], schema=schema)
-                start = stop
-
-    return tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
+        fresh_worker("bpe")
+        yield from decoded(batches, model(path, words))
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
         run, "doc_id long, ids array<int>, bytes binary"
     )
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents"))).select(
+    return encode(table(spark, sf_dir, "documents"), and_decode=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
