@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table, text_bytes
+from .common import fresh_worker, shared_dir, slices, table, text_bytes
 from .pieces import tokenizer_words
 
 LIST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -27,12 +27,13 @@ ENCODINGS = {
 }
 
 
-def encode_lists(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
+def encode_lists(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, specials_as_text: bool = False) -> DataFrame:
     """One row per document with its ids as a list, the end id last; keeps the rows' order."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_words(path)
+        fresh_worker("pieces")
+        encode = tokenizer_words(path, specials_as_text)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()]
@@ -60,12 +61,14 @@ def write_token_files(
     row_group_bytes: int = 16 << 20,
     page_bytes: int = 256 << 10,
     page_rows: int = 1000,
+    specials_as_text: bool = False,
 ) -> None:
     """Write every whole text's ids in ascending id order, each file a range of ids.
 
     The texts, which are smaller than their ids, are what the range exchange moves.  A null or
     empty text is the end id alone; null ids come first; repeated rows are all written; other
-    columns are ignored; an empty table gives files without rows.
+    columns are ignored; an empty table gives files without rows.  The string of an added token
+    of the tokenizer file gives that token's id unless ``specials_as_text``.
     """
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -78,7 +81,7 @@ def write_token_files(
         "parquet.page.size": str(page_bytes),
         "parquet.page.row.count.limit": str(page_rows),
     }
-    encode_lists(ordered, "doc_id", "text", model, end_id).write.options(**options).parquet(path)
+    encode_lists(ordered, "doc_id", "text", model, end_id, specials_as_text).write.options(**options).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
