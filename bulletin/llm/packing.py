@@ -1,14 +1,16 @@
 """Harmonic packing of token ids into sequences of fixed capacity.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of exactly capacity / 2^k
-ids and each of its bins takes exactly 2^k of them, so a full bin has no padding.  A document
-is cut into full sequences and the binary digits of what remains.  Every Spark task fills its
-own bins, without any exchange; the pieces that a task's last bin of a class lacks partners for
-go to shorter sequences of a power of two.
+A document gives its full sequences; what remains, of length n, belongs to class
+k = floor(capacity / n), and a bin of class k takes exactly k such remainders.  What a full bin
+lacks to the capacity is filled by the head of a later document, if ``least`` ids or more would
+go there and stay behind.  Every Spark task fills its own bins, without any exchange; the
+remainders in its open bins fill the last gaps and then sequences one after the other, of which
+the last is cut into powers of two.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, text_bytes
+from .common import fresh_worker, slices, table, text_bytes
 from .pieces import tokenizer_words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -27,42 +29,75 @@ ARROW = pa.schema(
 )
 
 
-def class_lengths(n: int, capacity: int) -> list[int]:
-    """Piece lengths for n ids: full sequences, then the binary digits of the rest."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
-
-
 class Bins:
-    """The open bin of each class in one task; full bins move to ``rows``."""
+    """The open bins of one task; placed pieces move to ``rows``."""
 
-    def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next_id = capacity, first_id
-        self.open: dict[int, list[tuple]] = {}
+    def __init__(self, capacity: int, first_id: int, least: int):
+        self.capacity, self.next_id, self.least = capacity, first_id, least
+        self.open: dict[int, list[tuple]] = {}  # by class: (document, start, ids, ids of the document)
+        self.gaps: list[tuple[int, int]] = []  # (free ids at the end, sequence), the smallest first
         self.rows: list[tuple] = []
         self.held = 0
 
+    def put(self, piece: tuple, sequence: int, offset: int) -> int:
+        doc, start, ids, n = piece
+        self.rows.append((doc, start, len(ids) // 4, ids, n, sequence, offset))
+        self.held += len(ids) // 4
+        return offset + len(ids) // 4
+
+    def sequence(self, pieces: list[tuple]) -> int:
+        """A new sequence of these pieces; gives what is left of it."""
+        offset = 0
+        for piece in pieces:
+            offset = self.put(piece, self.next_id, offset)
+        self.next_id += 1
+        return self.capacity - offset
+
     def add(self, doc, ids: bytes) -> None:
         n, start = len(ids) // 4, 0
-        for length in class_lengths(n, self.capacity):
-            bin_ = self.open.setdefault(length, [])
-            bin_.append((doc, start, length, ids[4 * start : 4 * (start + length)], n))
-            start += length
-            if len(bin_) * length == self.capacity:
-                self.close(length, len(bin_))
-
-    def close(self, length: int, count: int) -> None:
-        bin_ = self.open[length]
-        for k, piece in enumerate(bin_[:count]):
-            self.rows.append((*piece, self.next_id, k * length))
-        self.held += count * length
-        self.next_id += 1
-        del bin_[:count]
+        at = bisect_right(self.gaps, (n - self.least, self.next_id)) - 1
+        if at >= 0:
+            gap, sequence = self.gaps.pop(at)
+            self.put((doc, 0, ids[: 4 * gap], n), sequence, self.capacity - gap)
+            start = gap
+        while n - start >= self.capacity:
+            self.sequence([(doc, start, ids[4 * start : 4 * (start + self.capacity)], n)])
+            start += self.capacity
+        if start < n:
+            k = self.capacity // (n - start)
+            bin_ = self.open.setdefault(k, [])
+            bin_.append((doc, start, ids[4 * start :], n))
+            if len(bin_) == k:
+                self.gap(self.sequence(self.open.pop(k)))
+
+    def gap(self, size: int) -> None:
+        if size >= self.least:
+            insort(self.gaps, (size, self.next_id - 1))
 
     def finish(self) -> None:
-        for length, bin_ in self.open.items():
-            while bin_:
-                self.close(length, 1 << (len(bin_).bit_length() - 1))
+        """Fill the gaps, the largest first, and then new sequences with what the open bins hold."""
+        left = [piece for k in sorted(self.open) for piece in self.open[k]]
+        left.reverse()
+        self.open = {}
+
+        def fill(size: int, sequence: int, offset: int) -> None:
+            while size and left:
+                doc, start, ids, n = left.pop()
+                if len(ids) > 4 * size:
+                    left.append((doc, start + size, ids[4 * size :], n))
+                    ids = ids[: 4 * size]
+                size -= len(ids) // 4
+                offset = self.put((doc, start, ids, n), sequence, offset)
+
+        while self.gaps and left:
+            size, sequence = self.gaps.pop()
+            fill(size, sequence, self.capacity - size)
+        total = sum(len(p[2]) for p in left) // 4
+        while total:
+            size = self.capacity if total >= self.capacity else 1 << (total.bit_length() - 1)
+            fill(size, self.next_id, 0)
+            self.next_id += 1
+            total -= size
 
     def take(self) -> pa.RecordBatch:
         columns = zip(*self.rows) if self.rows else [[]] * len(ARROW)
@@ -78,6 +113,8 @@ def pack(
     tokenizer: str | None = None,
     capacity: int = 1024,
     end_id: int = 0,
+    least: int = 16,
+    specials_as_text: bool = False,
 ) -> DataFrame:
     """Pack every whole text into sequences of at most ``capacity`` ids (a power of two).
 
@@ -85,7 +122,9 @@ def pack(
     ``ids`` (unsigned 32-bit little-endian), ``doc_tokens`` (with the end id), ``sequence_id``
     and ``offset`` there.  A null or empty text is the end id alone.  Repeated rows are packed
     as often as they occur; a null id stays null; other columns are ignored; an empty table
-    gives no rows.
+    gives no rows.  Pieces that fill gaps have at least ``least`` ids (but for the last bins of a
+    task).  The string of an added token of the tokenizer file gives that token's id unless
+    ``specials_as_text``.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -93,8 +132,9 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_words(path)
-        bins = Bins(capacity, TaskContext.get().partitionId() << 40)
+        fresh_worker("pieces")
+        encode = tokenizer_words(path, specials_as_text)
+        bins = Bins(capacity, TaskContext.get().partitionId() << 40, least)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()]
