@@ -196,6 +196,7 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 50) -> np.ndarra
     after, before = b @ hot, b.T @ hot  # of each word: counts of the classes after and before it
     pairs = hot.T @ after
     of_word = b.sum(1) + b.sum(0)
+    base = xlogx(pairs)
     for _ in range(sweeps if n_classes > 2 else 0):
         moved = 0
         for w in range(1, k):
@@ -206,12 +207,12 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 50) -> np.ndarra
             pairs[old] -= r
             pairs[:, old] -= l
             pairs[old, old] -= self_n
-            base = xlogx(pairs)
-            rows = xlogx(pairs + r) - base
-            columns = xlogx(pairs + l[:, None]) - base
-            here = np.diagonal(pairs)
-            gain = rows.sum(1) - np.diagonal(rows) + columns.sum(0) - np.diagonal(columns)
-            gain += xlogx(here + r + l + self_n) - np.diagonal(base)
+            base[old], base[:, old] = xlogx(pairs[old]), xlogx(pairs[:, old])
+            here, of_here = np.diagonal(pairs), np.diagonal(base)
+            some, others = np.flatnonzero(r), np.flatnonzero(l)  # only cells that change count
+            gain = (xlogx(pairs[:, some] + r[some]) - base[:, some]).sum(1) - (xlogx(here + r) - of_here)
+            gain += (xlogx(pairs[others] + l[others, None]) - base[others]).sum(0) - (xlogx(here + l) - of_here)
+            gain += xlogx(here + r + l + self_n) - of_here
             left, right = pairs.sum(1), pairs.sum(0)
             gain -= xlogx(left + r.sum() + self_n) - xlogx(left) + xlogx(right + l.sum() + self_n) - xlogx(right)
             gain[0] = -np.inf
@@ -221,6 +222,7 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 50) -> np.ndarra
             pairs[new] += r
             pairs[:, new] += l
             pairs[new, new] += self_n
+            base[new], base[:, new] = xlogx(pairs[new]), xlogx(pairs[:, new])
             if new != old and of_word[w]:
                 moved += 1
                 classes[w] = new
