@@ -82,8 +82,9 @@ def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
     return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
 
 
-def spelled(codes: np.ndarray, min_size: int) -> bytes:
-    """What the codes of one run (without clear and end codes) spell, up to the first impossible one.
+def spelled(codes: np.ndarray, min_size: int, most: int) -> bytes:
+    """What the codes of one run (without clear and end codes) spell, up to the first impossible one
+    and the code that reaches ``most`` bytes.
 
     The k-th entry of the table is what the k-th code spells and the byte after it, so a code
     copies bytes that stand before it in the output.  Lengths and bytes are found for all codes
@@ -101,7 +102,8 @@ def spelled(codes: np.ndarray, min_size: int) -> bytes:
     while (jump != n).any():
         lengths += lengths[jump]
         jump = jump[jump]
-    lengths = lengths[:n]
+    n = min(n, int(np.searchsorted(np.cumsum(lengths[:n]), most)) + 1)
+    codes, literal, parent, places, lengths = (x[:n] for x in (codes, literal, parent, places, lengths))
     starts = np.cumsum(lengths) - lengths
     owner = np.repeat(places, lengths)
     at = np.arange(len(owner))
@@ -139,7 +141,7 @@ def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
             n = min((len(bits) - at) // 12, 4096) if n == len(mask) or len(run) > 1 else 0
             ends, cells = 12 * np.arange(n + 1), np.arange(16)[None, :].repeat(n, 0) < 12
         if run:
-            out.append(spelled(np.concatenate(run), min_size))
+            out.append(spelled(np.concatenate(run), min_size, most - got))
             got += len(out[-1])
         if stop == end:
             break
@@ -151,13 +153,15 @@ def blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Red is the index, so the red channel gives the samples back; green and blue (odd multiples,
+#: modulo 256) spread neighbouring values over the colour space.
+PALETTE = bytes(v % 256 for i in range(256) for v in (i, 37 * i + 11, 101 * i + 53))
 
 
 def gif_encode(samples: bytes, width: int = UNIT, frame_rows: int = FRAME_ROWS, delay_cs: int = 10) -> bytes:
-    """Samples, a positive multiple of ``width``, as a grey GIF of frames of ``frame_rows`` rows."""
+    """Samples, a positive multiple of ``width``, as a GIF of frames of ``frame_rows`` rows."""
     rows = len(samples) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), GREY]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), PALETTE]
     out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
     for top in range(0, rows, frame_rows):
         n = min(frame_rows, rows - top)
@@ -168,23 +172,25 @@ def gif_encode(samples: bytes, width: int = UNIT, frame_rows: int = FRAME_ROWS,
     return b"".join(out)
 
 
-def gif_decode(media: bytes) -> list[dict]:
+def gif_decode(media: bytes, most_pixels: int = 1 << 24) -> Iterator[dict]:
     """The frames of a GIF in order, each the canvas after drawing.
 
     A frame has left, top, width, height of its own image, delay_cs, disposal, start_cs, the
     canvas size, ``canvas`` (rows x columns x RGBA) and ``samples``, the red channel of its
-    image's area.  What is not a GIF has no frames; a damaged one ends where it breaks.
+    image's area.  What is not a GIF has no frames; a damaged one ends where it breaks, as does
+    one whose canvas or next image claims more than ``most_pixels``.
     """
-    frames: list[dict] = []
     try:
         if media[:3] != b"GIF":
-            return frames
+            return
         canvas_w, canvas_h, flags = struct.unpack_from("<HHB", media, 6)
         at, palette = 13, None
         if flags & 0x80:
             n = 3 << (flags & 7) + 1
             palette = np.frombuffer(media, np.uint8, n, at).reshape(-1, 3)
             at += n
+        if canvas_w * canvas_h > most_pixels:
+            return
         canvas = np.zeros((canvas_h, canvas_w, 4), np.uint8)
         control, clock = (0, 0, None), 0
 
@@ -213,6 +219,8 @@ def gif_decode(media: bytes) -> list[dict]:
                 colours = np.frombuffer(media, np.uint8, n, at).reshape(-1, 3)
                 at += n
             min_size = media[at]
+            if w * h > most_pixels:
+                break
             data, at = body(at + 1)
             indices = np.frombuffer(lzw_decode(data, min_size, w * h), np.uint8)
             drawn = len(indices) == w * h
@@ -234,7 +242,7 @@ def gif_decode(media: bytes) -> list[dict]:
             else:
                 opaque = shown != clear_index
                 area[opaque] = full[shown[opaque]]
-            frames.append(
+            yield (
                 {"left": left, "top": top, "width": w, "height": h, "delay_cs": delay, "start_cs": clock, "disposal": disposal,
                  "canvas_width": canvas_w, "canvas_height": canvas_h, "canvas": canvas.copy(), "samples": area[:, :, 0].tobytes()}
             )
@@ -247,8 +255,7 @@ def gif_decode(media: bytes) -> list[dict]:
             if not drawn:
                 break
     except (IndexError, struct.error, ValueError, KeyError):
-        pass
-    return frames
+        return
 
 
 def histogram(rgb: np.ndarray) -> list[int]:
@@ -285,12 +292,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     )
 
 
-def frames(rows: DataFrame, media_col: str = "media", canvas: bool = True) -> DataFrame:
+def frames(rows: DataFrame, media_col: str = "media", canvas: bool = True, most_pixels: int = 1 << 24) -> DataFrame:
     """Add ``frames``, the decoded timed frames of a media column, to the other columns.
 
+    A column of that name is replaced.  Repeated rows repeat; an empty table gives no rows.
+
     Each frame has its place, times, disposal, a 64-bin colour histogram, ``samples`` (the red
-    channel of its area) and, if asked for, ``canvas`` (RGBA).  Null or foreign media have none.
+    channel of its area) and, if asked for, ``canvas`` (RGBA).  Null or foreign media have none;
+    media that claim over ``most_pixels`` for a canvas or an image end there.
     """
+    rows = rows.select(*[rows[c] for c in rows.columns if c.lower() != "frames"])
     schema = StructType([*rows.schema.fields, StructField("frames", DataType.fromDDL(FRAME))])
     names = [n for n in ("left top width height delay_cs start_cs disposal canvas_width canvas_height").split()]
 
@@ -308,7 +319,7 @@ def frames(rows: DataFrame, media_col: str = "media", canvas: bool = True) -> Da
         )
         for whole in batches:
             for batch in slices(whole, media_col, 2_000_000):
-                decoded = [[row(f) for f in gif_decode(m)] if m else [] for m in batch.column(media_col).to_pylist()]
+                decoded = [[row(f) for f in gif_decode(m, most_pixels)] if m else [] for m in batch.column(media_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, kind)], names=[*batch.schema.names, "frames"])
 
     return rows.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shingles
-from .common import small, stored, table
+from .common import fresh_names, small, stored, table
 from .components import components
 
 #: From this frequency class on an n-gram is counted before its rows meet.
@@ -135,8 +135,8 @@ def with_prefix_overlap(pairs: DataFrame, heads: DataFrame, percent: int) -> Dat
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, order, size: int, percent: int, fragments: int) -> DataFrame:
     """The pairs that link: overlaps are counted in each fragment and summed per pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
-    wanted = small(stored(wanted.select(F.xxhash64("doc_id").alias("key"), "set_id"), "jaccard-wanted"))
-    rows = texts.withColumn("key", F.xxhash64("doc_id")).join(wanted, "key")
+    wanted = small(stored(wanted.select("key", "set_id"), "jaccard-wanted"))
+    rows = texts.join(wanted, "key")
     segments = stored(shingles.segments(rows, order, size, fragments), "jaccard-segments")
     side = lambda k: segments.select(F.col("set_id").alias(k), "fragment", F.col("keys").alias(f"keys_{k}"))
     part = F.max(F.size(F.array_intersect("keys_a", "keys_b"))).alias("part")  # repeated rows give equal parts
@@ -168,7 +168,7 @@ def near_duplicates(
     texts = shingles.texts_of(docs, id_col, text_col)
     order = shingles.frequency_classes(texts, size)
     sets = stored(shingles.prefixes(texts, order, size, percent), "jaccard-sets")
-    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("key").alias("key"))
     heads = stored(live_heads(sets, percent), "jaccard-heads")
     links, labels = spark.createDataFrame([], "a long, b long"), None
     most = 3 * (heads.agg(F.sum(F.size("head"))).first()[0] or 0)
@@ -199,8 +199,9 @@ def near_duplicates(
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """``docs`` with the smallest id of each group of near duplicates; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, percent=percent)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone_id = fresh_names(docs, "gone_id")[0]
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "jaccard-gone")
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col(gone_id), "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

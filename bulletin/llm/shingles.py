@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import fresh_worker, slices, text_bytes
 
 #: Buckets of the frequency sketch, and the counts from which a bucket is in class 1, 2, ... 7.
 BUCKET_BITS = 20
@@ -115,6 +115,7 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker("shingles")
         totals = np.zeros(1 << BUCKET_BITS, np.int64)
         held: list[np.ndarray] = []
         seen: set[bytes] = set()
@@ -152,7 +153,9 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    """doc_id, text (bytes) and ``key``, a hash of both, so that rows without an id differ too."""
+    doc_id, text = F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")
+    return docs.select(doc_id, text).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def set_hash(keys: np.ndarray) -> int:
@@ -165,15 +168,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-SETS = "doc_id long, n_shingles long, set_id long, prefix array<long>"
+SETS = "doc_id long, key long, n_shingles long, set_id long, prefix array<long>"
 
 
 def prefixes(texts: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
     """Size, 64-bit hash and prefix in the global order of every text's set."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker("shingles")
         table = shared.value
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
@@ -183,7 +187,7 @@ def prefixes(texts: DataFrame, classes: np.ndarray, size: int, percent: int) ->
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*cut, np.empty(0, np.int64)])))
                 ids = np.array([set_hash(k) for k in sets], np.int64)
                 sizes = pa.array([len(k) for k in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), sizes, pa.array(ids), lists], schema=schema)
 
     return texts.mapInArrow(run, SETS)
 
@@ -205,6 +209,7 @@ def segments(texts: DataFrame, classes: np.ndarray, size: int, fragments: int) -
     schema = pa.schema([("set_id", pa.int64()), ("fragment", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker("shingles")
         table = shared.value
         for whole in batches:
             for batch in slices(whole, "text", SLICE):

@@ -26,7 +26,6 @@ def reference():
     found = {"tik": lambda t: tik.encode_ordinary(t)}
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         model = Tokenizer.from_file(public_tokenizers.path(name))
-        model.encode_special_tokens = True
         found[name] = lambda t, m=model: m.encode(t, add_special_tokens=False).ids
     return found
 
