@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from .text import _c
 
-# The accepted formats in order of trial, and Devanagari digits.
+# The accepted formats in order of trial (a weekday before them is cut off first), and
+# Devanagari digits.  Short month names come last.
 FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "MMMM d, yyyy", "MMM d, yyyy",
-    "d MMMM yyyy", "d MMM yyyy", "yyyy.MM.dd", "dd.MM.yyyy",
+    "MMMM d, yyyy, h:mm a", "MMMM d, yyyy", "d MMMM yyyy", "d MMMM, yyyy", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "d-M-yyyy", "d/M/yyyy",
+    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "MMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX",
 ]
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 
@@ -21,6 +22,7 @@ DEVANAGARI_DIGITS = "०१२३४५६७८९"
 def parsed(c: str | Column) -> Column:
     """The first format that fits, after Devanagari digits and white space are made plain; else null."""
     t = F.trim(F.regexp_replace(F.translate(_c(c), DEVANAGARI_DIGITS, "0123456789"), r"\s+", " "))
+    t = F.regexp_replace(t, r"^[A-Za-z]+, (?=[A-Za-z]+ \d)", "")
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in FORMATS)).cast("timestamp_ntz")
 
 

@@ -7,13 +7,28 @@ from pyspark.sql import functions as F
 
 from .text import _c
 
-# Extensions of files, path words of articles and of other pages, categories by path word.
-FILES = r"\.(pdf|docx?|xlsx?|pptx?|zip|rar|jpe?g|png|gif|mp[34])$"
-ARTICLE_WORDS = ["news", "notice", "press", "article", "post", "story", "announcement", "circular", "tender", "vacancy", "result"]
-OTHER_WORDS = ["tag", "author", "category", "page", "search", "login", "contact", "about", "gallery", "archive"]
+# Extensions of files; hosts never followed; path words of listings and of static
+# pages; query keys of listings; categories by path word.
+FILES = r"\.(pdf|jpg|jpeg|png|gif|doc|docx|xls|xlsx|zip)$"
+OFFSITE = ["facebook.", "twitter.", "x.com", "instagram.", "youtube.", "youtu.be", "linkedin.", "tiktok.", "whatsapp.", "telegram.", "google.com/maps"]
+TAXONOMY = ["category", "categories", "tag", "tags", "topic", "section", "taxonomy"]
+STATIC = [
+    "contact", "contact-us", "about", "about-us", "privacy", "privacy-policy", "terms", "terms-and-conditions", "disclaimer",
+    "sitemap", "feed", "rss", "gallery", "photo", "photos", "photo-gallery", "video", "videos", "faq", "help", "cart", "checkout",
+    "account", "profile", "wp-admin", "wp-login", "admin", "login", "signin", "signup", "register", "logout", "staff", "team",
+    "organization", "organogram", "citizen-charter", "downloads-page", "department", "departments", "faculty", "faculties",
+    "school", "schools", "programs", "programmes", "courses", "curriculum", "syllabus", "admission", "admissions",
+    "fee-structure", "fees", "scholarship", "scholarships", "library", "alumni", "research", "leadership", "governance",
+    "history", "vision", "mission", "facilities", "campus", "campuses", "collaboration", "collaborations", "index", "home", "news-app",
+]
+FILTER_KEYS = ["category", "cat", "tag", "type", "sort", "order", "q", "s", "keyword"]
 CATEGORY_WORDS = {
-    "tender": "TENDER", "bid": "TENDER", "procurement": "TENDER", "vacancy": "VACANCY", "career": "VACANCY", "job": "VACANCY",
-    "press": "PRESS_RELEASE", "news": "NEWS", "notice": "NOTICE", "circular": "CIRCULAR", "result": "RESULT", "act": "ACT", "report": "REPORT",
+    "notice": "NOTICE", "notices": "NOTICE", "suchana": "NOTICE", "details-of-printed-licenses": "NOTICE",
+    "driving-license": "NOTICE", "license": "NOTICE", "licenses": "NOTICE", "smart-card": "NOTICE", "news": "NEWS",
+    "samachar": "NEWS", "press-release": "PRESS_RELEASE", "press_release": "PRESS_RELEASE", "pressrelease": "PRESS_RELEASE",
+    "circular": "CIRCULAR", "paripatra": "CIRCULAR", "tender": "TENDER", "tenders": "TENDER", "bid": "TENDER", "boli": "TENDER",
+    "bolpatra": "TENDER", "procurement": "TENDER", "vacancy": "VACANCY", "vacancies": "VACANCY", "job": "JOB", "career": "JOB",
+    "recruitment": "JOB", "intern": "INTERNSHIP", "internship": "INTERNSHIP", "trainee": "INTERNSHIP",
 }
 
 
@@ -45,35 +60,57 @@ def segments(url: str | Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.try_parse_url(_c(url), F.lit("PATH")), F.lit(""))), "/"), lambda s: s != "")
 
 
-def article_reason(url: str | Column) -> Column:
-    """Why a URL is or is not taken for an article; the first rule that applies."""
-    s = segments(url)
-    words = lambda names: F.arrays_overlap(s, F.array(*map(F.lit, names)))
-    last = F.coalesce(F.get(s, F.size(s) - 1), F.lit(""))
+def article_reason(url: str | Column, base: str | Column | None = None, listings: list[str] = []) -> Column:
+    """Why a URL is taken for an article (``file``, ``article``) or not: the first rule that applies.
+
+    ``base`` is the source's own address: other hosts than it, its subdomains or its parent are
+    no articles of it.  ``listings`` are addresses of lists.
+    """
+    u = _c(url)
+    netloc = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+    path = F.lower(F.regexp_extract(u, r"//[^/?#]*([^?#]*)", 1))
+    s = F.filter(F.split(path, "/"), lambda x: x != "")
+    bare = lambda c: F.regexp_replace(F.substring_index(c, "#", 1), "/+$", "")
+    own = lambda c: F.regexp_replace(F.substring_index(c, ":", 1), r"^www\.", "")
+    keys = F.transform(F.filter(F.split(query, "&"), lambda k: k != ""), lambda k: F.lower(F.substring_index(k, "=", 1)))
+    sets = F.exists(keys, lambda k: k.startswith("search") | k.startswith("filter") | k.isin(FILTER_KEYS))
+    other, listed = F.lit(False), bare(u).isin(["", *(x.split("#")[0].rstrip("/") for x in listings)])
+    if base is not None:
+        home = own(F.lower(F.regexp_extract(_c(base), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)))
+        mine = own(netloc)
+        near = (mine == home) | F.endswith(mine, F.concat(F.lit("."), home)) | F.endswith(home, F.concat(F.lit("."), mine))
+        other, listed = (mine != "") & (home != "") & ~near, listed | (bare(u) == F.regexp_replace(_c(base), "/+$", ""))
     return (
-        F.when(F.try_parse_url(_c(url), F.lit("HOST")).isNull(), "no host")
-        .when(is_file(url), "file")
-        .when(F.size(s) == 0, "home page")
-        .when(words(OTHER_WORDS), "listing")
-        .when(last.rlike(r"^\d+$") | last.rlike(r"-\d+$"), "numbered")
-        .when(words(ARTICLE_WORDS) & (F.size(s) >= 2), "section")
-        .when(F.length(last) - F.length(F.replace(last, F.lit("-"))) >= 2, "slug")
-        .otherwise("unclear")
+        F.when(~F.coalesce(F.lower(u).rlike("^https?:"), F.lit(False)), "scheme")
+        .when(F.exists(F.array(*map(F.lit, OFFSITE)), lambda h: F.contains(netloc, h)), "offsite")
+        .when(other, "other host")
+        .when(listed, "listing")
+        .when((F.size(s) == 0) & (query == ""), "home page")
+        .when(path.rlike(FILES), "file")
+        .when((F.size(s) <= 2) & F.get(s, F.lit(0)).isin(TAXONOMY), "taxonomy")
+        .when(F.get(s, F.size(s) - 1).isin(STATIC), "static")
+        .when(F.size(s) == 0, "query only")
+        .when(sets, "filter")
+        .otherwise("article")
     )
 
 
 def is_article(reason: Column) -> Column:
-    return reason.isin("numbered", "section", "slug")
+    return reason.isin("file", "article")
 
 
 def category(url: str | Column) -> Column:
-    """Category by the first path segment that is a category word, else by a word inside a short segment."""
-    s = segments(url)
+    """Category of the first path segment (numbers apart) that is a category word or, if short, holds one."""
     table = F.create_map(*[F.lit(x) for kv in CATEGORY_WORDS.items() for x in kv])
-    exact = F.get(F.filter(F.transform(s, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()), F.lit(0))
-    short = F.array_join(F.filter(s, lambda x: F.length(x) < 30), "/")
-    inside = F.coalesce(*(F.when(F.contains(short, F.lit(w)), F.lit(c)) for w, c in CATEGORY_WORDS.items()))
-    return F.coalesce(exact, inside)
+
+    def told(segment: Column) -> Column:
+        plain = F.replace(segment, F.lit("_"), F.lit("-"))
+        inside = F.coalesce(*(F.when(F.contains(plain, F.lit(w)), F.lit(c)) for w, c in CATEGORY_WORDS.items()))
+        return F.coalesce(F.try_element_at(table, plain), F.when(F.length(plain) < 30, inside))
+
+    words = F.filter(segments(url), lambda x: ~x.rlike(r"^\d+$"))
+    return F.get(F.filter(F.transform(words, told), lambda x: x.isNotNull()), F.lit(0))
 
 
 def file_title(url: str | Column) -> Column:

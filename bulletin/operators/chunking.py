@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -162,11 +162,81 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
-def simple_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
-    """Windows of ``size`` characters that advance by ``size - overlap``: columns only."""
-    n, step = F.length("text"), size - overlap
-    last = F.greatest(F.ceil((n - overlap) / step).cast("int") - 1, F.lit(0))
-    rows = docs.where(n > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("index"))
-    return rows.select(
-        "doc_id", "index", (F.col("index") * step).alias("char_start"), F.substring("text", F.col("index") * step + 1, F.lit(size)).alias("content")
-    )
+def fitted(parts: list[str], size: int) -> Iterator[str]:
+    """Parts joined by spaces while they fit in ``size`` (a part counts one more); a longer part stands alone."""
+    held = ""
+    for part in parts:
+        if len(held) + len(part) + 1 <= size:
+            held = f"{held} {part}".strip()
+            continue
+        if held:
+            yield held
+        held = part
+    if held:
+        yield held
+
+
+def simple_segments(text: str, size: int) -> Iterator[str]:
+    """Paragraphs; those over ``size`` by sentences, and sentences over it by words."""
+    for paragraph in re.split(r"\n\s*\n", text):
+        paragraph = paragraph.strip()
+        if len(paragraph) <= size:
+            if paragraph:
+                yield paragraph
+            continue
+        short: list[str] = []
+        for sentence in re.split(r"(?<=[.!?।])\s+", paragraph):
+            if len(sentence) <= size:
+                short.append(sentence)
+                continue
+            yield from fitted(short, size)
+            short = []
+            yield from fitted(sentence.split(), size)
+        yield from fitted(short, size)
+
+
+def simple_pieces(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(start, content): segments packed with line breaks; each chunk begins with the tail of the one
+    before, from behind the first space in its last ``overlap`` characters."""
+    held, start = "", 0
+    for segment in simple_segments(text, size):
+        if held and len(held) + len(segment) + 1 > size:
+            yield start, held
+            start += len(held) - overlap
+            tail = held[-overlap:] if 0 < overlap < len(held) else ""
+            held = tail[tail.find(" ") + 1 :]
+        held = f"{held}\n{segment}" if held else segment
+    if held.strip():
+        yield start, held
+
+
+def simple_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
+    """Plain packed chunks (``doc_id``, ``index``, ``char_start``, ``char_end``, ``content``) of every document.
+
+    Starts count packed characters.  A null or blank text has no chunks.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (i, k, start, start + len(content), content)
+                for i, t in zip(frame["doc_id"], frame["text"]) if t and t.strip()
+                for k, (start, content) in enumerate(simple_pieces(t, size, overlap))
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "index", "char_start", "char_end", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, index int, char_start int, char_end int, content string")
+
+
+def deduped_paragraphs(docs: DataFrame, id_col: str, text_col: str, least: int = 24) -> DataFrame:
+    """``id_col``, ``paragraphs`` (how many stay) and ``text`` without the repeats of earlier paragraphs.
+
+    Paragraphs are parted by blank lines and compared with white space squeezed; those of fewer
+    than ``least`` characters always stay.
+    """
+    rows = docs.select(id_col, F.posexplode(F.split(text_col, "\n\n")).alias("pos", "p"))
+    rows = rows.withColumn("key", F.trim(F.regexp_replace("p", r"(?U)\s+", " ")))
+    first = F.row_number().over(Window.partitionBy(id_col, "key").orderBy("pos"))
+    kept = rows.withColumn("turn", first).where((F.length("key") < least) | (F.col("turn") == 1))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])
+    return kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("paragraphs"), F.array_join(parts, "\n\n").alias("text"))

@@ -83,17 +83,17 @@ def accepted_text(old_quality: Column, new_quality: Column, length: Column, leas
 
 
 def upsert_batches(items: DataFrame, path: str, checkpoint: str):
-    """Start a query that appends each micro-batch's first item of a URL not stored under ``path`` yet."""
+    """Start a query that appends each micro-batch's first item of a URL not stored under ``path`` yet.
+
+    Items without a URL cannot be told apart and are left out.
+    """
     spark = items.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        first = latest_wins(batch, "url", [F.col("position")])
-        try:
-            known = spark.read.schema(batch.schema).parquet(path).select("url")
-            first = first.join(known, "url", "left_anti")
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        first = latest_wins(batch.where("url IS NOT NULL"), "url", [F.col("position")])
+        spark.createDataFrame([], batch.schema).write.mode("append").parquet(path)  # so that there is a table to read
+        known = spark.read.schema(batch.schema).parquet(path).select("url")
+        first = first.join(known, "url", "left_anti").select(*batch.columns)
         first.write.mode("append").parquet(path)
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -106,10 +106,10 @@ def newest_per_source(spark, path):
     f"""WITH {NOTICES_SQL}, s AS (
       SELECT id, title, effective_at, trim(regexp_replace(lower(title), '[^a-z0-9ऀ-ॿ]+', '-', 'g'), '-') AS slug FROM notices
       WHERE length(title) >= 8 AND lower(trim(title)) <> '(untitled)' AND length(regexp_replace(title, '[^A-Za-zऄ-ॿ]', '', 'g')) >= 5)
-    SELECT id, slug || '-' || id AS slug, strftime(effective_at, '%Y-%m-%d') AS day FROM s ORDER BY effective_at DESC, id DESC LIMIT 5000""",
+    SELECT id, slug || '-' || id AS slug, strftime(effective_at, '%Y-%m-%d') AS day FROM s ORDER BY effective_at DESC, id DESC LIMIT 50000""",
 )
 def sitemap_feed(spark, path):
     from ..functions.text import slug, storable_title
 
-    rows = notices(spark, path).where(storable_title("title")).orderBy(F.desc("effective_at"), F.desc("id")).limit(5000)
+    rows = notices(spark, path).where(storable_title("title")).orderBy(F.desc("effective_at"), F.desc("id")).limit(50000)
     return rows.select("id", F.concat_ws("-", slug("title"), "id").alias("slug"), day_text("effective_at").alias("day"))

@@ -8,15 +8,20 @@ from ..operators import chunking, classify, extraction
 from ..sources.tables import NOTICES_SQL, notices, table
 from .registry import query
 
-HAS = "len(list_filter([{words}], lambda w: contains({c}, w))) > 0"
+def _any(c: str, words: list[str]) -> str:
+    return f"len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains({c}, w))) > 0"
 
 
-def _case(c: str, confidence: str | None = None) -> str:
+def _case(answer) -> str:
+    """The tiers as branches of a CASE; ``answer`` gives what stands for (category, confidence)."""
     out = []
-    for name, p, words in classify.TIERS:
-        test = HAS.format(words=", ".join(f"'{w}'" for w in words), c=c)
-        out.append(f"WHEN {test} THEN {confidence or p if confidence is not None else repr(name)}")
-    return " ".join(out)
+    for name, p, words, in_slug in classify.TIERS:
+        told = answer(name, p)
+        if name == "JOB" and told == "'JOB'":
+            told = f"CASE WHEN {_any('low', classify.VACANT)} OR {_any('slug', classify.VACANT)} THEN 'VACANCY' ELSE 'JOB' END"
+        out.append(f"WHEN {_any('low', words)} OR {_any('lower(slug)', in_slug)} THEN {told}")
+    out.append(f"WHEN coalesce(source_label, '') <> '' AND route <> 'OTHER' THEN {answer('route', 0.8)}")
+    return " ".join(out + [f"WHEN {_any('t', words)} THEN {answer(name, p)}" for name, p, words in classify.IN_TEXT])
 
 
 @query("chunk_documents", None)
@@ -24,12 +29,7 @@ def chunk_documents(spark, path):
     return chunking.chunk_documents(table(spark, path, "documents")).select("doc_id", "index", "char_start", "char_end", F.length("content").cast("int").alias("chars"), "section")
 
 
-@query(
-    "simple_chunks",
-    """WITH d AS (SELECT doc_id, text, greatest(ceil((length(text) - 120) / 680)::INT - 1, 0) AS last FROM documents WHERE length(text) > 0),
-    i AS (SELECT doc_id, text, unnest(generate_series(0, last))::INT AS index FROM d)
-    SELECT doc_id, index, index * 680 AS char_start, substring(text, index * 680 + 1, 800) AS content FROM i""",
-)
+@query("simple_chunks", None)
 def simple_chunks(spark, path):
     return chunking.simple_chunks(table(spark, path, "documents"))
 
@@ -87,27 +87,39 @@ def sitemap_locations(spark, path):
     return extraction.sitemap(table(spark, path, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), xml.alias("xml")))
 
 
-CLASSIFY_SQL = f"""
-c0 AS (SELECT id, source_label, title, lower(source_label) AS slug, lower(substring(content, 1, 3000)) AS t FROM notices),
-c AS (SELECT *, CASE {_case('slug')} {_case('t')} ELSE 'NOTICE' END AS category FROM c0)
+ROUTE_SQL = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.ROUTES.items()) + " END"
+CLASSIFY_SQL = rf"""
+c0 AS (
+  SELECT n.id, n.category AS old, source_label, lower(coalesce(title, '')) AS low, lower(substring(coalesce(content, ''), 1, 1500)) || ' ' || lower(coalesce(title, '')) AS t,
+         list_filter(string_split(regexp_extract(p.url, '//[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '' AND NOT regexp_full_match(s, '\d+')) AS words,
+         coalesce({ROUTE_SQL.format(c="upper(trim(source_label))")}, {ROUTE_SQL.format(c="split_part(upper(trim(source_label)), '_', 1)")}, 'NOTICE') AS route
+  FROM notices n LEFT JOIN pages p ON p.page_id = n.id),
+c1 AS (SELECT *, coalesce(words[len(words)], '') AS slug FROM c0),
+c AS (SELECT *, CASE {_case(lambda name, p: name if name == 'route' else repr(name))} ELSE 'NOTICE' END AS category,
+      (CASE {_case(lambda name, p: str(p))} ELSE 0.5 END)::DOUBLE AS confidence FROM c1)
 """
 
 
-@query("classify_category", f"WITH {NOTICES_SQL}, {CLASSIFY_SQL} SELECT id, category FROM c")
+def classified(spark, path):
+    """Announcements with the URL of the page of the same number, if there is one, and their source as route."""
+    urls = table(spark, path, "pages").select(F.col("page_id").alias("id"), "url")
+    rows = notices(spark, path).join(urls, "id", "left")
+    return rows.select("id", F.col("category").alias("old"), classify.classify("title", "url", "source_label", "content").alias("c")).select("id", "old", "c.*")
+
+
+@query("classify_category", f"WITH {NOTICES_SQL}, {CLASSIFY_SQL} SELECT id, category, confidence, nullif(slug, '') AS slug FROM c")
 def classify_category(spark, path):
-    return notices(spark, path).select("id", classify.classify("source_label", "content")["category"].alias("category"))
+    return classified(spark, path).select("id", "category", "confidence", "slug")
 
 
 @query(
     "classify_transitions",
-    f"""WITH {NOTICES_SQL}, {CLASSIFY_SQL} SELECT n.category AS old, c.category AS new, count(*) AS n FROM c JOIN notices n USING (id)
-    WHERE n.category <> c.category GROUP BY 1, 2 ORDER BY n DESC, old, new LIMIT 15""",
+    f"""WITH {NOTICES_SQL}, {CLASSIFY_SQL} SELECT old, category AS new, count(*) AS n FROM c WHERE old <> category GROUP BY 1, 2 ORDER BY n DESC, old, new LIMIT 15""",
 )
 def classify_transitions(spark, path):
     from ..operators.reports import transitions
 
-    rows = notices(spark, path).select(F.col("category").alias("old"), classify.classify("source_label", "content")["category"].alias("new"))
-    return transitions(rows.where("old <> new"), 15)
+    return transitions(classified(spark, path).select("old", F.col("category").alias("new")).where("old <> new"), 15)
 
 
 @query(
@@ -141,7 +153,7 @@ def reference_numbers(spark, path):
     return table(spark, path, "documents").select(i.alias("id"), classify.reference(note).alias("number"))
 
 
-_route_has = "regexp_matches(p, '" + "|".join([w for _, _, ws in classify.TIERS for w in ws] + ["notice", "announcement"]) + "')"
+_route_has = "regexp_matches(p, '" + "|".join(classify.LIST_WORDS) + "')"
 
 
 @query(

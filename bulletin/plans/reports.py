@@ -10,26 +10,26 @@ from ..operators import reports as ops
 from ..sources.tables import NOTICES_SQL, day_text, notices, table
 from .registry import query
 
-#: The quality score in SQL, as functions/text.py defines it, for the text column ``content``.
+#: The quality score in SQL for the text column ``content``.
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
-QUALITY_SQL = f"""
+GAPS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+QUALITY_SQL = rf"""
 q0 AS (
-  SELECT *, substring(content, 1, 8000) AS head,
-         regexp_extract_all(lower(substring(content, 1, 8000)), '[a-z]+') AS words
+  SELECT *, regexp_replace(substring(content, 1, 8000), '{GAPS}', '', 'g') AS solid,
+         regexp_extract_all(substring(content, 1, 8000), '[A-Za-z]{{2,}}') AS words
   FROM notices),
 q1 AS (
-  SELECT *, greatest(len(words), 1) AS n,
-         len(list_filter(words, lambda w: list_contains({STOP_SQL}, w))) / greatest(len(words), 1) AS stop,
-         len(list_filter(words, lambda w: length(w) <= 2)) / greatest(len(words), 1) AS short,
-         length(regexp_replace(head, '[^ऀ-ॿ]', '', 'g')) AS deva, length(regexp_replace(head, '[^A-Za-z]', '', 'g')) AS latin
+  SELECT *, length(solid) AS chars, len(words)::DOUBLE AS n,
+         len(list_filter(words, lambda w: list_contains({STOP_SQL}, lower(w))))::DOUBLE AS stop,
+         len(list_filter(words, lambda w: length(w) = 2))::DOUBLE AS short,
+         length(regexp_replace(solid, '[^ऀ-ॿ]', '', 'g'))::DOUBLE AS deva, length(regexp_replace(solid, '[^A-Za-z]', '', 'g'))::DOUBLE AS latin
   FROM q0),
-q2 AS (SELECT *, deva / greatest(deva + latin, 1) AS d FROM q1),
 scored AS (
-  SELECT *, CASE WHEN content IS NULL OR length(trim(content)) < 40 THEN 0.0::DOUBLE
-         WHEN d >= 0.15 THEN greatest(0, least(1, 0.65 + d) - CASE WHEN d >= 0.6 THEN least(0.5, 3 * (1 - d)) ELSE 0 END)
-         WHEN len(words) < 25 THEN 0.6::DOUBLE
-         ELSE greatest(0, least(1, stop / 0.12) - greatest(short - 0.2, 0), least(0.6, 4 * stop)) END AS quality
-  FROM q2),
+  SELECT *, CASE WHEN content IS NULL OR length(regexp_replace(content, '^{GAPS}+|{GAPS}+$', '', 'g')) < 40 OR chars = 0 THEN 0.0::DOUBLE
+         WHEN deva / chars >= 0.15 THEN greatest(0.0, least(1.0, 0.65 + deva / chars) - CASE WHEN deva / chars >= 0.6 THEN least(0.5, 3.0 * latin / chars) ELSE 0.0 END)
+         WHEN n < 25 THEN 0.6::DOUBLE
+         ELSE greatest(0.0, least(1.0, stop / n / 0.12) - CASE WHEN short / n > 0.2 THEN least(0.6, 3.0 * (short / n - 0.2)) ELSE 0.0 END, least(0.6, 4.0 * deva / chars)) END::DOUBLE AS quality
+  FROM q1),
 classed AS (SELECT *, CASE WHEN quality >= 0.55 THEN 'clean' WHEN quality > 0 THEN 'messy' ELSE 'broken' END AS class FROM scored)
 """
 HEALTH_COLUMNS = """count(*) AS total, count_if(id % 4 = 0) AS with_attachment, count_if(id % 4 <> 0) AS without_attachment,

@@ -5,11 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import keyword
+from ..operators import chunking, keyword
 from ..sources.tables import NOTICES_SQL, day_text, notices, table
 from .registry import query
 
@@ -41,13 +40,21 @@ def storable_rows(spark, path):
     return notices(spark, path).where(text.storable_title("title")).groupBy("source_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+SQUEEZED = "array_to_string(list_filter(string_split({c}, ''), lambda x, i: i = 1 OR x <> string_split({c}, '')[i - 1]), '')"
+
+
 @query(
     "small_talk",
-    r"""SELECT conv_id, turn, length(text) <= 40 AND trim(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g')) IN ('') AS small FROM conversations WHERE role = 'user' AND length(text) > 40""",
+    rf"""WITH q AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(lower(text), '[^a-zऀ-ॿ\s]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user'),
+    known AS (SELECT {SQUEEZED.format(c="p")} AS p FROM (SELECT unnest([{", ".join(repr(p) for p in text.GREETINGS)}]) AS p))
+    SELECT conv_id, turn, length(text) <= 40 AND {SQUEEZED.format(c="t")} IN (SELECT p FROM known) AS small FROM q
+    UNION ALL SELECT -1, row_number() OVER (ORDER BY p), true FROM (SELECT unnest([{", ".join(repr(p) for p in text.GREETINGS)}]) AS p)""",
 )
 def small_talk(spark, path):
-    asked = table(spark, path, "conversations").where("role = 'user' AND length(text) > 40")
-    return asked.select("conv_id", "turn", text.small_talk("text").alias("small"))
+    """All questions asked, and the greetings themselves, which the tables do not hold, in capitals and with signs."""
+    asked = table(spark, path, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    greetings = spark.createDataFrame([(-1, i + 1, f"{p.upper()}!!") for i, p in enumerate(sorted(text.GREETINGS))], "conv_id long, turn long, text string")
+    return asked.unionByName(greetings).select("conv_id", "turn", text.small_talk("text").alias("small"))
 
 
 @query("slugs", f"WITH {NOTICES_SQL} SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM notices")
@@ -82,16 +89,16 @@ def sentence_units(spark, path):
 
 @query(
     "paragraph_dedupe",
-    """WITH p AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-    k AS (SELECT * FROM p QUALIFY length(p) < 24 OR row_number() OVER (PARTITION BY id, p ORDER BY pos) = 1)
-    SELECT id, count(*) AS lines, md5(string_agg(p, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY id""",
+    r"""WITH d AS (SELECT doc_id AS id, text || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+    p AS (SELECT id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pos FROM d),
+    k AS (SELECT *, trim(regexp_replace(p, '\s+', ' ', 'g')) AS key FROM p),
+    f AS (SELECT * FROM k QUALIFY length(key) < 24 OR row_number() OVER (PARTITION BY id, key ORDER BY pos) = 1)
+    SELECT id, count(*) AS paragraphs, md5(string_agg(p, chr(10) || chr(10) ORDER BY pos)) AS digest FROM f GROUP BY id""",
 )
 def paragraph_dedupe(spark, path):
-    lines = docs(spark, path).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "p"))
-    first = F.row_number().over(Window.partitionBy("id", "p").orderBy("pos"))
-    kept = lines.withColumn("k", first).where((F.length("p") < 24) | (F.col("k") == 1))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])
-    return kept.groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.md5(F.array_join(parts, "\n")).alias("digest"))
+    """The texts hold no blank lines: each is followed by itself with its lines as paragraphs."""
+    twice = docs(spark, path).withColumn("text", F.concat("text", F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    return chunking.deduped_paragraphs(twice, "id", "text").select("id", "paragraphs", F.md5("text").alias("digest"))
 
 
 @query(
@@ -128,26 +135,46 @@ def url_normalize(spark, path):
     return page_urls(spark, path).select("page_id", urls.normalised("url").alias("url"), urls.host("url").alias("host"))
 
 
-SEGMENTS_SQL = r"""
-s AS (SELECT page_id, url, list_filter(string_split(lower(regexp_extract(url, '//[^/]+([^?#]*)', 1)), '/'), lambda x: x <> '') AS s FROM pages),
-l AS (SELECT *, coalesce(s[len(s)], '') AS last FROM s)
-"""
 _names = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
-REASON_SQL = rf"""CASE WHEN regexp_matches('/' || array_to_string(s, '/'), '{urls.FILES}') THEN 'file' WHEN len(s) = 0 THEN 'home page'
-  WHEN list_has_any(s, {_names(urls.OTHER_WORDS)}) THEN 'listing' WHEN regexp_matches(last, '^\d+$') OR regexp_matches(last, '-\d+$') THEN 'numbered'
-  WHEN list_has_any(s, {_names(urls.ARTICLE_WORDS)}) AND len(s) >= 2 THEN 'section' WHEN length(last) - length(replace(last, '-', '')) >= 2 THEN 'slug' ELSE 'unclear' END"""
+BASE = "https://www.example.com/notices"
+REASON_SQL = rf"""
+u AS (SELECT page_id, url, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS netloc, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query,
+      lower(regexp_extract(url, '//[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s, regexp_replace(split_part(netloc, ':', 1), '^www\.', '') AS host,
+      list_transform(list_filter(string_split(query, '&'), lambda k: k <> ''), lambda k: lower(split_part(k, '=', 1))) AS keys FROM u),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'scheme'
+  WHEN len(list_filter({_names(urls.OFFSITE)}, lambda h: contains(netloc, h))) > 0 THEN 'offsite'
+  WHEN host <> '' AND NOT (host = 'example.com' OR ends_with(host, '.example.com') OR ends_with('example.com', '.' || host)) THEN 'other host'
+  WHEN regexp_replace(split_part(url, '#', 1), '/+$', '') IN ('', '{BASE}') THEN 'listing'
+  WHEN len(s) = 0 AND query = '' THEN 'home page' WHEN regexp_matches(path, '{urls.FILES}') THEN 'file'
+  WHEN len(s) <= 2 AND s[1] IN {tuple(urls.TAXONOMY)} THEN 'taxonomy' WHEN s[len(s)] IN {tuple(urls.STATIC)} THEN 'static'
+  WHEN len(s) = 0 THEN 'query only'
+  WHEN len(list_filter(keys, lambda k: starts_with(k, 'search') OR starts_with(k, 'filter') OR k IN {tuple(urls.FILTER_KEYS)})) > 0 THEN 'filter' ELSE 'article' END AS reason FROM s)
+"""
 
 
-@query("article_url_reason", f"WITH {SEGMENTS_SQL} SELECT page_id, {REASON_SQL} AS reason FROM l")
+@query("article_url_reason", f"WITH {REASON_SQL} SELECT page_id, reason FROM r")
 def article_url_reason(spark, path):
-    return table(spark, path, "pages").select("page_id", urls.article_reason("url").alias("reason"))
+    return table(spark, path, "pages").select("page_id", urls.article_reason("url", F.lit(BASE)).alias("reason"))
+
+
+@query("article_share", f"WITH {REASON_SQL} SELECT host, count(*) AS pages, round(avg(CASE WHEN reason IN ('file', 'article') THEN 1.0 ELSE 0.0 END), 6) AS share FROM r GROUP BY host")
+def article_share(spark, path):
+    """Share of article addresses of each host."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", "//([^/?#:]*)", 1)), r"^www\.", "")
+    rows = table(spark, path, "pages").select(host.alias("host"), urls.is_article(urls.article_reason("url", F.lit(BASE))).alias("article"))
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(F.col("article").cast("double")), 6).alias("share"))
+
+
+_exact = "CASE replace(x, '_', '-') " + " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in urls.CATEGORY_WORDS.items()) + " END"
+_inside = "CASE WHEN length(x) < 30 THEN CASE " + " ".join(f"WHEN contains(replace(x, '_', '-'), '{w}') THEN '{c}'" for w, c in urls.CATEGORY_WORDS.items()) + " END END"
 
 
 @query(
     "slug_category",
-    f"""WITH {SEGMENTS_SQL}, m AS (SELECT page_id, s, array_to_string(list_filter(s, lambda x: length(x) < 30), '/') AS short,
-      list_filter(list_transform(s, lambda x: {"CASE x " + " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in urls.CATEGORY_WORDS.items()) + " END"}), lambda x: x IS NOT NULL)[1] AS exact FROM l)
-    SELECT coalesce(exact, {"CASE " + " ".join(f"WHEN contains(short, '{w}') THEN '{c}'" for w, c in urls.CATEGORY_WORDS.items()) + " END"}, '(none)') AS category, count(*) AS n FROM m GROUP BY 1""",
+    rf"""WITH s AS (SELECT list_filter(string_split(lower(regexp_extract(url, '//[^/]+([^?#]*)', 1)), '/'), lambda x: x <> '' AND NOT regexp_full_match(x, '\d+')) AS s FROM pages),
+    m AS (SELECT list_filter(list_transform(s, lambda x: coalesce({_exact}, {_inside})), lambda c: c IS NOT NULL)[1] AS category FROM s)
+    SELECT coalesce(category, '(none)') AS category, count(*) AS n FROM m GROUP BY 1""",
 )
 def slug_category(spark, path):
     rows = table(spark, path, "pages").select(F.coalesce(urls.category("url"), F.lit("(none)")).alias("category"))

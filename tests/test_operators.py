@@ -29,6 +29,15 @@ def test_quality(spark):
     assert got == [0.0, 0.6, 1.0, 0.0]
 
 
+def test_quality_thresholds(spark):
+    prose = "the tender of water " * 10  # 40 words, half of them stop words, a quarter of two letters
+    split = "to at zebra quokka " * 10  # half of the words have two letters
+    mixed = "अ" * 60 + "b" * 40
+    got = values(spark, text.quality, prose, split, mixed, " " * 60 + "x", "x " * 30)
+    assert [round(x, 6) for x in got] == [0.85, 0.4, 0.5, 0.0, 0.6]
+    assert values(spark, text.readable, "O:12(3.5A " * 10, "अ१२३ " * 20, "short") == [False, True, False]
+
+
 def test_titles_and_squeeze(spark):
     assert values(spark, text.storable_title, "(untitled)", "अआइईउऊऋ", "Tender notice", None) == [False, False, True, False]
     assert values(spark, text.squeezed, "Helllloooooo") == ["helo"]
@@ -44,7 +53,10 @@ def test_sentences_and_trim(spark):
 
 def test_urls(spark):
     assert values(spark, urls.normalised, "https://Example.COM/path/?b=2&a=1#x", "nothing", None) == ["https://example.com/path?a=1&b=2", None, None]
-    assert values(spark, urls.article_reason, "https://a.b/news/x", "https://a.b/f.pdf", "https://a.b/", "https://a.b/tag/x") == ["section", "file", "home page", "listing"]
+    assert values(spark, urls.article_reason, "https://a.b/news/x", "https://a.b/f.pdf", "https://a.b/", "https://a.b/tag/x", "https://a.b/en/about-us", "https://a.b/?page_id=4", "https://a.b/n?search_x=2", "ftp://a.b/x", "https://facebook.com/a", None) == [
+        "article", "file", "home page", "taxonomy", "static", "query only", "filter", "scheme", "offsite", "scheme"]
+    near = lambda c: urls.article_reason(c, F.lit("https://www.nrb.org/list"), ["https://www.nrb.org/all/"])
+    assert values(spark, near, "https://bfr.nrb.org/x/1", "https://other.org/x/1", "https://www.nrb.org/list/", "https://www.nrb.org/all#x") == ["article", "other host", "listing", "listing"]
     assert values(spark, urls.page_number, "/x?page=12", "/page/3", "/x") == [12, 3, None]
     assert values(spark, urls.category, "https://a.b/tender/1", "https://a.b/my-vacancy-list", "https://a.b/x") == ["TENDER", "VACANCY", None]
 
@@ -126,6 +138,48 @@ def test_rules(spark):
     assert [r.rule_id for r in rules.first_per_user(hits).collect()] == [2]
 
 
+def test_rule_dimensions(spark):
+    """Tags, part of the office's name, a deadline ahead, and the order of a rule's own words."""
+    notice = spark.sql("""SELECT 1 AS id, 'Road works' AS title, 'call for bids' AS content, 'TENDER' AS category, 'portal' AS source_label, 'low' AS urgency,
+        array('Roads', 'Kathmandu') AS tags, 'Department of Roads' AS organisation, timestamp_ntz'2024-01-10 00:00:00' AS deadline""")
+    schema = "rule_id int, categories array<string>, tags array<string>, keywords array<string>, sources array<string>, exclude array<string>, min_urgency string, deadline_days int"
+    made = spark.createDataFrame(
+        [(1, [], ["x", "roads"], [], [], [], None, None), (2, [], [], [], ["OF ROADS"], [], None, None), (3, [], [], [], [], [], None, 5), (4, [], [], [], [], [], None, 4),
+         (5, [], [], ["bids", "ROAD"], [], [], None, None), (6, ["NEWS"], [], ["bids"], [], [], None, None), (7, [], [], [], [], [], "MEDIUM", None), (8, [], [], [], [], ["nothing"], "LOW", None)],
+        schema,
+    )
+    got = {r.rule_id: r for r in rules.matches(notice, made, "2024-01-05").collect()}
+    assert sorted(got) == [1, 2, 3, 5, 8]
+    assert (got[1].hit_tag, got[2].hit_source, got[5].hit_keyword) == ("roads", "OF ROADS", "bids")
+
+
+def test_classify(spark):
+    from bulletin.operators import classify
+
+    rows = [
+        ("बोलपत्र आह्वान", None, None, None), ("x", "https://a.b/career/12", None, None), ("x", "https://a.b/vacancy", None, None), ("plain words", "https://a.b/page/7", "press_list", None),
+        ("plain words", None, "other", "आजको सूचना: प्रेस नोट जारी"), ("plain words", None, None, None), ("Annual Report", "https://a.b/x", "TENDER", None), (None, None, "Unheard", None),
+    ]
+    df = spark.createDataFrame(rows, "title string, url string, route string, text string")
+    got = [tuple(r[0]) for r in df.select(classify.classify("title", "url", "route", "text")).collect()]
+    assert got == [
+        ("TENDER", 0.95, None), ("JOB", 0.95, "career"), ("VACANCY", 0.95, "vacancy"), ("PRESS_RELEASE", 0.8, "page"), ("PRESS_RELEASE", 0.75, None),
+        ("NOTICE", 0.5, None), ("NEWS", 0.9, "x"), ("NOTICE", 0.8, None),
+    ]
+
+
+def test_simple_chunks_and_paragraphs(spark):
+    body = "One two three. Four five six.\n\nseven eight\n \nnine"
+    assert list(chunking.simple_pieces(body, 16, 5)) == [(0, "One two three."), (9, "hree.\nFour five six."), (24, "six.\nseven eight"), (35, "eight\nnine")]
+    got = list(chunking.simple_pieces(body, 16, 0))
+    assert got == [(0, "One two three."), (14, "Four five six."), (28, "seven eight\nnine")]
+    assert list(chunking.simple_pieces("a" * 30 + " bb cc", 10, 0)) == [(0, "a" * 30), (30, "bb cc")]
+    twice = "A paragraph that is long enough\n\nshort\n\nA  paragraph that is\nlong enough\n\nshort"
+    df = spark.createDataFrame([(1, twice)], "id int, text string")
+    row = chunking.deduped_paragraphs(df, "id", "text").first()
+    assert (row.paragraphs, row.text) == (3, "A paragraph that is long enough\n\nshort\n\nshort")
+
+
 def test_backoff(spark):
     got = spark.range(1).select(scheduling.wait_seconds(F.lit(60), F.lit(3)), scheduling.wait_seconds(F.lit(900), F.lit(9))).first()
     assert tuple(got) == (480, 21600)
