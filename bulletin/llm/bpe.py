@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_worker, slices, table, text_bytes
+from .common import bounded_batches, fresh_worker, slices, table, text_bytes
 from .pieces import Memory, Words
 
 #: One step contracts one pair a word.  state: word << 32 | position, token; live until the fixpoint.
@@ -234,7 +234,7 @@ def encode(
         ids = encoded(batches, pairs)
         yield from decoded(ids, pairs) if and_decode else ids
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>" + (", bytes binary" if and_decode else "")
     )
 
@@ -252,7 +252,7 @@ def decode(tokens: DataFrame, ranks: str | None = None, pattern: str | None = No
         fresh_worker("bpe")
         yield from decoded(batches, model(path, words))
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
+    return bounded_batches(tokens).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
         run, "doc_id long, ids array<int>, bytes binary"
     )
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, slices, stored, table, text_bytes
+from .common import bounded_batches, id_bucket, slices, stored, table, text_bytes
 
 END = b""  # no word is empty
 LONGEST_WORD = 1024
@@ -543,7 +543,7 @@ def score_texts(
     ``table_words`` bounds the words that every task holds (the others are joined) and
     ``clustered`` those that the driver's exchange moves before the sweeps of all words.
     """
-    texts = docs.select(
+    texts = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_col).alias("text")
     )
     vocabulary = stored(word_counts(texts.where("learn")), "brown-words")

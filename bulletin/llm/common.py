@@ -35,6 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000, most_bytes: int = 8 << 20) -> DataFrame:
+    """Whole texts go to Python in Arrow batches of at most so many rows and, about, bytes.
+
+    Lowers the session's limits (10,000 rows by default) and never raises them.
+    """
+    conf = df.sparkSession.conf
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        if not 0 < int(conf.get(key).rstrip("b")) <= value:
+            conf.set(key, str(value))
+    return df
+
+
 def fresh_worker(user: str) -> None:
     """Give back what this Python worker holds for other operators: their models and freed memory.
 

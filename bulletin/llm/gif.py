@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import slices, table, text_bytes
+from .common import bounded_batches, slices, table, text_bytes
 
 UNIT = 192
 FRAME_ROWS = 256
@@ -287,7 +287,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(media, pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_bytes long, media binary"
     )
 

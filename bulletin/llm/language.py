@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import fresh_names, fresh_worker, id_bucket, table
+from .common import bounded_batches, fresh_names, fresh_worker, id_bucket, table
 from .sampling import balanced_sample, sampled_texts
 
 ORDERS = (1, 2, 3)
@@ -107,7 +107,7 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     ``per_class`` x languages x 5/4 and ``most`` rows.  Tasks turn whole texts into the places of
     their n-grams; only these reach the driver.  Of an id with several texts one is learned from.
     """
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = bounded_batches(docs).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
     sample = balanced_sample(rows.select("doc_id", "label"), per_class, most).groupBy("doc_id").agg(F.min("label").alias("label"))
 
@@ -145,7 +145,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
         names, scores = known[0].predict(texts.tolist())
         return pd.DataFrame({"pred": names, "score": scores})
 
-    return docs.withColumn(told_name, told(F.col(text_col))).withColumns(
+    return bounded_batches(docs).withColumn(told_name, told(F.col(text_col))).withColumns(
         {f"{prefix}pred": F.col(f"{told_name}.pred"), f"{prefix}score": F.col(f"{told_name}.score")}
     ).drop(told_name)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import fresh_worker, slices, table, text_bytes
+from .common import bounded_batches, fresh_worker, slices, table, text_bytes
 from .pieces import tokenizer_words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -145,7 +145,7 @@ def pack(
         bins.finish()
         yield bins.take()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import fresh_worker, id_bucket, table
+from .common import bounded_batches, fresh_worker, id_bucket, table
 from .sampling import balanced_sample, sampled_texts
 
 ORDERS = (1, 2, 3)
@@ -147,7 +147,7 @@ def train(
         return texts.map(indicators)
 
     rows = (
-        sampled_texts(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), sample)
+        sampled_texts(bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), sample)
         .select("doc_id", "label", places("text").alias("places"))
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("label", "ascending")])
@@ -173,7 +173,7 @@ def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", n
             known.append(shared.value)
         return pd.Series(known[0].scores(texts.tolist()), dtype=float)
 
-    return docs.withColumn(name, score(F.col(text_col)))
+    return bounded_batches(docs).withColumn(name, score(F.col(text_col)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_worker, slices, text_bytes
+from .common import bounded_batches, fresh_worker, slices, text_bytes
 
 #: Buckets of the frequency sketch, and the counts from which a bucket is in class 1, 2, ... 7.
 BUCKET_BITS = 20
 CLASS_FROM = np.array([2, 4, 16, 64, 256, 4096, 65536])
 #: Shingles that a task looks at together, and bytes of text that are hashed together.
-CHUNK, SLICE = 4_000_000, 500_000
+CHUNK, SLICE = 2_000_000, 500_000
 RANDOM = np.random.default_rng(20240101)
 #: A random number for each byte (0 for white space) and for each place in a word.
 BYTES = RANDOM.integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -155,7 +155,7 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text (bytes) and ``key``, a hash of both, so that rows without an id differ too."""
     doc_id, text = F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")
-    return docs.select(doc_id, text).withColumn("key", F.xxhash64("doc_id", "text"))
+    return bounded_batches(docs).select(doc_id, text).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def set_hash(keys: np.ndarray) -> int:

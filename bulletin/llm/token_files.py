@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_worker, shared_dir, slices, table, text_bytes
+from .common import bounded_batches, fresh_worker, shared_dir, slices, table, text_bytes
 from .pieces import tokenizer_words
 
 LIST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -45,7 +45,7 @@ def encode_lists(docs: DataFrame, id_col: str, text_col: str, path: str, end_id:
                     [batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], schema=LIST
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>"
     )
 
