@@ -84,7 +84,7 @@ class BytePairs(Words):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.own_pattern, self.split = pattern != public_tokenizers.PATTERN, regex.compile(pattern).findall
         super().__init__(self.encode_words, self.encode_pieces)
-        self.runs = Memory(self.decode_runs, 100_000, 256)
+        self.runs = Memory(self.decode_runs, 50_000, 256)
         self.begins_run = np.zeros(max(self.ranks.values()) + 1, bool)
         self.begins_run[[r for t, r in self.ranks.items() if t.startswith(b" ")]] = True
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)

@@ -140,7 +140,7 @@ def pack(
                 texts = [str(t, "utf-8", "replace") for t in batch.column("text").to_pylist()]
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                     bins.add(doc, ids + end)
-                    if bins.held > 1_000_000:
+                    if bins.held > 250_000:
                         yield bins.take()
         bins.finish()
         yield bins.take()

@@ -89,7 +89,7 @@ class Memory:
     Keys of more than ``longest`` bytes are not kept.
     """
 
-    def __init__(self, find: Callable[[list[bytes]], list[bytes]], generation: int = 200_000, longest: int = 64):
+    def __init__(self, find: Callable[[list[bytes]], list[bytes]], generation: int = 100_000, longest: int = 64):
         self.find, self.generation, self.longest = find, generation, longest
         self.now = Generation({})
 
@@ -125,13 +125,13 @@ class Words:
     def __init__(self, find: Callable[[list[bytes]], list[bytes]], pieces: Callable[[list[bytes]], list[bytes]], marks: list[str] = [], lower: bool = False):
         if any(c.isspace() for s in marks for c in s):
             raise ValueError("an added token holds white space")
-        self.words, self.odd, self.lower = Memory(find), Memory(pieces, 100_000), lower
+        self.words, self.odd, self.lower = Memory(find), Memory(pieces, 50_000), lower
         self.mark = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
 
     def plain(self, text: str) -> bool:
         return bool(PLAIN.fullmatch(text)) and not (self.mark and self.mark.search(text))
 
-    def __call__(self, texts: list[str], most: int = 4_000_000) -> list[bytes]:
+    def __call__(self, texts: list[str], most: int = 1_500_000) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
         units: list[tuple[int, bytes]] = []
         held = 0
