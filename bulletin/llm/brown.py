@@ -532,7 +532,7 @@ def score(rows: DataFrame, model: BrownModel) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table_words: int = 250_000, n_classes: int = 96, clustered: int = 2048
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table_words: int = 600_000, n_classes: int = 96, clustered: int = 2048
 ) -> DataFrame:
     """Score every whole text by a class-based bigram model learned from the rows where ``learn`` holds.
 
