@@ -284,8 +284,13 @@ def rare_contexts(pairs: DataFrame, rare: DataFrame, c: int) -> DataFrame:
     return first.unionByName(second).groupBy("word").agg(F.collect_list("code").alias("codes"))
 
 
-def rare_best(rare: DataFrame, near: DataFrame | None, classes: np.ndarray, log_next: np.ndarray, class_n: np.ndarray) -> DataFrame:
-    """The words beyond the table (word, before, after) with the class of their neighbours' most likelihood and their count."""
+def rare_best(
+    rare: DataFrame, near: DataFrame | None, classes: np.ndarray, log_next: np.ndarray, class_n: np.ndarray, neighbours: bool = True
+) -> DataFrame:
+    """The words beyond the table (word, before, after) with the class of their neighbours' most likelihood and their count.
+
+    The lists of neighbours go along only if another sweep needs them.
+    """
     c, m, joined = len(class_n), len(classes) - 1, near is not None
     rare = rare.select("word", "before", "after")
     rows = rare.withColumn("codes", F.array().cast("array<int>")) if not joined else rare.join(near, "word", "left")
@@ -308,11 +313,11 @@ def rare_best(rare: DataFrame, near: DataFrame | None, classes: np.ndarray, log_
             code = np.concatenate(codes)
             chosen = best(np.concatenate(owners), code, np.ones(len(code)), batch.num_rows, log_next, class_n)
             counts = pc.list_value_length(batch.column("before")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("before"), batch.column("after"), pa.array(chosen), counts], names=["word", "before", "after", "class", "c"]
-            )
+            names = ["word", "before", "after"] if neighbours else ["word"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(chosen), counts], names=[*names, "class", "c"])
 
-    return rows.select("word", "before", "after", "codes").mapInArrow(choose, "word binary, before array<int>, after array<int>, class int, c long")
+    kept = "word binary, before array<int>, after array<int>" if neighbours else "word binary"
+    return rows.select("word", "before", "after", "codes").mapInArrow(choose, f"{kept}, class int, c long")
 
 
 def beside_rare(rare: DataFrame, k: int, m: int, c: int) -> DataFrame:
@@ -392,8 +397,8 @@ def fit(
     hot = np.eye(c)[top]
     pairs = hot.T @ bigrams.reshape(k, k) @ hot
     tokens = around(learn, m)
-    rare = stored(tokens.groupBy("word").agg(F.collect_list("before").alias("before"), F.collect_list("after").alias("after")), "brown-rare")
-    both_rare = stored(tokens.where("rare_before IS NOT NULL").select("rare_before", "word"), "brown-rare-pairs")
+    rare = tokens.groupBy("word").agg(F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
+    both_rare = stored(tokens.where("rare_before IS NOT NULL").select("rare_before", "word"), "brown-rare-pairs", "zstd")
     for sweep in range(sweeps):
         known = classes.copy()
         if sweep:
@@ -416,8 +421,8 @@ def fit(
                 alone = np.flatnonzero(classes[:m] == c - 1)  # no neighbour has a class yet
                 classes[alone] = min(1, n_classes - 1)
         near = rare_contexts(both_rare, rare, c) if sweep else None
-        rare = stored(rare_best(rare, near, classes, natural, class_n), "brown-classes")
-    placed = stored(place(rows, rare, m, c), "brown-placed")
+        rare = stored(rare_best(rare, near, classes, natural, class_n, sweep < sweeps - 1), "brown-classes", "zstd")
+    placed = stored(place(rows, rare, m, c), "brown-placed", "zstd")
     pairs = table_pairs(learn, classes, counts, c) + rare_pairs(placed.where("learn"), classes, counts, c)
     in_class = np.bincount(classes[:m], weights=counts, minlength=c)
     for row in rare.groupBy("class").agg(F.sum("c").alias("c")).collect():
@@ -546,12 +551,12 @@ def score_texts(
     texts = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_col).alias("text")
     )
-    vocabulary = stored(word_counts(texts.where("learn")), "brown-words")
+    vocabulary = stored(word_counts(texts.where("learn")), "brown-words", "zstd")
     end_count = F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))
     n, v, ends = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), end_count).first()
     top = [(END, ends), *frequent_words(vocabulary, table_words)]
     words, counts = [w for w, _ in top], np.array([c for _, c in top], dtype=np.int64)
-    rows = stored(sequences(texts, words), "brown-sequences")
+    rows = stored(sequences(texts, words), "brown-sequences", "zstd")
     return score(rows, fit(rows, words, counts, (n, v), n_classes, clustered))
 
 
