@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 #: Columns that a list may be ordered by; the publication date stands for the effective date.
 SORTABLE = {"published_at": "effective_at", "title": "title", "scraped_at": "scraped_at", "id": "id"}
 
@@ -54,6 +56,23 @@ def ordered(rows: DataFrame, by: str = "published_at", descending: bool = True)
     return [c.desc_nulls_first() if descending else c.asc_nulls_last(), F.col("id").desc() if descending else F.col("id").asc()]
 
 
+def placed(rows: DataFrame, *keys: Column) -> DataFrame:
+    """All rows with their 1-based ``place`` in the order of ``keys``, which must be unique.
+
+    A range exchange sorts them into files of the shared folder; a row's place is that in its task
+    plus the totals of the tasks before, one row each.  No task sees more than its range.
+    """
+    spark = rows.sparkSession
+    path = shared_folder(spark, "placed")
+    parts = {"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    rows.orderBy(*keys).withColumns(parts).write.parquet(path)
+    cut = spark.read.parquet(path)
+    before = F.sum("n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    totals = cut.groupBy("__task").agg(F.count(F.lit(1)).alias("n"))
+    starts = totals.select("__task", F.coalesce(before, F.lit(0)).alias("__start"))  # one row a task of the sort
+    return cut.join(F.broadcast(starts), "__task").withColumn("place", F.col("__start") + F.col("__at") + 1).drop("__task", "__at", "__start")
+
+
 def page(rows: DataFrame, number: int, size: int, by: str = "published_at", descending: bool = True) -> DataFrame:
     """The given page (from 1) in the order of ``by``."""
     number, size = max(1, number), min(max(1, size), 500)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +29,48 @@ def ranked(rows: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long") - 1)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """For each query (``query_id``, ``query``) the nearest of (``id``, ``vector``) by cosine.
+def vector_blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows (``key`` long, ``vector``) gathered in the tasks into rows of at most ``size`` ids with their vectors end to end.
+
+    Rows without a vector are left out; all vectors have one length.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                columns = [part.column(0), part.column(1).flatten()]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in columns], names=["ids", "flat"])
+
+    whole = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return whole.mapInArrow(gather, "ids array<long>, flat array<float>")
+
 
-    ``queries`` is a stated set of few rows that goes to every task; the vectors stay in place.
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, block: int = 1024) -> DataFrame:
+    """For each query (``query_id``, ``query``) the nearest of (``id``, ``vector``) by cosine of unit vectors: query_id, id, score, rank.
+
+    Both sides are cut into blocks of bounded size, and each pair of blocks is one matrix product in
+    double precision that leaves ``k`` rows a query; Spark deals the pairs of blocks out, so neither
+    side goes to every task beyond the size that Spark itself checks.  Ties go to the smaller id.
     """
-    scored = vectors.join(F.broadcast(queries)).withColumn("score", F.round(dot("query", "vector"), 6))
-    if floor is not None:
-        scored = scored.where(F.col("score") >= floor)
-    return ranked(scored.drop("query", "vector"), "query_id", "score", "id", k)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, asked_flat, ids, flat in zip(*(batch.column(c) for c in ("query_ids", "query_flat", "ids", "flat"))):
+                q, i = (np.asarray(x.values, np.int64) for x in (asked, ids))
+                i, order = np.sort(i), np.argsort(i, kind="stable")
+                a, b = (np.asarray(x.values, np.float64).reshape(n, -1) for x, n in ((asked_flat, len(q)), (flat, len(i))))
+                scores = np.round(a @ b[order].T, 6)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, best, 1).ravel()
+                columns = [np.repeat(q, best.shape[1]), i[best.ravel()], found]
+                if floor is not None:
+                    columns = [c[found >= floor] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+    asked = vector_blocks(queries, "query_id", "query", block // 4).toDF("query_ids", "query_flat")
+    pairs = vector_blocks(vectors, "id", "vector", block).crossJoin(asked)
+    return ranked(pairs.mapInArrow(nearest, "query_id long, id long, score double"), "query_id", "score", "id", k)
 
 
 def prototype_scores(rows: DataFrame, prototypes: DataFrame, margin: float = 0.04) -> DataFrame:

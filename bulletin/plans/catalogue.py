@@ -46,14 +46,12 @@ def catalog_page_two_by_title(spark, path):
 @query(
     "effective_date_order",
     f"""WITH {NOTICES_SQL} SELECT id, strftime(effective_at, '%Y-%m-%d') AS day, published_at IS NULL AS undated,
-    row_number() OVER (ORDER BY effective_at DESC, id DESC) AS place FROM notices QUALIFY place <= 100""",
+    row_number() OVER (ORDER BY effective_at DESC, id DESC) AS place FROM notices""",
 )
 def effective_date_order(spark, path):
-    from pyspark.sql import Window
-
-    top = notices(spark, path).orderBy(F.col("effective_at").desc(), F.col("id").desc()).limit(100)
-    place = F.row_number().over(Window.orderBy(F.col("effective_at").desc(), F.col("id").desc())).cast("long")
-    return top.select("id", day_text("effective_at").alias("day"), F.col("published_at").isNull().alias("undated"), place.alias("place"))
+    rows = notices(spark, path).select("id", "effective_at", F.col("published_at").isNull().alias("undated"))
+    found = ops.placed(rows, F.col("effective_at").desc(), F.col("id").desc())
+    return found.select("id", day_text("effective_at").alias("day"), "undated", "place")
 
 
 @query("category_counts", f"WITH {NOTICES_SQL} SELECT category, count(*) AS n FROM notices GROUP BY category")

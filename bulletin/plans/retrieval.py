@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as ops
+from ..operators.catalogue import placed
 from ..sources.tables import NOTICES_SQL, day_text, notices, table
 from .registry import query
 
-QUERY_IDS = [0, 7, 42, 101, 199]
-IDS_SQL = ", ".join(map(str, QUERY_IDS))
+# Queries of the searches: every vector whose id is divisible by 20, against all vectors.
+ASKED = "vec_id % 20 = 0"
 TERMS = ["the", "water", "maison"]
 DOT_SQL = "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
 DENSE_SQL = f"""
 dense AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, {DOT_SQL} AS score FROM embeddings q, embeddings v WHERE q.vec_id IN ({IDS_SQL})),
+  SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, {DOT_SQL} AS score FROM embeddings q, embeddings v WHERE q.{ASKED}),
 dense_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dense)
 """
 BM25_SQL = """
@@ -33,13 +34,13 @@ def vectors(spark, path):
 
 
 def asked(spark, path):
-    rows = table(spark, path, "embeddings").where(F.col("vec_id").isin(QUERY_IDS))
+    rows = table(spark, path, "embeddings").where(ASKED)
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query("dense_topk", f"WITH {DENSE_SQL} SELECT query_id, id, score, rank FROM dense_ranked WHERE rank < 10")
 def dense_topk(spark, path):
-    return ops.dense_topk(asked(spark, path), vectors(spark, path), 10).select("query_id", "id", "score", "rank")
+    return ops.dense_topk(asked(spark, path), vectors(spark, path), 10)
 
 
 @query(
@@ -85,19 +86,19 @@ def bm25_topk(spark, path):
     "hybrid_rrf",
     f"""WITH {DENSE_SQL}, {BM25_SQL},
     k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20),
-    s AS (SELECT id, rank FROM dense_ranked WHERE query_id = 42 AND rank < 20),
+    s AS (SELECT id, rank FROM dense_ranked WHERE query_id = 40 AND rank < 20),
     u AS (SELECT *, 0 AS leg FROM k UNION ALL SELECT *, 1 FROM s)
     SELECT id, round(sum(1 / (60 + rank + 1)), 9) AS fused, count(*) AS legs FROM u GROUP BY id ORDER BY fused DESC, min(leg), id LIMIT 10""",
 )
 def hybrid_rrf(spark, path):
     docs = table(spark, path, "documents").select(F.col("doc_id").alias("id"), "text")
     keyword = ops.ranked(ops.bm25(docs, TERMS).withColumn("q", F.lit(0)), "q", "score", "id", 20)
-    dense = ops.dense_topk(asked(spark, path).where("query_id = 42"), vectors(spark, path), 20)
+    dense = ops.dense_topk(asked(spark, path).where("query_id = 40"), vectors(spark, path), 20)
     return ops.fused([keyword, dense]).orderBy(F.desc("fused"), "first.leg", "id").limit(10).select("id", "fused", "legs")
 
 
 HITS_SQL = """
-hits AS (SELECT doc_id // 4 AS doc, doc_id % 4 AS index, (doc_id // 8) % 2 AS section, substring(text, 1, 60) AS content,
+hits AS (SELECT doc_id // 4 AS doc, doc_id % 4 AS index, (doc_id // 8) % 2 AS section, text AS content,
            round(0.6 + (doc_id * 37 % 400) / 1000.0, 3)::DOUBLE AS score FROM documents)
 """
 
@@ -105,7 +106,7 @@ hits AS (SELECT doc_id // 4 AS doc, doc_id % 4 AS index, (doc_id // 8) % 2 AS se
 def hits(spark, path):
     i = F.col("doc_id")
     return table(spark, path, "documents").select(
-        F.floor(i / 4).alias("doc"), (i % 4).alias("index"), (F.floor(i / 8) % 2).alias("section"), F.substring("text", 1, 60).alias("content"),
+        F.floor(i / 4).alias("doc"), (i % 4).alias("index"), (F.floor(i / 8) % 2).alias("section"), F.col("text").alias("content"),
         F.round(0.6 + (i * 37 % 400) / 1000.0, 3).alias("score"),
     )
 
@@ -113,7 +114,7 @@ def hits(spark, path):
 @query(
     "select_context",
     f"""WITH {HITS_SQL}, a AS (SELECT * FROM hits WHERE score >= 0.78 QUALIFY row_number() OVER (PARTITION BY doc, index ORDER BY score DESC) = 1),
-    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY md5(lower(trim(content))) ORDER BY score DESC, doc, index) = 1)
+    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY md5(lower(trim(regexp_replace(content, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g')))) ORDER BY score DESC, doc, index) = 1)
     SELECT doc, index, score, content FROM b ORDER BY score DESC, doc, index LIMIT 50""",
 )
 def select_context(spark, path):
@@ -162,8 +163,9 @@ def context_budget(spark, path):
 
 @query(
     "recency_reordered",
-    f"""WITH {NOTICES_SQL} SELECT id, strftime(published_at, '%Y-%m-%d') AS day FROM notices ORDER BY published_at IS NULL, published_at DESC, id LIMIT 30""",
+    f"""WITH {NOTICES_SQL} SELECT id, strftime(published_at, '%Y-%m-%d') AS day,
+    row_number() OVER (ORDER BY published_at IS NULL, published_at DESC, id) AS place FROM notices""",
 )
 def recency_reordered(spark, path):
-    rows = notices(spark, path).orderBy(F.col("published_at").desc_nulls_last(), "id").limit(30)
-    return rows.select("id", day_text("published_at").alias("day"))
+    rows = notices(spark, path).select("id", "published_at")
+    return placed(rows, F.col("published_at").desc_nulls_last(), F.col("id")).select("id", day_text("published_at").alias("day"), "place")

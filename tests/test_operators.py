@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bulletin.functions import dates, hashing, text, urls
@@ -204,3 +205,37 @@ def test_order_is_checked(spark):
 
     with pytest.raises(ValueError):
         catalogue.ordered(spark.range(1), "drop table")
+
+
+def test_dense_topk_equals_brute_force(spark):
+    """Many small blocks, ties by copies of a vector, and rows without a vector."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)).astype(np.float32)
+    vectors = {i: base[i % 25 if i < 60 else i - 60 + 20] for i in range(80)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    data = spark.createDataFrame([*rows, (99, None)], "id long, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([*rows[::7], (98, None)], "query_id long, query array<float>").repartition(2)
+    got = {}
+    for r in retrieval.dense_topk(queries, data, 5, block=8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    want = {}
+    for q in range(0, 80, 7):
+        scores = sorted((-round(float(vectors[q].astype(float) @ v.astype(float)), 6), i) for i, v in vectors.items())
+        want[q] = [(n, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    assert {q: sorted(x) for q, x in got.items()} == want
+    assert retrieval.dense_topk(queries.limit(0), data, 5).count() == 0
+    assert retrieval.dense_topk(queries, data, 5, floor=1e6).count() == 0
+
+
+def test_placed_numbers_all_rows(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id")).repartition(9)
+    assert {r["id"]: r["place"] for r in catalogue.placed(rows, F.desc("id")).collect()} == {i: 1000 - i for i in range(1000)}
+    assert catalogue.placed(rows.limit(0), F.asc("id")).count() == 0
+
+
+def test_selected_compares_whole_contents(spark):
+    """A shared prefix is no copy; white space and case do not matter."""
+    head = "x" * 80
+    rows = [(1, 0, 0.9, head + " One"), (2, 0, 0.8, head + " two"), (3, 0, 0.79, head + "\t one ")]
+    got = retrieval.selected(spark.createDataFrame(rows, "doc long, index long, score double, content string"), 10)
+    assert [r["doc"] for r in got.collect()] == [1, 2]
