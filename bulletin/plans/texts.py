@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import chunking, keyword
+from ..operators import chunking, crawl, keyword
 from ..sources.tables import NOTICES_SQL, day_text, notices, table
 from .registry import query
 
@@ -158,12 +158,15 @@ def article_url_reason(spark, path):
     return table(spark, path, "pages").select("page_id", urls.article_reason("url", F.lit(BASE)).alias("reason"))
 
 
-@query("article_share", f"WITH {REASON_SQL} SELECT host, count(*) AS pages, round(avg(CASE WHEN reason IN ('file', 'article') THEN 1.0 ELSE 0.0 END), 6) AS share FROM r GROUP BY host")
+@query(
+    "article_share",
+    rf"""WITH u AS (SELECT regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '//[^/?#]*([^?#]*)', 1)) AS path FROM pages)
+    SELECT host, count(*) AS pages, round(avg(CASE WHEN regexp_matches(path, '[0-9]{{3}}|{"|".join(crawl.ARTICLE_WORDS)}') THEN 1.0 ELSE 0.0 END), 6) AS share FROM u GROUP BY host""",
+)
 def article_share(spark, path):
-    """Share of article addresses of each host."""
-    host = F.regexp_replace(F.lower(F.regexp_extract("url", "//([^/?#:]*)", 1)), r"^www\.", "")
-    rows = table(spark, path, "pages").select(host.alias("host"), urls.is_article(urls.article_reason("url", F.lit(BASE))).alias("article"))
-    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(F.col("article").cast("double")), 6).alias("share"))
+    """Share of each host's addresses that look like articles."""
+    rows = table(spark, path, "pages").select(F.regexp_replace(F.lower(F.regexp_extract("url", "//([^/?#]*)", 1)), r"^www\.", "").alias("host"), crawl.article_like("url").alias("like"))
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(F.col("like").cast("double")), 6).alias("share"))
 
 
 _exact = "CASE replace(x, '_', '-') " + " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in urls.CATEGORY_WORDS.items()) + " END"
