@@ -173,10 +173,13 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     ready = marks.where("reached AND whole").select(*keys, "off")
     whole = parsed(rows.where("whole").select(*keys, "head", body.alias("body")), keys, payloads).join(ready, keys).drop(*keys[1:])
     # Pieces of records that a copy of the version line has cut: each belongs to the last record before it.
-    owner = F.last(F.when(F.col("reached"), F.col("off")), ignorenulls=True).over(
-        Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    broken = marks.where("off >= 0").select("file", "off", *keys[1:], "whole", "reached", owner.alias("owner"))
+    # Within a split that is a running maximum; what a split's first pieces belong to comes from the splits before it.
+    held = F.max(F.when(F.col("reached"), F.col("off")))
+    inside = Window.partitionBy("file", "split").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.groupBy("file", "split").agg(held.alias("last")).select("file", "split", F.max("last").over(earlier).alias("carried"))
+    owner = F.coalesce(held.over(inside), F.col("carried"))
+    broken = marks.where("off >= 0").join(carried, ["file", "split"]).select("file", "off", *keys[1:], "whole", "reached", owner.alias("owner"))
     heads = broken.where("reached AND NOT whole").select("file", "owner")
     parts = rows.select(*keys, "head", "body_at", "content_length", "value").join(
         stored(broken.join(heads, ["file", "owner"], "left_semi").select(*keys, "off", "owner"), "warc-broken"), keys
