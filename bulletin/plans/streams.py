@@ -26,7 +26,7 @@ def views_stream_daily(spark, path):
     rows = table(spark, path, "events").where("event_type = 'view'").select((F.col("user_id") % 50).alias("notice_id"), "ts")
     stream = views.read(spark, copied(rows, "views-in"))
     totals = stream.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "notice_id").agg(F.count(F.lit(1)).alias("views"))
-    return views.upserted(totals, shared_folder(spark, "views-out"), shared_folder(spark, "views-state"), "day")
+    return views.upserted(totals, shared_folder(spark, "views-out"), shared_folder(spark, "views-state"), ["day", "notice_id"])
 
 
 @query(

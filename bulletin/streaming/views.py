@@ -40,13 +40,17 @@ def appended(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def upserted(rows: DataFrame, path: str, checkpoint: str, key: str) -> DataFrame:
-    """Totals per key kept as one snapshot a micro-batch; the last snapshot is the result."""
+def upserted(rows: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Totals per key: each micro-batch writes the keys that it changed, and the last of each key is the result.
+
+    A micro-batch that is run again overwrites its own folder.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    finished(rows.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
-    everything = rows.sparkSession.read.parquet(path)
-    last = everything.agg(F.max("snapshot").alias("snapshot"))
-    return everything.join(F.broadcast(last), "snapshot").drop("snapshot")
+    finished(rows.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    others = [c for c in rows.columns if c not in keys]
+    changes = rows.sparkSession.read.parquet(path)
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return last.select(*keys, "r.*").select(*rows.columns)

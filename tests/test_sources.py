@@ -53,3 +53,12 @@ def test_page_adds_new(spark):
     pages = spark.createDataFrame([(1, 2, 10, 3), (1, 3, 10, 2), (1, 4, 20, 4), (1, 5, 0, 0)], "source int, page int, items int, fresh int")
     assert [r.goes_on for r in upkeep.adds_new(pages).orderBy("page").collect()] == [True, False, False, False]
     assert [r.goes_on for r in upkeep.adds_new(pages, deep=True).orderBy("page").collect()] == [True, True, True, False]
+
+
+def test_stream_totals_twice(spark, tmp_path):
+    """A second run over the same folders changes only the keys that it meets."""
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part, want in (([("a",), ("a",), ("b",)], [("a", 2), ("b", 1)]), ([("a",), ("c",)], [("a", 3), ("b", 1), ("c", 1)])):
+        spark.createDataFrame(part, "k string").coalesce(1).write.mode("append").parquet(source)
+        totals = views.read(spark, source).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(map(tuple, views.upserted(totals, out, state, ["k"]).collect())) == want
