@@ -59,7 +59,6 @@ def sitemap_walk(spark, path):
 
 
 NAMES = ["notices_2", " press_release ", "bid", "Samachar", "career_page", "unknown_kind", ""]
-NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
 
 
 @query(
