@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources.folders import shared_folder
+from .catalogue import placed
 
 # Parts of a sitemap's path that speak for and against articles, and what each one counts.
 PREFERRED = ["news", "post", "content", "article", "notice", "press"]
@@ -124,14 +125,14 @@ def listing_routes(manifest: DataFrame, columns: DataFrame, discovered: DataFram
 def picked_sources(sources: DataFrame, needle: str | None = None) -> DataFrame:
     """Sources whose name, id or base URL holds the needle, by name; without one the enabled sources, longest not run first.
 
-    Adds ``place``, from 1.
+    Adds ``place``, from 1, by a range exchange.
     """
     if needle:
         hit = [F.contains(F.lower(F.col(c).cast("string")), F.lit(needle.lower())) for c in ("name", "source", "base_url")]
         rows, order = sources.where(hit[0] | hit[1] | hit[2]), [F.asc("name"), F.asc("source")]
     else:
         rows, order = sources.where("enabled"), [F.asc_nulls_first("last_run_at"), F.asc("name"), F.asc("source")]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return placed(rows, *order)
 
 
 def updated_settings(sources: DataFrame, updates: DataFrame, caches: dict[str, list[str]]) -> DataFrame:
