@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -35,6 +36,12 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_of(setting: str) -> int:
+    """Bytes or rows of a Spark size setting such as ``64MB``, ``8m`` or ``10000``."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", setting.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def bounded_batches(df: DataFrame, rows: int = 1000, most_bytes: int = 8 << 20) -> DataFrame:
     """Whole texts go to Python in Arrow batches of at most so many rows and, about, bytes.
 
@@ -42,7 +49,7 @@ def bounded_batches(df: DataFrame, rows: int = 1000, most_bytes: int = 8 << 20)
     """
     conf = df.sparkSession.conf
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
-        if not 0 < int(conf.get(key).rstrip("b")) <= value:
+        if not 0 < size_of(conf.get(key)) <= value:
             conf.set(key, str(value))
     return df
 

@@ -10,7 +10,7 @@ import pytest
 from oracle import DATA
 from pyspark.sql import functions as F
 
-from bulletin.llm import bpe, packing, token_files
+from bulletin.llm import bpe, common, packing, token_files
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +123,16 @@ def test_op10_on_all_documents(spark, reference):
         ids = [*reference["word_bpe_49k.json"](text), 1]
         assert (got[doc].start, got[doc].n_tokens, got[doc].ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
+
+
+def test_batch_limits_with_units(spark, documents):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64MB", str(8 << 20)), ("4m", "4m"), ("2 kib", "2 kib"), ("-1", str(8 << 20))):
+            spark.conf.set(key, given)
+            common.bounded_batches(documents([(1, "x")]))
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+    assert [common.size_of(x) for x in ("10000", "67108864b", "3k", "1g")] == [10000, 1 << 26, 3072, 1 << 30]
