@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
 from .text import _c
 
 # Extensions of files; hosts never followed; path words of listings and of static
@@ -46,6 +47,38 @@ def host(url: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(_c(url), F.lit("HOST"))), r"^www\.", "")
 
 
+def absolute(base: str | Column, link: str | Column) -> Column:
+    """``link`` as a reference from the page ``base`` (RFC 3986); null for empty, script, mail and bare fragment links."""
+    return let(F.struct(_c(base).alias("base"), F.trim(_c(link)).alias("link")), lambda v: _joined(v["base"], v["link"]))
+
+
+def _joined(b: Column, h: Column) -> Column:
+    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    authority = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    origin = F.concat(F.lower(scheme), F.lit("://"), authority)
+    base_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(h, r"^[^?#]*", 0), F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(base_path, "[^/]*$", "")
+    joined = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    step = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p)))
+
+    def resolved(parts: Column) -> Column:
+        done = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done), "/")
+
+    # Blank parts in the middle go, dots are resolved, and a path that ends in dots ends in a slash.
+    solid = lambda parts: F.filter(parts, lambda p, i: (p != "") | (i == 0) | (i == F.size(parts) - 1))
+    whole = F.regexp_replace(let(let(F.split(joined, "/"), solid), resolved), "^(?!/)", "/")
+    same_page = F.when(F.startswith(rest, F.lit("?")), F.concat(origin, base_path, rest)).otherwise(F.concat(F.regexp_extract(b, "^[^#]*", 0), rest))
+    return (
+        F.when((h == "") | (h == "#") | h.rlike("^(?:javascript|mailto):"), F.lit(None).cast("string"))
+        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+        .when(F.startswith(h, F.lit("//")), F.concat(F.lower(scheme), F.lit(":"), h))
+        .when(path == "", same_page)
+        .otherwise(F.concat(origin, whole, rest))
+    )
+
+
 def same_origin(url: str | Column, base: str | Column) -> Column:
     """The same host or one of its subdomains."""
     h, b = host(url), host(base)

@@ -1,4 +1,4 @@
-"""Pages to records: title, main text, links, attachments, pagers and repeated rows.
+"""Pages to records: title, main text and links; sitemaps.
 
 A small parser walks each page once where its row lies; everything after is columns.
 """
@@ -6,7 +6,6 @@ A small parser walks each page once where its row lies; everything after is colu
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -21,19 +20,18 @@ BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "section", "arti
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 PAGE_SCHEMA = (
     "title string, main string, body string, published string, "
-    "links array<struct<href:string,text:string,nav:boolean>>, rows array<struct<signature:string,n:int>>"
+    "links array<struct<href:string,text:string,nav:boolean>>"
 )
 
 
 class Page(HTMLParser):
-    """Title, texts, links and counts of tag-and-class signatures of one page."""
+    """Title, texts and links of one page."""
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url, self.open = url, []
         self.title, self.heading, self.published = [], [], None
         self.main, self.body, self.links = [], [], []
-        self.signatures: Counter = Counter()
         self.link = None
 
     def handle_starttag(self, tag, attrs):
@@ -42,8 +40,6 @@ class Page(HTMLParser):
             self.text("\n")
         if tag == "time" and self.published is None:
             self.published = a.get("datetime") or None
-        if "class" in a:
-            self.signatures[f"{tag}." + ".".join(a["class"].split())] += 1
         if tag == "a" and a.get("href"):
             self.link = [a["href"], []]
         if tag not in VOID:
@@ -96,15 +92,14 @@ def read_page(url: str | None, html: str | None) -> dict:
     page.feed(html or "")
     page.close()
     title = squeeze("".join(page.heading)) or squeeze("".join(page.title))
-    rows = [(s, n) for s, n in page.signatures.items() if 3 <= n <= 300]
     return {
         "title": title.replace("\n", " ") or None, "main": squeeze("".join(page.main)) or None, "body": squeeze("".join(page.body)) or None,
-        "published": page.published, "links": page.links, "rows": rows,
+        "published": page.published, "links": page.links,
     }
 
 
 def page_frame(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
-    names = ["title", "main", "body", "published", "links", "rows"]
+    names = ["title", "main", "body", "published", "links"]
     return pd.DataFrame([read_page(u, h) for u, h in zip(urls, htmls)], columns=names)
 
 
@@ -131,27 +126,6 @@ def links(read: DataFrame) -> DataFrame:
     )
 
 
-def attachments(found: DataFrame) -> DataFrame:
-    """Files that a page links, named by the link's text or the file's name."""
-    from ..functions import urls
-
-    return found.where("file").select("page_id", "href", F.coalesce(F.when(F.col("text") != "", F.col("text")), urls.file_title("href")).alias("name"))
-
-
-def last_pages(found: DataFrame) -> DataFrame:
-    """The largest page number that a page's pager links, and how many links it has."""
-    return found.where("number IS NOT NULL AND internal").groupBy("page_id").agg(F.max("number").alias("pages"), F.count(F.lit(1)).alias("links"))
-
-
-def repeated_rows(read: DataFrame) -> DataFrame:
-    """Each page's most repeated signature, row-like ones doubled, navigation ones a fifth; ties to the first."""
-    rows = read.select("page_id", F.posexplode("rows").alias("pos", "r")).select("page_id", "pos", "r.*")
-    s = F.lower("signature")
-    score = F.col("n") * F.when(s.rlike("item|row|card|post|news|notice|list"), 2.0).when(s.rlike("nav|menu|footer|header|social"), 0.2).otherwise(1.0)
-    best = rows.withColumn("score", score).groupBy("page_id").agg(F.max_by(F.struct("signature", "n", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("page_id", "b.*")
-
-
 def sitemap(rows: DataFrame) -> DataFrame:
     """Locations and dates of sitemap documents (``url``, ``xml``), whatever their namespaces."""
     at = lambda name: F.xpath("xml", F.lit(f"//*[local-name()='{name}']/text()"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, classify, extraction
+from ..functions import urls
+from ..operators import chunking, classify, extraction, page_tree
 from ..sources.tables import NOTICES_SQL, notices, table
 from .registry import query
 
@@ -45,14 +46,16 @@ def page_links(spark, path):
 
 
 def listed(spark, path):
-    """The pages with a list of three to six items, an attachment and a pager link at the end."""
+    """The pages as trees, with a list of three to six items, an attachment, a pager and a counter at the end."""
     i = F.col("page_id")
     number = lambda c: c.cast("string")
+    item = "<li class='item'><a href='/notice/7'>Notice number seven</a><span class='date'>2024-01-07</span></li>"
     extra = F.concat(
-        F.lit("<ul>"), F.repeat(F.lit("<li class='item'>x</li>"), (3 + i % 4).cast("int")), F.lit("</ul><a href='/files/annual-report_"), number(i),
-        F.lit(".pdf'></a><a href='?page="), number(i % 9 + 2), F.lit("'>next</a>"),
+        F.lit("<ul>"), F.repeat(F.lit(item), (3 + i % 4).cast("int")), F.lit("</ul><a href='/files/annual-report_"), number(i),
+        F.lit(".pdf'></a><div class='pagination'><a href='?page=1'>1</a><a href='?page="), number(i % 9 + 2), F.lit("'>last</a></div><p>Showing 1 to 10 of "),
+        number(i * 7 % 300 + 1), F.lit(" results</p>"),
     )
-    return extraction.pages(table(spark, path, "pages").withColumn("html", F.concat("html", extra)))
+    return page_tree.page_trees(table(spark, path, "pages").withColumn("html", F.concat("html", extra)))
 
 
 @query(
@@ -60,17 +63,51 @@ def listed(spark, path):
     r"""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/files/annual-report_' || page_id || '.pdf' AS href, 'annual report ' || page_id AS name FROM pages""",
 )
 def page_attachments(spark, path):
-    return extraction.attachments(extraction.links(listed(spark, path)))
+    files = page_tree.details(listed(spark, path)).select("page_id", F.explode_outer("attachments").alias("a")).where("a IS NOT NULL")
+    return files.select("page_id", F.col("a.url").alias("href"), F.coalesce("a.label", urls.file_title("a.url")).alias("name"))
 
 
-@query("pager_refs", "SELECT page_id, page_id % 9 + 2 AS pages, 1::BIGINT AS links FROM pages")
+@query("page_details", None)
+def page_details(spark, path):
+    return page_tree.details(page_tree.page_trees(table(spark, path, "pages")))
+
+
+@query(
+    "pager_refs",
+    """SELECT page_id, 'QUERY_PARAM' AS kind, 'page' AS param, 1 AS start_page, greatest(page_id % 9 + 2, ceil((page_id * 7 % 300 + 1) / 10))::BIGINT AS last_page,
+      (page_id * 7 % 300 + 1)::BIGINT AS total_results, 10::BIGINT AS per_page FROM pages""",
+)
 def pager_refs(spark, path):
-    return extraction.last_pages(extraction.links(listed(spark, path)))
+    return page_tree.pagers(listed(spark, path))
 
 
 @query("repeated_rows", "SELECT page_id, 'li.item' AS signature, (3 + page_id % 4)::INT AS n, 2.0 * (3 + page_id % 4) AS score FROM pages")
 def repeated_rows(spark, path):
-    return extraction.repeated_rows(listed(spark, path))
+    return page_tree.detected_listings(listed(spark, path)).select("page_id", "signature", "n", "score")
+
+
+@query(
+    "listing_schemas",
+    """SELECT page_id, 'li.item' AS base, 'a' AS title, 'li:nth-child(1) a' AS detail, 'span:nth-child(2)' AS published, NULL::VARCHAR AS attachment FROM pages""",
+)
+def listing_schemas(spark, path):
+    return page_tree.detected_listings(listed(spark, path)).select("page_id", "base", "title", "detail", "published", "attachment")
+
+
+@query(
+    "listing_rows",
+    """SELECT page_id, row::INT AS row, 'Notice number seven' AS title, '/notice/7' AS detail_href, '2024-01-07' AS published_raw
+    FROM (SELECT page_id, unnest(range(3 + page_id % 4)) AS row FROM pages)""",
+)
+def listing_rows(spark, path):
+    """The rows by given selectors; those detected on a first row name its place in the list."""
+    fields = [("title", "a", None), ("detail_href", "a", "href"), ("published_raw", "span.date", None)]
+    return page_tree.listing_rows(listed(spark, path), "li.item", fields).select("page_id", "row", "title", "detail_href", "published_raw")
+
+
+@query("harvested_links", None)
+def harvested_links(spark, path):
+    return page_tree.harvested_links(page_tree.page_trees(table(spark, path, "pages"))).select("page_id", "href", "text", "in_nav")
 
 
 @query(
