@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
 from .text import _c
 
 # The accepted formats in order of trial (a weekday before them is cut off first), and
@@ -55,45 +55,73 @@ def in_window(day: Column, start: str | None, end: str | None) -> Column:
     return F.coalesce(test & day.isNotNull(), F.lit(False))
 
 
-MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
-
-
-def _day(text: str, today: dt.date) -> dt.date | None:
-    """A date as yyyy-mm-dd, "feb 3 2024", "3 feb" (of this year); null if there is no such day."""
-    try:
-        if m := re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", text):
-            return dt.date(*map(int, m.groups()))
-        if m := re.fullmatch(r"([a-z]{3})[a-z]* (\d{1,2})(?:,? (\d{4}))?", text):
-            return dt.date(int(m[3] or today.year), MONTHS.get(m[1], 0), int(m[2]))
-        if m := re.fullmatch(r"(\d{1,2}) ([a-z]{3})[a-z]*(?:,? (\d{4}))?", text):
-            return dt.date(int(m[3] or today.year), MONTHS.get(m[2], 0), int(m[1]))
-    except ValueError:
-        pass
-    return None
-
-
-def question_window(question: str, today: dt.date) -> tuple[dt.date | None, dt.date | None] | None:
-    """The closed window of days that a question names, or None."""
-    q = re.sub(r"\s+", " ", question.lower()).strip(" ?.!")
-    date = r"(\d{4}-\d{1,2}-\d{1,2}|[a-z]{3,9} \d{1,2}(?:,? \d{4})?|\d{1,2} [a-z]{3,9}(?: \d{4})?)"
-    if m := re.search(rf"\bbetween {date} and {date}", q):
-        a, b = _day(m[1], today), _day(m[2], today)
-        return (min(a, b), max(a, b)) if a and b else None
-    if m := re.search(rf"\b(?:since|after|from) {date}", q):
-        return (d, None) if (d := _day(m[1], today)) else None
-    if m := re.search(rf"\b(?:before|until) {date}", q):
-        return (None, d) if (d := _day(m[1], today)) else None
-    if "yesterday" in q:
-        return (today - dt.timedelta(1),) * 2
-    if "today" in q:
-        return today, today
-    if m := re.search(r"\b(?:last|past) (\d+)? ?(day|week|month)s?\b", q):
-        days = int(m[1] or 1) * {"day": 1, "week": 7, "month": 30}[m[2]]
-        return today - dt.timedelta(days), today
-    if re.search(r"\bthis week\b", q):
-        return today - dt.timedelta(today.weekday()), today
-    if re.search(r"\bthis month\b", q):
-        return today.replace(day=1), today
-    if m := re.search(rf"\bon {date}", q):
-        return (d, d) if (d := _day(m[1], today)) else None
-    return None
+# Names of months, the shapes of dates in a question (looked up later, so words that
+# only look like a month do no harm), days of grace.
+MONTHS = {
+    "jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7, "july": 7,
+    "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12,
+}
+MONTH_FIRST = r"([a-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?"
+DAY_FIRST = r"(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]{3,9})\.?(?:,?\s+(\d{4}))?"
+ISO_DAY = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
+DATE_TOKEN = "(?:" + "|".join(re.sub(r"\((?!\?)", "(?:", x) for x in (ISO_DAY, MONTH_FIRST, DAY_FIRST)) + ")"
+#: What happened on a day may be announced so many days later, and earlier news of it reach so far back.
+REPORTING_LAG = 3
+LOOKBACK = 30
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """The day, null if there is none of that name (30 February)."""
+    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def named_day(token: Column, now: Column) -> Column:
+    """The day that a date in a question names; without a year the last one not over three days ahead."""
+    group = lambda rx, k: F.regexp_extract(token, f"^{rx}$", k)
+    iso, front = token.rlike(f"^{ISO_DAY}$"), token.rlike(f"^{MONTH_FIRST}$")
+    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    parts = F.when(front, F.struct(group(MONTH_FIRST, 1).alias("month"), group(MONTH_FIRST, 2).alias("day"), group(MONTH_FIRST, 3).alias("year"))).otherwise(
+        F.struct(group(DAY_FIRST, 2).alias("month"), group(DAY_FIRST, 1).alias("day"), group(DAY_FIRST, 3).alias("year"))
+    )
+
+    def read(p: Column) -> Column:
+        month = F.try_element_at(months, p["month"])
+        this = _day(F.year(now), month, p["day"])
+        ahead = this > F.to_date(now + F.expr(f"INTERVAL {REPORTING_LAG} DAYS"))
+        return F.when(month.isNull(), F.lit(None).cast("date")).when(p["year"] != "", _day(p["year"], month, p["day"])).when(ahead, _day(F.year(now) - 1, month, p["day"])).otherwise(this)
+
+    return F.when(iso, _day(group(ISO_DAY, 1), group(ISO_DAY, 2), group(ISO_DAY, 3))).otherwise(let(parts, read))
+
+
+def question_window(question: str | Column, now: str | Column) -> Column:
+    """(as_of, date_from, date_to): the day a question is about and the days it asks for, both ends included; nulls where it names none.
+
+    In order of trial: between two days, since, before; yesterday and today; the last n days,
+    week or month; a bare date.  A single day looks 30 days back and three ahead.  A date that
+    does not exist is passed over.  Recency without a date gives no window.
+    """
+    q, today = F.lower(_c(question)), F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
+    token = lambda rx, k=1: named_day(F.regexp_extract(q, rx, k), today)
+    none, day = F.lit(None).cast("date"), F.to_date(today)
+    window = lambda a, b, c: F.struct(a.alias("as_of"), b.alias("date_from"), c.alias("date_to"))
+    about = lambda d: window(d, F.date_sub(d, LOOKBACK), F.date_add(d, REPORTING_LAG))
+    pair = rf"between\s+({DATE_TOKEN})\s+and\s+({DATE_TOKEN})"
+    days = F.regexp_extract(q, r"\b(?:last|past|previous)\s+(\d{1,2})\s+days?\b", 1)
+    bare = F.get(F.filter(F.transform(F.regexp_extract_all(q, F.lit(DATE_TOKEN), 0), lambda t: named_day(t, today)), lambda d: d.isNotNull()), F.lit(0))
+    named = F.struct(
+        token(pair).alias("a"), token(pair, 2).alias("b"), token(rf"(?:since|after|from)\s+({DATE_TOKEN})").alias("since"),
+        token(rf"(?:before|until|till|up to)\s+({DATE_TOKEN})").alias("before"), bare.alias("bare"),
+    )
+    return let(
+        named,
+        lambda v: F.when(v["a"].isNotNull() & v["b"].isNotNull(), window(none, F.least(v["a"], v["b"]), F.greatest(v["a"], v["b"])))
+        .when(v["since"].isNotNull(), window(none, v["since"], none))
+        .when(v["before"].isNotNull(), window(none, none, v["before"]))
+        .when(q.rlike(r"\byesterday\b"), about(F.date_sub(day, 1)))
+        .when(q.rlike(r"\btoday\b"), about(day))
+        .when(days != "", window(none, F.date_sub(day, F.try_to_number(days, F.lit("99")).cast("int")), none))
+        .when(q.rlike(r"\b(?:last|past|previous)\s+week\b"), window(none, F.date_sub(day, 7), none))
+        .when(q.rlike(r"\b(?:last|past|previous)\s+month\b"), window(none, F.date_sub(day, 30), none))
+        .when(v["bare"].isNotNull(), about(v["bare"]))
+        .otherwise(window(none, none, none)),
+    )

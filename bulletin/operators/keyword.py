@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.dates import MONTHS, in_window, question_window
 
 # Words that are not search terms, words of recency, and words that name a category.
-STOP = set(
-    "the and for are with from about what when where which who how any all show list give tell please can you me is was has have "
-    "there that this these those find get want need related regarding notice notices update updates information".split()
-)
-RECENT = {"latest", "recent", "newest", "new", "today", "current"}
+STOP = [
+    "a", "about", "all", "am", "an", "and", "announcement", "announcements", "any", "are", "as", "at", "be", "been", "by", "can", "do", "does",
+    "find", "for", "from", "get", "give", "has", "have", "how", "i", "in", "is", "it", "list", "many", "me", "much", "my", "notice", "notices",
+    "of", "on", "or", "please", "search", "show", "some", "suchana", "tell", "that", "the", "there", "these", "this", "to", "update", "updates",
+    "was", "were", "what", "when", "where", "which", "who", "with", "you", "your",
+]
+RECENT = ["latest", "newest", "recent", "recently", "new", "current", "today", "now", "upcoming", "this week", "nayaa", "naya"]
 CATEGORY_OF = {
-    "tender": "TENDER", "tenders": "TENDER", "bid": "TENDER", "bids": "TENDER", "vacancy": "VACANCY", "vacancies": "VACANCY", "job": "VACANCY",
-    "jobs": "VACANCY", "result": "RESULT", "results": "RESULT", "news": "NEWS", "circular": "CIRCULAR", "circulars": "CIRCULAR", "report": "REPORT", "reports": "REPORT",
+    "tender": "TENDER", "tenders": "TENDER", "bid": "TENDER", "bids": "TENDER", "procurement": "TENDER", "bolpatra": "TENDER", "vacancy": "VACANCY",
+    "vacancies": "VACANCY", "job": "JOB", "jobs": "JOB", "internship": "INTERNSHIP", "internships": "INTERNSHIP", "circular": "CIRCULAR",
+    "circulars": "CIRCULAR", "news": "NEWS",
 }
-TIME_WORDS = {"yesterday", "last", "past", "week", "month", "day", "days", "weeks", "months", "since", "before", "after", "between", "until"}
 
 
 @dataclass
@@ -32,19 +33,35 @@ class Intent:
     window: tuple | None = None
 
 
-def intent(question: str, today: dt.date) -> Intent:
-    """Terms (over two letters, without stop, recency, month and category words), recency, category and days.
+def asked(question: str | Column, now: str | Column) -> Column:
+    """(terms, recent, category, window) of a question.
 
-    Letters, digits and combining marks make a word.  The category words make no terms.
+    Words are runs of letters, digits and combining marks.  The first word that names a category
+    gives it.  Terms are the distinct words of over two letters that are no stop words, recency
+    words or words of that category, and, if the question names days, no names of months.
     """
-    import unicodedata
-
-    kept = "".join(ch if unicodedata.category(ch)[0] in "LNM" or ch.isspace() else " " for ch in question.lower())
-    words = kept.split()
-    category = next((CATEGORY_OF[w] for w in words if w in CATEGORY_OF), None)
-    skip = STOP | RECENT | TIME_WORDS | CATEGORY_OF.keys()
-    terms = [w for w in words if len(w) > 2 and w not in skip and w[:3] not in MONTHS and not re.fullmatch(r"\d+", w)]
-    return Intent(list(dict.fromkeys(terms)), any(w in RECENT for w in words), category, question_window(question, today))
+    text = F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))
+    table = F.create_map(*[F.lit(x) for kv in CATEGORY_OF.items() for x in kv])
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "), " "), lambda w: w != "")
+
+    def read(v: Column) -> Column:
+        said, w = v["words"], v["window"]
+        category = F.get(F.filter(F.transform(said, lambda x: F.try_element_at(table, x)), lambda c: c.isNotNull()), F.lit(0))
+        dated = w["as_of"].isNotNull() | w["date_from"].isNotNull() | w["date_to"].isNotNull()
+        is_term = lambda x: (
+            (F.length(x) > 2) & ~x.isin(STOP) & ~x.isin(RECENT) & ~(dated & x.isin([*MONTHS, "yesterday", "today"])) & ~F.coalesce(F.try_element_at(table, x) == category, F.lit(False))
+        )
+        terms = F.array_distinct(F.filter(said, is_term))
+        return F.struct(terms.alias("terms"), F.exists(said, lambda x: x.isin(RECENT)).alias("recent"), category.alias("category"), w.alias("window"))
+
+    return let(F.struct(words.alias("words"), question_window(text, now).alias("window")), read)
+
+
+def intent(spark: SparkSession, question: str, now: str) -> Intent:
+    """What one question asks for, at hand on the driver for :func:`search`."""
+    found = spark.range(1).select(asked(F.lit(question), now).alias("i")).first()["i"]
+    days = (found["window"]["date_from"], found["window"]["date_to"])
+    return Intent(found["terms"], found["recent"], found["category"], days if any(days) else None)
 
 
 def _hits(c: str, terms: list[str]) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
@@ -228,7 +227,7 @@ def relative_time(spark, path):
     return table(spark, path, "events").select("event_id", dates.ago("ts", "2024-01-31 00:00:00").alias("label"))
 
 
-TODAY = dt.date(2024, 9, 1)
+NOW = "2024-09-01 10:30:00"
 SEARCH_SQL = """
 SELECT id, category, substring(content, 1, 200) AS summary, title, content, effective_at FROM notices"""
 
@@ -245,7 +244,7 @@ def searchable(spark, path):
     SELECT id, score::BIGINT AS score FROM s WHERE score > 0 OR (SELECT max(score) FROM s) = 0 ORDER BY score DESC, effective_at DESC, id DESC LIMIT 10""",
 )
 def keyword_search_ranked(spark, path):
-    return keyword.search(searchable(spark, path), keyword.intent("show notices about tion and erth", TODAY)).select("id", "score")
+    return keyword.search(searchable(spark, path), keyword.intent(spark, "show notices about tion and erth", NOW)).select("id", "score")
 
 
 @query(
@@ -260,17 +259,37 @@ def keyword_relaxation(spark, path):
     return keyword.relaxed(rows, asked).select("id", "step")
 
 
+_listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+#: Words put before the texts, which have none of them, and the days they name on 1 September 2024.
+PHRASES = [
+    ("latest tender notices", None, None, None), ("news since 2024-02-29", None, "2024-02-29", None), ("jobs after feb 30", None, None, None),
+    ("circulars before march 3rd, 2023", None, None, "2023-03-03"), ("bids between 5 may and apr. 7", None, "2024-04-07", "2024-05-05"),
+    ("how many came yesterday", "2024-08-31", "2024-08-01", "2024-09-03"), ("upcoming vacancies today", "2024-09-01", "2024-08-02", "2024-09-04"),
+    ("job news of the last 12 days", None, "2024-08-20", None), ("past month market decision", None, "2024-08-02", None),
+    ("what happened december 20", "2023-12-20", "2023-11-20", "2023-12-23"), ("flood 2 then sept 3", "2024-09-03", "2024-08-04", "2024-09-06"),
+    ("procurement until 2024/13/01 in previous week", None, "2024-08-25", None), ("internship may", None, None, None),
+]
+
+
 @query(
     "question_intents",
-    None,
+    rf"""WITH p AS (SELECT unnest({[x[0] for x in PHRASES]}) AS phrase, unnest(range({len(PHRASES)})) AS k,
+        unnest({[x[1] or '' for x in PHRASES]}) AS as_of, unnest({[x[2] or '' for x in PHRASES]}) AS date_from, unnest({[x[3] or '' for x in PHRASES]}) AS date_to),
+    q AS (SELECT conv_id, turn, phrase || ' ' || text AS question, nullif(as_of, '') AS as_of, nullif(date_from, '') AS date_from, nullif(date_to, '') AS date_to
+      FROM conversations JOIN p ON k = (conv_id + turn) % {len(PHRASES)} WHERE role = 'user'),
+    w AS (SELECT *, list_filter(string_split(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM q),
+    c AS (SELECT *, MAP {keyword.CATEGORY_OF}[list_filter(words, lambda x: list_contains({_listed(keyword.CATEGORY_OF)}, x))[1]] AS category FROM w),
+    t AS (SELECT *, list_filter(words, lambda x: length(x) > 2 AND NOT list_contains({_listed(keyword.STOP + keyword.RECENT)}, x)
+        AND NOT (coalesce(as_of, date_from, date_to) IS NOT NULL AND list_contains({_listed([*dates.MONTHS, "yesterday", "today"])}, x))
+        AND NOT (category IS NOT NULL AND coalesce(MAP {keyword.CATEGORY_OF}[x] = category, false))) AS kept FROM c)
+    SELECT conv_id, turn, list_filter(kept, lambda x, i: list_position(kept, x) = i) AS terms, len(list_filter(words, lambda x: list_contains({_listed(keyword.RECENT)}, x))) > 0 AS recent, category,
+      as_of, date_from, date_to FROM t""",
 )
 def question_intents(spark, path):
-    """The parsed intent of the distinct questions asked, each parsed where its rows are."""
-
-    @F.pandas_udf("terms array<string>, recent boolean, category string")
-    def parse(questions: pd.Series) -> pd.DataFrame:
-        found = [keyword.intent(q or "", TODAY) for q in questions]
-        return pd.DataFrame({"terms": [f.terms for f in found], "recent": [f.recent for f in found], "category": [f.category for f in found]})
-
-    asked = table(spark, path, "conversations").where("role = 'user'").select("text").distinct()
-    return asked.select("text", parse("text").alias("i")).select("text", "i.*")
+    """What every question asks for: terms, recency, category and days, with phrases of these put before the texts."""
+    turn = (F.col("conv_id") + F.col("turn")) % len(PHRASES)
+    phrase = F.element_at(F.array(*[F.lit(x[0]) for x in PHRASES]), (turn + 1).cast("int"))
+    questions = table(spark, path, "conversations").where("role = 'user'").withColumn("question", F.concat_ws(" ", phrase, "text"))
+    i = questions.select("conv_id", "turn", keyword.asked("question", NOW).alias("i"))
+    days = [F.col(f"i.window.{c}").cast("string").alias(c) for c in ("as_of", "date_from", "date_to")]
+    return i.select("conv_id", "turn", "i.terms", "i.recent", "i.category", *days)

@@ -1,6 +1,8 @@
 """Hand-computed cases of the operators."""
 
 import datetime as dt
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -64,15 +66,62 @@ def test_urls(spark):
 
 def test_dates(spark):
     assert [str(v)[:10] for v in values(spark, dates.parsed, "२०२४-०२-०३", "3 Feb 2024", "nonsense")] == ["2024-02-03", "2024-02-03", "None"]
-    today = dt.date(2024, 9, 4)
-    assert dates.question_window("what came on feb 30?", today) is None
-    assert dates.question_window("notices between 2024-01-05 and 2024-01-02", today) == (dt.date(2024, 1, 2), dt.date(2024, 1, 5))
-    assert dates.question_window("last 3 days", today) == (dt.date(2024, 9, 1), today)
 
 
-def test_intent():
-    found = keyword.intent("latest tender notices", dt.date(2024, 9, 4))
-    assert (found.terms, found.recent, found.category) == ([], True, "TENDER")
+def plain_window(q, now):
+    """(as_of, from, to) by the rules of question windows, with Python's own dates."""
+    token = r"(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|[a-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?(?:,?\s+\d{4})?|\d{1,2}(?:st|nd|rd|th)?\s+[a-z]{3,9}\.?(?:,?\s+\d{4})?)"
+    ago = dt.timedelta
+
+    def make(y, m, d):
+        try:
+            return dt.date(int(y), int(m), int(d))
+        except ValueError:
+            return None
+
+    def read(t):
+        if re.fullmatch(r"\d+[-/]\d+[-/]\d+", t):
+            return make(*re.split("[-/]", t))
+        month, day = re.search("[a-z]{3,9}", re.sub(r"(?<=\d)(st|nd|rd|th)", "", t))[0], re.search(r"(?<!\d)\d{1,2}(?!\d)", t)[0]
+        year, m = re.search(r"\d{4}$", t), dates.MONTHS.get(month)
+        if not m:
+            return None
+        if year:
+            return make(year[0], m, day)
+        d = make(now.year, m, day)
+        return make(now.year - 1, m, day) if d and d > (now + ago(3)).date() else d
+
+    about, today, q = lambda d: (d, d - ago(30), d + ago(3)), now.date(), q.lower()
+    if (m := re.search(rf"between\s+({token})\s+and\s+({token})", q)) and read(m[1]) and read(m[2]):
+        return None, *sorted((read(m[1]), read(m[2])))
+    if (m := re.search(rf"(?:since|after|from)\s+({token})", q)) and read(m[1]):
+        return None, read(m[1]), None
+    if (m := re.search(rf"(?:before|until|till|up to)\s+({token})", q)) and read(m[1]):
+        return None, None, read(m[1])
+    for word, back in (("yesterday", 1), ("today", 0)):
+        if re.search(rf"\b{word}\b", q):
+            return about(today - ago(back))
+    if m := re.search(r"\b(?:last|past|previous)\s+(\d{1,2}\s+days?|week|month)\b", q):
+        return None, today - ago({"week": 7, "month": 30}.get(m[1]) or int(m[1].split()[0])), None
+    return next((about(d) for m in re.findall(token, q) if (d := read(m))), (None, None, None))
+
+
+def test_question_windows(spark):
+    now, rng = dt.datetime(2024, 3, 1, 9), random.Random(1)
+    day = lambda: rng.choice(["2024-02-29", "2023/2/29", "feb 30", "29 feb", "Sept. 2nd", "2 september, 2021", "mar 4", "march 5", "flood 2", "31 december", "1st may 2020", "market 7", "12 12"])
+    shapes = ["between {} and {}", "since {} {}", "from {} until {}", "before {}", "up to {} today", "yesterday {}", "today's {}", "last 3 days {}", "past  12 day", "previous week", "last month {}", "{} or {}", "todays", "this week", "last 123 days"]
+    asked = [rng.choice(shapes).format(day(), day()) for _ in range(300)] + ["what came on feb 30?", "", "latest news"]
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", dates.question_window("q", str(now)).alias("w")).collect()
+    assert [(r.q, tuple(r.w)) for r in rows] == [(q, plain_window(q, now)) for q in asked]
+
+
+def test_intent(spark):
+    now = "2024-09-04 12:00:00"
+    found = keyword.intent(spark, "latest tender notices", now)
+    assert (found.terms, found.recent, found.category, found.window) == ([], True, "TENDER", None)
+    found = keyword.intent(spark, "Job market decisions, tender marriage since march 5: शिक्षक शिक्षक", now)
+    assert (found.terms, found.recent, found.category, found.window) == (["market", "decisions", "tender", "marriage", "since", "शिक्षक"], False, "JOB", (dt.date(2024, 3, 5), None))
+    assert keyword.intent(spark, "what happened in march", now).terms == ["happened", "march"]
 
 
 def test_hashes(spark):
