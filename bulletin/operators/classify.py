@@ -1,10 +1,10 @@
-"""Category of an announcement by tiers of words, arbitration, re-labelling, route scores, run diagnosis."""
+"""Category of an announcement by tiers of words, arbitration, re-labelling."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import _c
@@ -65,18 +65,6 @@ ROUTES = {
     "JOB": "JOB", "CAREER": "JOB", "RECRUITMENT": "JOB", "INTERN": "INTERNSHIP", "INTERNSHIP": "INTERNSHIP",
     "TRAINEE": "INTERNSHIP", "OTHER": "OTHER",
 }
-#: Words by which a link's path or text looks like a list; codes and words of run failures.
-LIST_WORDS = [
-    "tender", "bid", "procurement", "quotation", "auction", "vacancy", "recruit", "job", "internship", "career", "result", "merit list",
-    "shortlist", "press", "media release", "circular", "directive", "guideline", "act", "regulation", "bylaw", "policy", "report",
-    "annual", "bulletin", "news", "event", "notice", "announcement",
-]
-DIAGNOSES = [
-    ("timeout", "error", "timed? ?out"), ("dns", "error", "name or service|resolve"), ("ssl", "error", "certificate|ssl"),
-    ("blocked", "error", "403|captcha|forbidden"), ("missing", "warning", "404|not found"), ("server", "warning", r"\b5\d\d\b"),
-    ("empty", "warning", "no rows|empty"), ("parse", "info", "parse|selector"),
-]
-SEVERITY = {"error": 0, "warning": 1, "info": 2}
 
 
 def any_word(c: Column, words: list[str]) -> Column:
@@ -137,23 +125,3 @@ def reference(text: str | Column) -> Column:
     """The first reference number of 3 to 50 characters."""
     found = F.regexp_extract(F.substring(_c(text), 1, 3000), r"(?i)\b(?:ref|reference|no|number)\.?\s*(?:no\.?)?\s*[:#]\s*([A-Z0-9][A-Z0-9/\-]{2,49})", 1)
     return F.when(found != "", found)
-
-
-def route_score(path: Column, text: Column, in_nav: Column) -> Column:
-    """How likely a link leads to a list: words in its path and text, agreement, navigation, less depth."""
-    p, t = F.lower(path), F.lower(F.coalesce(text, F.lit("")))
-    has = lambda c: F.exists(F.array(*map(F.lit, LIST_WORDS)), lambda w: F.contains(c, w))
-    depth = F.size(F.filter(F.split(p, "/"), lambda s: s != ""))
-    n = lambda c, v: F.when(c, F.lit(float(v))).otherwise(0.0)
-    detail = p.rlike(r"/\d+/?$")
-    return n(has(p), 6) + n(has(t), 5) + n(has(p) & has(t), 2) + n(in_nav, 2) - n(detail, 8) - 0.75 * depth
-
-
-def diagnoses(failures: DataFrame) -> DataFrame:
-    """Per source the kinds of failure, worst first and by number, from messages (``source``, ``error``)."""
-    kinds = F.filter(
-        F.array(*[F.when(F.lower("error").rlike(rx), F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(SEVERITY[sev]).alias("rank"))) for code, sev, rx in DIAGNOSES]),
-        lambda x: x.isNotNull(),
-    )
-    rows = failures.select("source", F.explode(kinds).alias("d")).select("source", "d.*")
-    return rows.groupBy("source", "code", "severity", "rank").agg(F.count(F.lit(1)).alias("n"))

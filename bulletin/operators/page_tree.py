@@ -475,7 +475,7 @@ def pagers(trees: DataFrame) -> DataFrame:
 
 
 def harvested_links(trees: DataFrame) -> DataFrame:
-    """Links of a page to other pages of its site: ``href``, ``text`` (120 characters) and ``in_nav``, the first of each address.
+    """Links of a page to other pages of its site: ``place``, ``href``, ``text`` (120 characters) and ``in_nav``, the first of each address.
 
     Files, fragments, scripts, mail and telephone links, and links to the page itself are left out;
     addresses are compared without fragment and slash at the end.  ``in_nav``: inside nav or header
@@ -493,4 +493,4 @@ def harvested_links(trees: DataFrame) -> DataFrame:
     kept = F.filter("links_", lambda r: r["href"].isNotNull() & urls.same_origin(r["href"], F.col("url")) & ~F.lower(r["href"]).rlike(urls.FILES) & (r["address"] != bare(F.col("url"))))
     df = df.withColumn("links_", kept)
     first = let(F.col("links_"), lambda all: F.filter(all, lambda r, i: F.array_position(all["address"], r["address"]) == i + 1))
-    return df.select("page_id", "url", F.explode_outer(first).alias("l")).where("l IS NOT NULL").select("page_id", "url", "l.href", "l.text", "l.in_nav")
+    return df.select("page_id", "url", F.posexplode_outer(first).alias("place", "l")).where("l IS NOT NULL").select("page_id", "url", "place", "l.href", "l.text", "l.in_nav")

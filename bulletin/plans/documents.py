@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import chunking, classify, extraction, page_tree
+from ..operators import chunking, classify, extraction, page_tree, routes
 from ..sources.tables import NOTICES_SQL, notices, table
 from .registry import query
 
@@ -190,27 +190,50 @@ def reference_numbers(spark, path):
     return table(spark, path, "documents").select(i.alias("id"), classify.reference(note).alias("number"))
 
 
-_route_has = "regexp_matches(p, '" + "|".join(classify.LIST_WORDS) + "')"
+_words = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_keys = _words(sorted(routes.KEYWORDS, key=len, reverse=True))
+#: Paths and texts of candidate links, dealt over the pages.
+PATHS = ["/page/notice", "/notices", "/media/press_release/archive/2023/all", "/post/notice-inviting-bids-for-the-purchase-of-pens", "/category/details-of-printed-licenses", "/x?type=tenders", "/post/press-release-2126", "/about/notice", "/content/446/news", "/page/12", "/Latest-News/"]
+LABELS = ["Notice", "सूचना", "All tenders here", "", "Photo of news", "समाचार", " Circulars ", "More"]
 
 
 @query(
     "route_scores",
-    f"""WITH r AS (SELECT page_id, lower(regexp_extract(url, '//[^/]+([^?#]*)', 1)) AS p, page_id % 3 = 0 AS nav FROM pages)
-    SELECT page_id, (CASE WHEN {_route_has} THEN 6 ELSE 0 END + CASE WHEN nav THEN 2 ELSE 0 END - CASE WHEN regexp_matches(p, '/\\d+/?$') THEN 8 ELSE 0 END
-      - 0.75 * len(list_filter(string_split(p, '/'), lambda s: s <> '')))::DOUBLE AS score FROM r""",
+    rf"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || {_words(PATHS)}[page_id % {len(PATHS)} + 1] AS link, {_words(LABELS)}[page_id // {len(PATHS)} % {len(LABELS)} + 1] AS label, page_id % 3 = 0 AS nav FROM pages),
+    p AS (SELECT *, lower(regexp_extract(link, '//[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(link, '\?(.*)$', 1)) AS q, lower(label) AS low FROM l),
+    s AS (SELECT *, path || ' ' || q AS words, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM p),
+    k AS (SELECT *, list_filter({_keys}, lambda w: contains(words, w))[1] AS in_url, list_filter({_keys}, lambda w: contains(low, w))[1] AS in_text, replace(seg[len(seg)], '_', '-') AS last FROM s),
+    c AS (SELECT *, MAP {routes.KEYWORDS}[in_url] AS uc, MAP {routes.KEYWORDS}[in_text] AS tc, seg[1] IN ('category', 'categories', 'tag', 'tags', 'topic', 'section', 'taxonomy') AS taxo, string_split(last, '-') AS parts FROM k
+      WHERE len(list_filter({_words(routes.NEGATIVE)}, lambda w: contains(words, w))) = 0 AND (in_text IS NULL OR len(list_filter({_words(routes.NEGATIVE)}, lambda w: contains(low, w))) = 0))
+    SELECT page_id, coalesce(uc, tc) AS category, (CASE WHEN in_url IS NULL THEN 0 WHEN list_contains(list_transform(seg, lambda x: replace(x, '_', '-')), in_url) THEN 6 ELSE 4 END
+      + CASE WHEN in_text IS NULL THEN 0 WHEN trim(low) = in_text THEN 5 ELSE 3 END + CASE WHEN uc = tc THEN 2 ELSE 0 END + CASE WHEN nav THEN 2 ELSE 0 END
+      + CASE WHEN len(list_filter({_keys}, lambda w: contains(last, w))) > 0 THEN 1.5 ELSE 0 END
+      - CASE WHEN taxo AND len(seg) <= 2 THEN 0 WHEN len(list_filter(seg, lambda x: regexp_full_match(x, '\d+'))) > 0 OR len(parts) > 1 AND regexp_full_match(parts[len(parts)], '\d+') THEN 8
+          WHEN taxo THEN CASE WHEN len(seg) > 2 THEN 8 ELSE 0 END WHEN len(parts) > 5 THEN 8 ELSE 0 END
+      - greatest(len(seg) - 2, 0) * 0.75)::DOUBLE AS score
+    FROM c WHERE coalesce(uc, tc) IS NOT NULL""",
 )
 def route_scores(spark, path):
-    p = F.try_parse_url("url", F.lit("PATH"))
-    return table(spark, path, "pages").select("page_id", classify.route_score(p, F.lit(""), F.col("page_id") % 3 == 0).alias("score"))
+    i = F.col("page_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    link = F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0), pick(PATHS, i))
+    rows = table(spark, path, "pages").select("page_id", routes.route_score(link, pick(LABELS, F.floor(i / len(PATHS))), i % 3 == 0).alias("s"))
+    return rows.where("s IS NOT NULL").select("page_id", "s.category", "s.score")
 
 
 @query(
-    "run_diagnosis",
-    """SELECT user_id % 20 AS source, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'missing' ELSE 'parse' END AS code,
-      CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM events WHERE event_type IN ('error', 'click', 'view') GROUP BY 1, 2, 3""",
+    "routes_discovered",
+    """WITH s AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin FROM pages), n AS (SELECT origin, 2 + min(page_id) % 4 AS listed FROM s GROUP BY 1)
+    SELECT page_id AS site_id, 0::INT AS place, origin || '/notices' AS url, 'NOTICE' AS category, 'Notices' AS label, CASE WHEN listed >= 3 THEN 14.5 + listed ELSE 14.5 END AS score, listed >= 3 AS verified, listed AS rows, listed >= 3 AS best
+    FROM s JOIN n USING (origin)""",
 )
-def run_diagnosis(spark, path):
-    kind = F.col("event_type")
-    message = F.when(kind == "error", "Read timed out").when(kind == "click", "HTTP 404").when(kind == "view", "selector matched nothing").otherwise("")
-    failures = table(spark, path, "events").select((F.col("user_id") % 20).alias("source"), message.alias("error"))
-    return classify.diagnoses(failures).select("source", "code", "severity", "n")
+def routes_discovered(spark, path):
+    """Each page is a home page with one more link, to a list of two to five items at the same host."""
+    pages = table(spark, path, "pages").withColumn("origin", F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0))
+    sites = pages.select(F.col("page_id").alias("site_id"), F.concat("origin", F.lit("/")).alias("base"), F.concat("html", F.lit("<a href='/notices'>Notices</a>")).alias("html"))
+    item = lambda k: F.concat(F.lit("<li class='item'><a class='go' href='/notice/"), k.cast("string"), F.lit("/text'>Notice of the day</a></li>"))
+    listed = pages.groupBy("origin").agg(F.min("page_id").alias("first"))
+    items = F.array_join(F.transform(F.sequence(F.lit(1), (2 + F.col("first") % 4).cast("int")), item), "")
+    # Two rows are no list: one that leads nowhere makes them three.
+    fetched = listed.select(F.concat("origin", F.lit("/notices")).alias("url"), F.concat(F.lit("<ul>"), items, F.lit("<li class='item'><a class='go' href='/notices'>This list itself</a></li></ul>")).alias("html"))
+    return routes.discovered(sites, fetched)

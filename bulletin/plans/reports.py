@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import quota
 from ..operators import reports as ops
 from ..sources.tables import NOTICES_SQL, day_text, notices, table
 from .registry import query
@@ -209,3 +210,22 @@ def pricing_summary(spark, path):
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_net"),
         F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count(F.lit(1)).alias("n"),
     )
+
+
+LIMITS = {"FREE": 5, "BASIC": 15, "PRO": None}
+ADMITTED_SQL = f"""
+  SELECT event_id, user_id, lim AS "limit", CASE WHEN lim IS NOT NULL THEN least(place - 1, lim) END AS used, coalesce(place <= lim, true) AS admitted
+  FROM (SELECT event_id, user_id, CASE tier WHEN 'PRO' THEN NULL WHEN 'BASIC' THEN 15 ELSE 5 END::BIGINT AS lim, row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) AS place
+    FROM (SELECT * REPLACE (ts + to_days((event_id % 3 * 20)::INT) AS ts) FROM events) LEFT JOIN effective USING (user_id))"""
+
+
+def asked(spark, path):
+    """Events as questions, a third of them twenty and a third forty days later; users as in ``subscriptions``."""
+    later = F.expr("ts + make_dt_interval(CAST(event_id % 3 * 20 AS INT))")
+    plans = subscriptions(spark, path).select("user_id", ops.effective_tier("tier", "status", "in_period").alias("tier"))
+    return table(spark, path, "events").select("event_id", "user_id", later.alias("ts")), plans
+
+
+@query("quota_admission", f"WITH {PLAN_SQL} {ADMITTED_SQL}")
+def quota_admission(spark, path):
+    return quota.admitted(*asked(spark, path), LIMITS).select("event_id", "user_id", "limit", "used", "admitted")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import diagnosis
 from ..operators import scheduling as ops
 from ..sources.tables import RUNS_SQL, day_text, runs, table
 from .registry import query
@@ -141,3 +142,67 @@ def final_status(spark, path):
     e = table(spark, path, "events")
     error = F.when(F.col("event_type") == "error", F.col("event_type"))
     return e.select(F.col("event_id").alias("run_id"), ops.final_status(error, F.col("user_id") % 4, F.col("user_id") % 3).alias("status"))
+
+
+# What happens in the runs of a source, by its number: (stage, outcome, reason, error); none from ten on.
+ISSUES = [
+    ("listing_url", "failed", None, "Listing URL returned HTTP 404: moved"), ("detail", "failed", None, "HTTP 403 Forbidden"), ("raw_fetch", None, None, "net::ERR_NAME_NOT_RESOLVED"),
+    ("listing", "failed", None, "SSL handshake failed"), ("listing", "", None, "Read timed out"), ("schema_detection", "failed", None, "Could not detect a working listing pattern"),
+    (None, "skipped", "not_article_url", None), (None, "skipped", "no_title", None), ("detail", "failed", None, "no text"), ("raw_fetch", "failed", None, "HTTP 410 after timeout"),
+]
+_case = lambda j: "CASE kind " + " ".join(f"WHEN {i} THEN '{x[j]}'" for i, x in enumerate(ISSUES) if x[j] is not None) + " END"
+
+
+@query(
+    "run_diagnosis",
+    f"""WITH r AS (
+      SELECT c_custkey AS run_id, c_custkey % 5 * 3 AS found, CASE WHEN c_custkey % 5 = 1 THEN 1 ELSE 0 END AS new, c_custkey % 2 = 0 AS sitemap, c_custkey % 3 = 0 AS moved, c_custkey % 7 = 0 AS noted, c_custkey % 4 AS pages,
+        'https://s' || c_custkey || '.org/' AS home FROM customer),
+    i AS (
+      SELECT run_id, kind, {_case(0)} AS stage, coalesce(nullif({_case(1)}, ''), 'failed') AS outcome, {_case(2)} AS reason, lower(coalesce({_case(3)}, '')) AS error, event_id % 2 = 0 AS listed
+      FROM (SELECT *, (run_id % 12 + event_id // 7 % 2 * 5) % 14 AS kind FROM (SELECT event_id, event_id % (SELECT count(*) FROM customer) + 1 AS run_id FROM events)) WHERE kind < 10),
+    n AS (
+      SELECT run_id, count(*) AS issues, count_if(kind IN (0, 9)) AS dead, count_if(kind = 1) AS blocked, count_if(kind = 2) AS dns, count_if(kind = 3) AS tls, count_if(kind IN (4, 9)) AS unreachable, count_if(kind = 5) AS unread,
+        count_if(kind = 6) AS rejected, count_if(kind = 7) AS untitled, count_if(kind IN (1, 8)) AS details, bool_or(kind = 0) AS s404, bool_or(kind = 9) AS s410, bool_or(kind IN (0, 9) AND listed) AS dead_notice FROM i GROUP BY 1),
+    c AS (SELECT r.*, coalesce(issues, 0) AS issues, coalesce(dead, 0) AS dead, coalesce(blocked, 0) AS blocked, coalesce(dns, 0) AS dns, coalesce(tls, 0) AS tls, coalesce(unreachable, 0) AS unreachable, coalesce(unread, 0) AS unread,
+        coalesce(rejected, 0) AS rejected, coalesce(untitled, 0) AS untitled, coalesce(details, 0) AS details, concat_ws(', ', CASE WHEN s404 THEN '404' END, CASE WHEN s410 THEN '410' END) AS statuses,
+        coalesce(dead_notice AND moved, false) AS patched FROM r LEFT JOIN n USING (run_id)),
+    d AS (
+      SELECT run_id, 0 AS i, 0 AS rank, 'listing_url_dead' AS code, dead AS n, statuses AS note, CASE WHEN patched THEN 'noticeListUrl=' || home || 'new' ELSE '' END AS patch, CASE WHEN patched THEN 'apply_patch' ELSE 'discover_routes' END AS actions FROM c WHERE dead > 0
+      UNION ALL SELECT run_id, 1, 0, 'blocked', blocked, NULL, 'pollIntervalSeconds=3600', 'apply_patch' FROM c WHERE blocked > 0
+      UNION ALL SELECT run_id, 2, 0, 'dns_failure', dns, NULL, '', 'edit_source' FROM c WHERE dns > 0
+      UNION ALL SELECT run_id, 3, 0, 'tls_failure', tls, NULL, '', 'edit_source' FROM c WHERE tls > 0
+      UNION ALL SELECT run_id, 4, 1, 'site_unreachable', unreachable, NULL, '', 'retry' FROM c WHERE unreachable > 0 AND dns + tls + blocked = 0
+      UNION ALL SELECT run_id, 5, 0, 'no_listing_pattern', unread, NULL, CASE WHEN moved THEN 'noticeListUrl=' || home || 'new' ELSE '' END, 'discover_routes' || CASE WHEN sitemap THEN '' ELSE ',detect_sitemap' END FROM c WHERE unread > 0 AND dead = 0
+      UNION ALL SELECT run_id, 6, 1, 'rows_rejected', rejected, NULL, '', 'edit_source' FROM c WHERE found = 0 AND rejected >= 3 AND unread = 0
+      UNION ALL SELECT run_id, 7, 1, 'rows_untitled', untitled, NULL, '', 'retry,discover_routes' FROM c WHERE found = 0 AND untitled >= 3
+      UNION ALL SELECT run_id, 8, 1, 'detail_pages_failing', details, NULL, '', 'retry' FROM c WHERE found > 0 AND details >= greatest(3, found // 2)
+      UNION ALL SELECT run_id, 9, 2, 'pagination_mismatch', 0, NULL, 'paginationType=PATH_TEMPLATE,paginationParam=page' || CASE WHEN pages = 3 THEN ',startPage=0' ELSE '' END, 'apply_patch' FROM c WHERE pages IN (2, 3)),
+    e AS (
+      FROM d UNION ALL SELECT run_id, 10, 2, 'up_to_date', 0, NULL, '', '' FROM c WHERE found > 0 AND new = 0 AND run_id NOT IN (SELECT run_id FROM d)
+      UNION ALL SELECT run_id, 11, 1, 'empty_no_errors', 0, NULL, '', CASE WHEN sitemap THEN '' ELSE 'detect_sitemap,' END || 'discover_routes' FROM c WHERE found = 0 AND issues = 0 AND run_id NOT IN (SELECT run_id FROM d)
+      UNION ALL SELECT run_id, 12, 2, 'discovery_note', 0, 'nothing listed', '', '' FROM c WHERE noted)
+    SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY rank, i) - 1)::INT AS place, code, ['error', 'warning', 'info'][rank + 1] AS severity, n, note, patch, actions FROM e""",
+)
+def run_diagnosis(spark, path):
+    """Each customer is a run; events are its issues, of two kinds that follow from both ids."""
+    k = F.col("c_custkey")
+    home = F.concat(F.lit("https://s"), k.cast("string"), F.lit(".org/"))
+    scheme = lambda kind, start: F.struct(F.lit(kind).alias("type"), F.lit("page").alias("param"), start.cast("int").alias("start_page"))
+    none = F.lit(None)
+    runs = table(spark, path, "customer").select(
+        k.alias("run_id"), (k % 5 * 3).alias("items_found"), F.when(k % 5 == 1, 1).otherwise(0).alias("items_new"), (k % 2 == 0).alias("has_sitemap"),
+        F.create_map(F.lit("NOTICE"), F.concat(home, F.lit("list/"))).alias("listings"), F.when(k % 3 == 0, F.create_map(F.lit("NOTICE"), F.concat(home, F.lit("new")))).alias("best_routes"),
+        F.when(k % 7 == 0, F.array(F.lit("nothing listed"))).alias("notes"), F.when(k % 4 > 0, scheme("QUERY_PARAM", none)).alias("pagination"),
+        F.when(k % 4 == 1, scheme("QUERY_PARAM", none)).when(k % 4 == 2, scheme("PATH_TEMPLATE", none)).when(k % 4 == 3, scheme("PATH_TEMPLATE", F.lit(0))).alias("detected"),
+    )
+    last = table(spark, path, "customer").count()
+    event = F.col("event_id")
+    rows = table(spark, path, "events").select(event, (event % last + 1).alias("run_id"))
+    kind = ((F.col("run_id") % 12 + F.floor(event / 7) % 2 * 5) % 14).cast("int")
+    kinds = F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(("stage", "outcome", "reason", "error"), x)]) for x in ISSUES])
+    url = F.when(event % 2 == 0, F.concat(F.lit("https://s"), F.col("run_id").cast("string"), F.lit(".org/list"))).otherwise("https://elsewhere.org")
+    issues = rows.where(kind < len(ISSUES)).select("run_id", F.get(kinds, kind).alias("x"), url.alias("url")).select("run_id", "x.*", "url")
+    found = diagnosis.diagnoses(runs, issues)
+    patch = F.array_join(F.transform(F.map_entries("patch"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return found.select("run_id", "place", "code", "severity", "n", "note", patch.alias("patch"), F.array_join("actions", ",").alias("actions"))
