@@ -5,31 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 # Bands of progress in percent by stage.
 STAGES = {"queued": (0, 5), "extract": (5, 40), "chunk": (40, 50), "embed": (50, 95), "done": (100, 100)}
 
 
 def settings(definitions: DataFrame, stored: DataFrame) -> DataFrame:
-    """Declared settings (``key``, ``kind``, ``default``) with stored values (``key``, ``value``) over them.
+    """Declared settings (``key``, ``kind``, ``default`` and, where given, ``options``, ``least``, ``most``, ``step``) with stored values (``key``, ``value``) over them.
 
     Stored keys that are not declared are left out; a stored value of the wrong kind is an error
     and the default stays.
     """
+    limits = {"options": "array<string>", "least": "double", "most": "double", "step": "double"}
+    definitions = definitions.withColumns({c: F.lit(None).cast(kind) for c, kind in limits.items() if c not in definitions.columns})
     rows = definitions.join(stored, "key", "left")
-    fits = valid(F.col("kind"), F.col("value"))
+    fits = valid(F.col("kind"), F.col("value"), *map(F.col, limits))
     return rows.select(
         "key", F.when(F.col("value").isNotNull() & fits, F.col("value")).otherwise(F.col("default")).alias("value"),
         (F.col("value").isNotNull() & ~fits).alias("error"),
     )
 
 
-def valid(kind: Column, value: Column) -> Column:
-    """Whether a value has its declared kind."""
+def valid(kind: Column, value: Column, options: Column, least: Column, most: Column, step: Column) -> Column:
+    """Whether a value has its declared kind.
+
+    boolean: true or false; number: finite, within its bounds and a whole number of steps (over 1)
+    from the least; cron: five fields; select: one of the options; text and textarea: not blank;
+    secret: ten characters; order: some of the options, each once; any other kind takes all.
+    """
+    number = F.when(stripped(value) == "", 0.0).otherwise(value.try_cast("double"))
+    base = F.coalesce(least, F.lit(0.0))
+    steps = (number - base) / step
+    whole = ~F.coalesce(step > 1, F.lit(False)) | (F.abs(steps - F.floor(steps + 0.5)) <= 1e-6)
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    parts = F.filter(F.transform(F.split(value, ","), stripped), lambda p: p != "")
+    known = F.coalesce(options, F.array().cast("array<string>"))
     test = (
-        F.when(kind == "bool", value.isin("true", "false"))
-        .when(kind == "number", value.try_cast("double").isNotNull())
+        F.when(kind == "boolean", value.isin("true", "false"))
+        .when(kind == "number", finite & ~F.coalesce(number < least, F.lit(False)) & ~F.coalesce(number > most, F.lit(False)) & whole)
         .when(kind == "cron", F.size(F.split(F.trim(value), r"\s+")) == 5)
-        .otherwise(F.length(value) <= 2000)
+        .when(kind == "select", F.array_contains(known, value))
+        .when(kind.isin("text", "textarea"), stripped(value) != "")
+        .when(kind == "secret", F.length(stripped(value)) >= 10)
+        .when(kind == "order", (F.size(parts) > 0) & (F.size(F.array_except(parts, known)) == 0) & (F.size(F.array_distinct(parts)) == F.size(parts)))
+        .otherwise(True)
     )
     return F.coalesce(test, F.lit(False))
 

@@ -110,6 +110,34 @@ def classify(title: str | Column, url: str | Column, route: str | Column, text:
     return F.coalesce(*tests, answer(F.lit("NOTICE"), 0.50))
 
 
+#: Words that the batch run has besides, what makes a vacancy there, and words for its texts.
+BATCH_MORE = {"JOB": ["प्राविधिक अधिकृत", "सहायक स्तर"], "PRESS_RELEASE": ["विज्ञप्ती"]}
+BATCH_VACANT = ["vacancy", "दरखास्त", "विज्ञापन", "परीक्षा", "उम्मेदवार", "पदपूर्ति"]
+BATCH_KEPT = ["TENDER", "VACANCY", "JOB", "PRESS_RELEASE", "CIRCULAR", "NEWS", "NOTICE"]
+BATCH_IN_TEXT = [
+    ("TENDER", TENDER_WORDS[:8]), ("VACANCY", VACANCY_WORDS[:8]), ("PRESS_RELEASE", PRESS_WORDS[:5]), ("CIRCULAR", CIRCULAR_WORDS[:5]), ("NEWS", NEWS_WORDS[:4]),
+]
+
+
+def reclassified(title: str | Column, url: str | Column, text: str | Column, current: str | Column) -> Column:
+    """The category that the batch run over stored announcements gives.
+
+    The tiers' words in the title or the URL's last word, in lower case; else the category it has,
+    if that is one of the known; else words in the first 1200 characters of text and the title.
+    """
+    low, slug = F.lower(F.coalesce(_c(title), F.lit(""))), F.lower(F.coalesce(source_slug(url), F.lit("")))
+    both = F.concat(F.lower(F.substring(F.coalesce(_c(text), F.lit("")), 1, 1200)), F.lit(" "), low)
+    tests = []
+    for name, _, words, in_slug in TIERS:
+        told = F.lit(name)
+        if name == "JOB":
+            told = F.when(any_word(low, BATCH_VACANT) | any_word(slug, BATCH_VACANT), "VACANCY").otherwise("JOB")
+        tests.append(F.when(any_word(low, words + BATCH_MORE.get(name, [])) | any_word(slug, in_slug), told))
+    tests.append(F.when(_c(current).isin(BATCH_KEPT), _c(current)))
+    tests += [F.when(any_word(both, words), F.lit(name)) for name, words in BATCH_IN_TEXT]
+    return F.coalesce(*tests, F.lit("NOTICE"))
+
+
 def arbitrated(model: Column, model_confidence: Column, slug: Column, slug_confidence: Column) -> Column:
     """The model's category above 0.6, else the slug's from 0.8, else the surer of the two at 0.4 or more."""
     return F.when(model_confidence > 0.6, model).when(slug_confidence >= 0.8, slug).when(model_confidence > slug_confidence, model).otherwise(slug)

@@ -75,11 +75,11 @@ def overlap(pages: DataFrame) -> DataFrame:
     return rows.groupBy("source", "page").agg(F.count("item").alias("items"), F.count_if(F.col("first") == F.col("page")).alias("fresh"), F.round(share, 6).alias("overlap"))
 
 
-def accepted_text(old_quality: Column, new_quality: Column, length: Column, least: float = 0.55) -> Column:
-    """What becomes of re-extracted text."""
-    return (
-        F.when(length < 40, "EMPTY").when(new_quality < least, "LOW_QUALITY").when(new_quality > old_quality, "IMPROVED").otherwise("CLEAN")
-    )
+def accepted_text(old_quality: Column, old_length: Column, quality: Column, length: Column) -> Column:
+    """What becomes of re-extracted text: EMPTY without characters, CLEAN from 0.55, IMPROVED if it is longer and no worse, or usable; else LOW_QUALITY."""
+    better = (quality >= F.coalesce(old_quality, F.lit(0.0))) & (length > F.coalesce(old_length, F.lit(0)))
+    usable = (length >= 60) & (quality >= 0.5)
+    return F.when(length == 0, "EMPTY").when(quality >= 0.55, "CLEAN").when(better | usable, "IMPROVED").otherwise("LOW_QUALITY")
 
 
 def upsert_batches(items: DataFrame, path: str, checkpoint: str):

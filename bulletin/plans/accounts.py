@@ -14,18 +14,36 @@ def events(spark, path):
     return table(spark, path, "events")
 
 
+KINDS = ["boolean", "number", "select", "text", "secret", "order", "textarea"]
+#: Values by kind, the good ones first; the last three numbers break the step, the bounds and the form.
+GIVEN = {
+    "boolean": ["true", "false", "yes", ""], "number": ["10", "25", "12", "105", "many"], "select": ["a", "c", "d", "a,b"], "text": ["x", " y ", "  ", ""],
+    "secret": ["0123456789", " 01234567890 ", " 123456789 ", ""], "order": ["b", " c , a,", "a,b,a", "a,d", " , "], "textarea": ["line", "l m", " ", ""],
+}
+GOOD = {"boolean": 2, "number": 2, "select": 2, "text": 2, "secret": 2, "order": 2, "textarea": 2}
+_given = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}[p // 7 % {len(v)} + 1]" for k, v in GIVEN.items()) + " END"
+_good = "CASE kind " + " ".join(f"WHEN '{k}' THEN p // 7 % {len(v)} < {GOOD[k]}" for k, v in GIVEN.items()) + " END"
+
+
 @query(
     "settings_effective",
-    """SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 4 = 3 OR n_nationkey % 5 = 0 THEN '10' ELSE (n_nationkey * 2)::VARCHAR END AS value,
-      n_nationkey % 4 <> 3 AND n_nationkey % 5 = 0 AS error FROM nation""",
+    f"""WITH d AS (SELECT p_partkey AS p, 'k' || p_partkey AS key, {KINDS}[p_partkey % 7 + 1] AS kind, p_partkey % 11 > 0 AS stored FROM part)
+    SELECT key, CASE WHEN stored AND {_good} THEN {_given} ELSE 'default' END AS value, stored AND NOT {_good} AS error FROM d""",
 )
 def settings_effective(spark, path):
-    k = F.col("n_nationkey")
-    key = F.concat(F.lit("k"), k.cast("string")).alias("key")
-    rows = table(spark, path, "nation")
-    definitions = rows.select(key, F.lit("number").alias("kind"), F.lit("10").alias("default"))
-    stored = rows.where(k % 4 != 3).select(key, F.when(k % 5 == 0, "many").otherwise((k * 2).cast("string")).alias("value"))
-    return ops.settings(definitions, stored)
+    """Each part is a declared setting of one of seven kinds; most have a stored value, good or not."""
+    p = F.col("p_partkey")
+    place = F.floor(p / 7)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (p % 7 + 1).cast("int"))
+    value = F.lit(None).cast("string")
+    for k, v in GIVEN.items():
+        value = F.when(kind == k, F.element_at(F.array(*map(F.lit, v)), (place % len(v) + 1).cast("int"))).otherwise(value)
+    rows = table(spark, path, "part").select(F.concat(F.lit("k"), p.cast("string")).alias("key"), kind.alias("kind"), value.alias("value"), (p % 11 > 0).alias("stored"))
+    number = lambda x: F.when(F.col("kind") == "number", F.lit(float(x)))
+    definitions = rows.select(
+        "key", "kind", F.lit("default").alias("default"), F.array(*map(F.lit, "abc")).alias("options"), number(10).alias("least"), number(100).alias("most"), number(15).alias("step")
+    )
+    return ops.settings(definitions, rows.where("stored").select("key", "value"))
 
 
 @query(

@@ -149,14 +149,30 @@ def classify_category(spark, path):
     return classified(spark, path).select("id", "category", "confidence", "slug")
 
 
+def _batch_case() -> str:
+    """The batch run's chain as a CASE over title, last URL word, stored category and text."""
+    out = []
+    for name, _, words, in_slug in classify.TIERS:
+        told = f"'{name}'" if name != "JOB" else f"CASE WHEN {_any('low', classify.BATCH_VACANT)} OR {_any('lower(slug)', classify.BATCH_VACANT)} THEN 'VACANCY' ELSE 'JOB' END"
+        out.append(f"WHEN {_any('low', words + classify.BATCH_MORE.get(name, []))} OR {_any('lower(slug)', in_slug)} THEN {told}")
+    out.append(f"WHEN old IN ({', '.join(repr(k) for k in classify.BATCH_KEPT)}) THEN old")
+    return " ".join(out + [f"WHEN {_any('batch', words)} THEN '{name}'" for name, words in classify.BATCH_IN_TEXT])
+
+
 @query(
     "classify_transitions",
-    f"""WITH {NOTICES_SQL}, {CLASSIFY_SQL} SELECT old, category AS new, count(*) AS n FROM c WHERE old <> category GROUP BY 1, 2 ORDER BY n DESC, old, new LIMIT 15""",
+    f"""WITH {NOTICES_SQL}, {CLASSIFY_SQL}, b0 AS (SELECT c.*, lower(substring(coalesce(n.content, ''), 1, 1200)) || ' ' || low AS batch FROM c JOIN notices n USING (id)),
+    b AS (SELECT old, CASE {_batch_case()} ELSE 'NOTICE' END AS new FROM b0)
+    SELECT old, new, count(*) AS n FROM b WHERE old <> new GROUP BY 1, 2 ORDER BY n DESC, old, new LIMIT 15""",
 )
 def classify_transitions(spark, path):
+    """What the batch run changes, the fifteen most frequent changes."""
     from ..operators.reports import transitions
 
-    return transitions(classified(spark, path).select("old", F.col("category").alias("new")).where("old <> new"), 15)
+    urls = table(spark, path, "pages").select(F.col("page_id").alias("id"), "url")
+    rows = notices(spark, path).join(urls, "id", "left")
+    rows = rows.select(F.col("category").alias("old"), classify.reclassified("title", "url", "content", "category").alias("new"))
+    return transitions(rows.where("old <> new"), 15)
 
 
 @query(

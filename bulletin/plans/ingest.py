@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, salted, uuid5
-from ..functions.text import quality
+from ..functions.text import quality, stripped
 from ..operators import ingest as ops
+from ..sources import scans
+from ..sources.folders import shared_folder
 from ..sources.tables import NOTICES_SQL, notices, table
 from .registry import query
 from .reports import QUALITY_SQL
@@ -133,8 +135,23 @@ def viewer_hash(spark, path):
 
 @query(
     "reextraction_status",
-    f"""WITH {NOTICES_SQL}, {QUALITY_SQL} SELECT id, CASE WHEN length(content) < 40 THEN 'EMPTY' WHEN quality < 0.55 THEN 'LOW_QUALITY' WHEN quality > 0.6 THEN 'IMPROVED' ELSE 'CLEAN' END AS status FROM scored""",
+    f"""WITH {NOTICES_SQL}, {QUALITY_SQL} SELECT n.id, CASE WHEN length(trim(n.content)) = 0 THEN 'EMPTY' WHEN n.quality >= 0.55 THEN 'CLEAN'
+      WHEN n.quality >= coalesce(o.quality, 0) AND length(trim(n.content)) > coalesce(length(o.content), 0) OR length(trim(n.content)) >= 60 AND n.quality >= 0.5 THEN 'IMPROVED' ELSE 'LOW_QUALITY' END AS status
+    FROM scored n LEFT JOIN scored o ON o.id = n.id - 1""",
 )
 def reextraction_status(spark, path):
-    rows = notices(spark, path).withColumn("q", quality("content"))
-    return rows.select("id", ops.accepted_text(F.lit(0.6), F.col("q"), F.length("content")).alias("status"))
+    """The announcement before stands for what was stored."""
+    rows = notices(spark, path).select("id", quality("content").alias("q"), F.length("content").alias("n"), F.length(stripped("content")).alias("chars"))
+    old = rows.select((F.col("id") + 1).alias("id"), F.col("q").alias("old_q"), F.col("n").alias("old_n"))
+    return rows.join(old, "id", "left").select("id", ops.accepted_text(F.col("old_q"), F.col("old_n"), F.col("q"), F.col("chars")).alias("status"))
+
+
+@query("resumable_scan", "SELECT doc_id, length(text)::INT AS chars, md5(text) AS digest FROM documents")
+def resumable_scan(spark, path):
+    """A scan of all documents in ranges of ids, the first half of them in an earlier call."""
+    rows = table(spark, path, "documents")
+    step = lambda part: part.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    last, out = rows.agg(F.max("doc_id")).first()[0], shared_folder(spark, "scan")
+    width = last // 8 + 1
+    scans.resumable_scan(rows.where(F.col("doc_id") < 4 * width), out, step, "doc_id", width)
+    return scans.resumable_scan(rows, out, step, "doc_id", width)

@@ -23,8 +23,8 @@ def text_clean(spark, path):
 
 @query(
     "text_normalised",
-    r"""SELECT doc_id AS id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\f', chr(10) || chr(10), 'g'),
-      '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM documents""",
+    r"""SELECT doc_id AS id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\f', chr(10) || chr(10), 'g'),
+      '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""",
 )
 def text_normalised(spark, path):
     return docs(spark, path).select("id", F.md5(text.normalised("text")).alias("digest"))
@@ -78,11 +78,18 @@ def trimmed_words(spark, path):
 
 @query(
     "sentence_units",
-    r"""WITH s AS (SELECT doc_id AS id, unnest(list_transform(string_split(regexp_replace(text, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' '))) AS s FROM documents)
-    SELECT id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM s WHERE length(s) >= 25 AND NOT ends_with(s, ':') AND NOT regexp_matches(s, '^[a-z]') GROUP BY 1""",
+    r"""WITH d AS (SELECT doc_id AS id, 'Facts of the announcement:' || chr(10) || text || chr(10) || '- fact: ' || text AS text FROM documents),
+    l AS (SELECT id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)))) AS line FROM d),
+    s AS (
+      SELECT id, regexp_replace(line, '^[-•●▪]\s*', '') AS s FROM l WHERE regexp_matches(line, '^[-•●▪]')
+      UNION ALL SELECT id, s FROM (SELECT id, unnest(list_transform(string_split(regexp_replace(line, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' '))) AS s FROM l
+        WHERE NOT regexp_matches(line, '^[-•●▪]') AND NOT ends_with(line, ':')) WHERE NOT regexp_matches(s, '^\p{Ll}'))
+    SELECT id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM s WHERE length(s) >= 25 GROUP BY 1""",
 )
 def sentence_units(spark, path):
-    rows = docs(spark, path).select("id", F.explode(text.sentences("text")).alias("s"))
+    """The texts with a heading before them, and once more with a bullet before their first line."""
+    whole = F.concat(F.lit("Facts of the announcement:\n"), "text", F.lit("\n- fact: "), "text")
+    rows = docs(spark, path).select("id", F.explode(text.sentences(whole)).alias("s"))
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bulletin.functions import dates, hashing, text, urls
-from bulletin.operators import catalogue, chunking, extraction, ingest, keyword, retrieval, rules, scheduling
+from bulletin.operators import accounts, catalogue, chunking, classify, extraction, ingest, keyword, retrieval, rules, scheduling
 from bulletin.sources.tables import effective_date
 
 
@@ -68,6 +68,32 @@ def test_dates(spark):
     assert [str(v)[:10] for v in values(spark, dates.parsed, "२०२४-०२-०३", "3 Feb 2024", "nonsense")] == ["2024-02-03", "2024-02-03", "None"]
 
 
+def test_sentence_units_by_line(spark):
+    text_of = "NOTICE FACTS:\n- deadline: the fifth of May 2024\n• short\n  ● lower case facts stay as they are\nThe office is closed on Monday. and this part starts small! Everyone else has to come back later on.\nélan at the start of a line is lower case\nA heading that is long enough to be one:"
+    assert values(spark, text.sentences, text_of, None) == [["deadline: the fifth of May 2024", "lower case facts stay as they are", "The office is closed on Monday.", "Everyone else has to come back later on."], None]
+
+
+def test_accepted_text(spark):
+    rows = [(0.5, 10, 0.9, 0, "EMPTY"), (0.9, 10, 0.55, 5, "CLEAN"), (0.5, 39, 0.5, 40, "IMPROVED"), (0.5, 40, 0.5, 40, "LOW_QUALITY"), (0.54, 10, 0.5, 60, "IMPROVED"), (0.54, 10, 0.49, 60, "LOW_QUALITY"), (None, None, 0.1, 1, "IMPROVED")]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d int, want string").select(ingest.accepted_text(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect())
+
+
+def test_setting_kinds(spark):
+    good = [("boolean", "true"), ("number", "25"), ("number", " "), ("select", "a"), ("text", " x"), ("secret", " 0123456789"), ("order", "b, a"), ("cron", "0 3 * * 1"), ("other", "")]
+    bad = [("boolean", "TRUE"), ("number", "-1"), ("number", "101"), ("number", "7"), ("number", "Infinity"), ("number", "x"), ("select", ""), ("textarea", " \n"), ("secret", "012345678"), ("order", ","), ("order", "a,a"), ("order", "z"), ("cron", "* *")]
+    df = spark.createDataFrame(good + bad, "k string, v string")
+    fits = accounts.valid(F.col("k"), F.col("v"), F.array(F.lit("a"), F.lit("b")), F.lit(0.0), F.lit(100.0), F.lit(5.0))
+    assert [(r.k, r.v, r.ok) for r in df.select("k", "v", fits.alias("ok")).collect()] == [(*x, True) for x in good] + [(*x, False) for x in bad]
+
+
+def test_batch_run_keeps_known_categories(spark):
+    rows = [("सहायक स्तर", None, None, None, "JOB"), ("पदपूर्ति", None, None, None, "VACANCY"), ("x", "https://a.b/Tender-4", None, "NEWS", "TENDER"), ("x", None, "the tender", "NEWS", "NEWS"), ("x", None, "ठेक्का", "OTHER", "TENDER"),
+            ("x", None, "x" * 1200 + "ठेक्का", "OTHER", "NOTICE"), ("x", None, "समाचार", None, "NEWS"), ("x", None, "news", None, "NOTICE"), (None, None, None, None, "NOTICE")]
+    df = spark.createDataFrame(rows, "t string, u string, c string, k string, want string").select("t", classify.reclassified("t", "u", "c", "k").alias("got"), "want")
+    assert [r.got for r in df.collect()] == [r[-1] for r in rows]
+
+
 def plain_window(q, now):
     """(as_of, from, to) by the rules of question windows, with Python's own dates."""
     token = r"(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|[a-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?(?:,?\s+\d{4})?|\d{1,2}(?:st|nd|rd|th)?\s+[a-z]{3,9}\.?(?:,?\s+\d{4})?)"
