@@ -101,19 +101,18 @@ def question_window(question: str | Column, now: str | Column) -> Column:
     does not exist is passed over.  Recency without a date gives no window.
     """
     q, today = F.lower(_c(question)), F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
-    token = lambda rx, k=1: named_day(F.regexp_extract(q, rx, k), today)
+    token = lambda rx, k=1: F.regexp_extract(q, rx, k)
     none, day = F.lit(None).cast("date"), F.to_date(today)
     window = lambda a, b, c: F.struct(a.alias("as_of"), b.alias("date_from"), c.alias("date_to"))
     about = lambda d: window(d, F.date_sub(d, LOOKBACK), F.date_add(d, REPORTING_LAG))
     pair = rf"between\s+({DATE_TOKEN})\s+and\s+({DATE_TOKEN})"
     days = F.regexp_extract(q, r"\b(?:last|past|previous)\s+(\d{1,2})\s+days?\b", 1)
-    bare = F.get(F.filter(F.transform(F.regexp_extract_all(q, F.lit(DATE_TOKEN), 0), lambda t: named_day(t, today)), lambda d: d.isNotNull()), F.lit(0))
-    named = F.struct(
-        token(pair).alias("a"), token(pair, 2).alias("b"), token(rf"(?:since|after|from)\s+({DATE_TOKEN})").alias("since"),
-        token(rf"(?:before|until|till|up to)\s+({DATE_TOKEN})").alias("before"), bare.alias("bare"),
-    )
+    said = F.array(token(pair), token(pair, 2), token(rf"(?:since|after|from)\s+({DATE_TOKEN})"), token(rf"(?:before|until|till|up to)\s+({DATE_TOKEN})"))
+    read = F.transform(F.concat(said, F.regexp_extract_all(q, F.lit(DATE_TOKEN), 0)), lambda t: named_day(t, today))
+    bare = lambda days: F.get(F.filter(days, lambda d, i: (i > 3) & d.isNotNull()), F.lit(0))
+    named = lambda days: F.struct(days[0].alias("a"), days[1].alias("b"), days[2].alias("since"), days[3].alias("before"), bare(days).alias("bare"))
     return let(
-        named,
+        let(read, named),
         lambda v: F.when(v["a"].isNotNull() & v["b"].isNotNull(), window(none, F.least(v["a"], v["b"]), F.greatest(v["a"], v["b"])))
         .when(v["since"].isNotNull(), window(none, v["since"], none))
         .when(v["before"].isNotNull(), window(none, none, v["before"]))
