@@ -3,6 +3,11 @@
 Each Spark partition runs DuckDB.  Token-position rows of the words that are new to it join the
 merge table; every step contracts each word's leftmost pair of minimum rank until no pair is
 left.  Decoding joins ids to byte strings and aggregates them in order.
+
+A long word is contracted as overlapping pieces of itself.  A contraction inside a span does not depend
+on what lies outside as long as none crosses its ends, so tokens are those of a word if and only if
+every two neighbours among them are the tokens of their own bytes.  Two pieces that have a token
+in common at the same place may therefore be joined there; pieces without one become one piece.
 """
 
 from __future__ import annotations
@@ -75,6 +80,7 @@ class BytePairs(Words):
     """
 
     LONG = 1024  # bytes of a word from which all occurrences of a pair are contracted in one step
+    PIECE = 128  # bytes of the pieces of words over twice as long; neighbours share half
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -87,8 +93,10 @@ class BytePairs(Words):
         self.runs = Memory(self.decode_runs, 50_000, 256)
         self.begins_run = np.zeros(max(self.ranks.values()) + 1, bool)
         self.begins_run[[r for t, r in self.ranks.items() if t.startswith(b" ")]] = True
+        self.lengths = np.zeros(len(self.begins_run), np.int64)
+        self.lengths[list(self.ranks.values())] = [len(t) for t in self.ranks]
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
         self.con.execute("SET enable_progress_bar = false")
         rows = [
             (left << 32 | right, merged)
@@ -124,15 +132,27 @@ class BytePairs(Words):
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words; a word in the vocabulary is its own token."""
         out = [b""] * len(words)
-        new: dict[bool, list[int]] = {False: [], True: []}
+        new: list[int] = []
         for i, word in enumerate(words):
             if word == b"\0":  # stands between texts
                 continue
             if (rank := self.ranks.get(word)) is not None:
                 out[i] = rank.to_bytes(4, "little")
+            elif len(word) > 2 * self.PIECE:
+                out[i] = self.long_word(word)
             else:
-                new[len(word) > self.LONG].append(i)
-        for long, places in new.items():
+                new.append(i)
+        for i, ids in zip(new, self.contracted([words[i] for i in new])):
+            out[i] = ids
+        return out
+
+    def contracted(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, a bounded number of bytes at a time."""
+        out = [b""] * len(words)
+        groups: dict[bool, list[int]] = {False: [], True: []}
+        for i, word in enumerate(words):
+            groups[len(word) > self.LONG].append(i)
+        for long, places in groups.items():
             start, held = 0, 0
             for k, i in enumerate(places):
                 held += len(words[i])
@@ -143,6 +163,44 @@ class BytePairs(Words):
                     start, held = k + 1, 0
         return out
 
+    def long_word(self, word: bytes) -> bytes:
+        """Ids of a word from those of its pieces, joined at a token that neighbours share."""
+        half = self.PIECE // 2
+        begin = np.arange(0, len(word) - half, half)
+        end = np.minimum(begin + self.PIECE, len(word))
+        end[-1] = len(word)
+        done: dict[tuple[int, int], np.ndarray] = {}
+        spread = 0
+        while True:
+            places = list(zip(begin.tolist(), end.tolist()))
+            fresh = [p for p in places if p not in done]
+            texts = [word[i:j] for i, j in fresh]
+            distinct = list(dict.fromkeys(texts))
+            found = dict(zip(distinct, self.contracted(distinct)))
+            done = {p: done[p] for p in places if p in done} | {p: np.frombuffer(found[t], "<u4") for p, t in zip(fresh, texts)}
+            tokens = np.concatenate([done[p] for p in places])
+            piece = np.repeat(np.arange(len(places)), [len(done[p]) for p in places])
+            length = self.lengths[tokens]
+            at = np.cumsum(length) - length
+            at += (begin - at[np.searchsorted(piece, np.arange(len(places)))])[piece]
+            key = at << 16 | length
+            left = (piece < len(places) - 1) & (at >= np.append(begin[1:], 0)[piece])
+            right = (piece > 0) & (at + length <= np.append(0, end[:-1])[piece])
+            shared = np.intersect1d(key[left], key[right])
+            zone, first = np.unique(np.searchsorted(begin[1:], shared >> 16, "right") - 1, return_index=True)
+            if len(zone) == len(places) - 1:
+                cuts = (shared[first] >> 16) + (shared[first] & 0xFFFF)
+                keep = (at >= np.append(0, cuts)[piece]) & (at < np.append(cuts, len(word))[piece])
+                return tokens[keep].astype("<u4").tobytes()
+            apart = np.ones(len(places) - 1, bool)
+            apart[zone] = False
+            united = np.zeros(len(places) - 1, bool)
+            for k in range(-spread, spread + 1):  # what stays apart takes in more neighbours each round
+                moved = np.flatnonzero(apart) + k
+                united[moved[(moved >= 0) & (moved < len(united))]] = True
+            begin, end = begin[np.append(True, ~united)], end[np.append(~united, True)]
+            spread = 2 * spread + 1
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces that the expression cuts into words."""
         split = [[w.encode() for w in self.split(p.decode())] for p in pieces]

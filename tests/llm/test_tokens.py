@@ -36,6 +36,25 @@ def test_bpe_encode_and_decode(documents, hard_texts, reference):
     assert sorted((str(r.doc_id), r.ids, bytes(r.bytes)) for r in got) == want
 
 
+def test_bpe_long_words(reference):
+    """Words without a space: random letters of small and large alphabets, periods, pieces out of step; a time bound."""
+    import random
+    import time
+
+    import tiktoken
+
+    pairs = bpe.model(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    draw = random.Random(3)
+    words = [bytes(draw.choices(letters, k=n)) for letters in (b"ab", b"acgt", bytes(range(97, 123)), bytes(range(256))) for n in (257, 1_000, 20_000)]
+    words += [b"x" * 30_000, b"acg" * 7_000, (b"x" * 777 + b"=" * 333) * 9, b" " * 5_000 + b"hello" * 3_000, bytes(draw.choices(b"acgt", k=200_000))]
+    whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=pairs.ranks, special_tokens={})
+    start = time.monotonic()
+    got = pairs.encode_words(words)
+    assert time.monotonic() - start < 60
+    for word, ids in zip(words, got):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole._core_bpe.encode_single_piece(word)
+
+
 def test_bpe_empty_table(documents):
     assert bpe.decode(bpe.encode(documents([]))).count() == 0
 
