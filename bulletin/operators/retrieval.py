@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +47,10 @@ def vector_blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFram
     return whole.mapInArrow(gather, "ids array<long>, flat array<float>")
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, block: int = 1024) -> DataFrame:
-    """For each query (``query_id``, ``query``) the nearest of (``id``, ``vector``) by cosine of unit vectors: query_id, id, score, rank.
-
-    Both sides are cut into blocks of bounded size, and each pair of blocks is one matrix product in
-    double precision that leaves ``k`` rows a query; Spark deals the pairs of blocks out, so neither
-    side goes to every task beyond the size that Spark itself checks.  Ties go to the smaller id.
-    """
+def nearest(k: int, floor: float | None):
+    """A task function on pairs of blocks: one matrix product a pair, ``k`` rows a query and block."""
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, asked_flat, ids, flat in zip(*(batch.column(c) for c in ("query_ids", "query_flat", "ids", "flat"))):
                 q, i = (np.asarray(x.values, np.int64) for x in (asked, ids))
@@ -68,9 +64,78 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | No
                     columns = [c[found >= floor] for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
 
+    return run
+
+
+NEAREST = "query_id long, id long, score double"
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, block: int = 1024) -> DataFrame:
+    """For each query (``query_id``, ``query``) the nearest of (``id``, ``vector``) by cosine of unit vectors: query_id, id, score, rank.
+
+    Both sides are cut into blocks of bounded size, and each pair of blocks is one matrix product in
+    double precision that leaves ``k`` rows a query; Spark deals the pairs of blocks out, so neither
+    side goes to every task beyond the size that Spark itself checks.  Ties go to the smaller id.
+    """
     asked = vector_blocks(queries, "query_id", "query", block // 4).toDF("query_ids", "query_flat")
     pairs = vector_blocks(vectors, "id", "vector", block).crossJoin(asked)
-    return ranked(pairs.mapInArrow(nearest, "query_id long, id long, score double"), "query_id", "score", "id", k)
+    return ranked(pairs.mapInArrow(nearest(k, floor), NEAREST), "query_id", "score", "id", k)
+
+
+def category_blocks(rows: DataFrame, key: str, vector: str, size: int, asked: bool) -> DataFrame:
+    """:func:`vector_blocks` of one ``category`` each: (any, category, ids, flat).
+
+    Blocks of ``any`` serve questions of no category: of the questions those without one, of what is searched all rows.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(2)
+            parts = [(None, batch.filter(kinds.is_null()) if asked else batch)]
+            parts += [(kind, batch.filter(pc.equal(kinds, kind))) for kind in kinds.unique() if kind.is_valid]
+            for kind, part in parts:
+                for start in range(0, part.num_rows, size):
+                    piece = part.slice(start, size)
+                    lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in (piece.column(0), piece.column(1).flatten())]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind is None]), pa.array([kind and kind.as_py()], pa.string()), *lists], names=["any", "category", "ids", "flat"])
+
+    whole = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), "category").where("id IS NOT NULL AND v IS NOT NULL")
+    return whole.mapInArrow(gather, "any boolean, category string, ids array<long>, flat array<float>")
+
+
+def category_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, salts: int = 16) -> DataFrame:
+    """:func:`dense_topk` where each query sees the rows of its own ``category`` only, or all rows if that is null.
+
+    Blocks meet by an equality of the category.  The blocks of a frequent category are dealt to
+    ``salts`` groups, and the question blocks go to each of them.  A null category of a row is
+    found by questions of no category only.
+    """
+    asked = category_blocks(queries, "query_id", "query", block // 4, True).toDF("any", "category", "query_ids", "query_flat")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    searched = category_blocks(vectors, "id", "vector", block, False).withColumn("salt", F.pmod(F.hash("ids"), F.lit(salts)))
+    same = (asked["any"] == searched["any"]) & asked["category"].eqNullSafe(searched["category"]) & (asked["salt"] == searched["salt"])
+    pairs = searched.join(asked, same).select("query_ids", "query_flat", "ids", "flat")
+    return ranked(pairs.mapInArrow(nearest(k, None), NEAREST), "query_id", "score", "id", k)
+
+
+def notice_leg(questions: DataFrame, notices: DataFrame, k: int, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
+    """The vector leg of announcements: query_id, id, score, in_window, least.
+
+    ``questions`` have ``query_id``, ``query``, ``category`` and the days ``first_day`` and
+    ``last_day`` (all three may be null), ``notices`` ``id``, ``vector``, ``category`` and ``day``.  A
+    question takes its max(3k, 15) nearest rows, with a window max(8k, 40).  Of these a window
+    keeps the rows inside it, unless it would keep none: then all stay, with ``in_window`` false.
+    Last come the floor and the margin under the best that is left.  Undated rows are in no window;
+    without a window ``in_window`` is null.
+    """
+    days = questions.select("query_id", "first_day", "last_day").withColumn("windowed", F.expr("first_day IS NOT NULL OR last_day IS NOT NULL"))
+    wide, narrow = max(8 * k, 40), max(3 * k, 15)
+    rows = category_topk(questions, notices, wide).join(days, "query_id").where(F.col("windowed") | (F.col("rank") < narrow))
+    rows = rows.join(notices.select("id", "day"), "id")
+    inside = F.coalesce((F.col("day") >= F.coalesce("first_day", "day")) & (F.col("day") <= F.coalesce("last_day", "day")), F.lit(False))
+    rows = rows.withColumn("in_window", F.when(F.col("windowed"), inside))
+    rows = rows.withColumn("found", F.max("in_window").over(Window.partitionBy("query_id"))).where(F.expr("NOT windowed OR in_window OR NOT found"))
+    return near_best(rows, "query_id", floor, margin).select("query_id", "id", "score", "in_window", "least")
 
 
 def prototype_scores(rows: DataFrame, prototypes: DataFrame, margin: float = 0.04) -> DataFrame:
@@ -115,6 +180,45 @@ def bm25(docs: DataFrame, question: list[str], k1: float = K1, b: float = B) ->
     return rows.join(F.broadcast(stats)).select("id", F.round(score, 6).alias("score")).where("score > 0")
 
 
+def bm25_scores(questions: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 of many questions (``query_id``, ``category``, array ``terms``) on (``id``, ``category``, ``text``): query_id, id, score.
+
+    Only rows of a question's category are scored (all if it is null); frequencies and the mean
+    length are those of all rows, a null text being empty.  Terms count once and meet the words of texts by an equality, after words were counted a text.
+    """
+    asked = questions.select("query_id", F.col("category").alias("only"), F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
+    lengths = docs.select("id", "category", terms(F.coalesce("text", F.lit(""))).alias("t")).withColumn("n", F.size("t"))
+    counts = lengths.select("id", "category", "n", F.explode("t").alias("term")).groupBy("id", "category", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = counts.join(asked.select("term").distinct(), "term")
+    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    rows = counts.join(df, "term").join(F.broadcast(stats)).select("id", "category", "term", weight.alias("weight")).join(asked, "term")
+    return rows.where("only IS NULL OR category = only").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+
+
+def hybrid(questions: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Both legs of each question, fused and scored again: query_id, id, mode, fused, score, place.
+
+    ``questions``: ``query_id``, ``query``, ``category`` (null: any), ``terms``; ``points``: ``id``, ``vector``,
+    ``category``, ``text``.  The category filters both legs.  Of a question with terms each leg gives 2k rows, and the best
+    k by rank fusion stay (``hybrid-rrf``; ties: vector leg first, then the smaller id); without terms the vector leg alone
+    gives k (``dense``, ``fused`` null).  Both are placed by cosine, from 0.
+    """
+    modes = questions.select("query_id", "query", F.when(F.size(F.coalesce("terms", F.array())) > 0, "hybrid-rrf").otherwise("dense").alias("mode"))
+    dense = category_topk(questions, points, 2 * k).select("query_id", "id", "rank", F.lit(0).alias("leg"))
+    keyword = ranked(bm25_scores(questions, points), "query_id", "score", "id", 2 * k).select("query_id", "id", "rank", F.lit(1).alias("leg"))
+    both = dense.unionByName(keyword).groupBy("query_id", "id").agg(
+        F.round(F.sum(1 / (FUSION_K + F.col("rank") + 1)), 9).alias("fused"), F.min("leg").alias("leg")
+    )
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), "leg", "id"))
+    rows = both.withColumn("n", best).where(F.col("n") <= k).join(modes, "query_id").join(points.select("id", "vector"), "id")
+    rows = rows.withColumn("score", F.round(dot("query", "vector"), 6)).withColumn("fused", F.when(F.col("mode") == "hybrid-rrf", F.col("fused")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return rows.select("query_id", "id", "mode", "fused", "score", (place - 1).cast("long").alias("place"))
+
+
 def fused(legs: list[DataFrame], k: int = FUSION_K) -> DataFrame:
     """Reciprocal-rank fusion of legs (``id``, ``rank``): sum of 1 / (k + rank + 1); ties to the leg seen first."""
     rows = None

@@ -97,6 +97,76 @@ def hybrid_rrf(spark, path):
     return ops.fused([keyword, dense]).orderBy(F.desc("fused"), "first.leg", "id").limit(10).select("id", "fused", "legs")
 
 
+# A question in three asks all categories; of four, one has no window, one a first day, one both, and one a window that nothing is in.
+QUESTIONS_SQL = f"""
+{NOTICES_SQL},
+points AS (SELECT n.id, n.category, n.content, strftime(n.published_at, '%Y-%m-%d') AS day, e.embedding FROM notices n JOIN embeddings e ON e.vec_id = n.id),
+words AS (SELECT id, regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS t FROM points),
+questions AS (
+  SELECT p.id AS query_id, p.embedding, CASE WHEN (p.id // 20) % 3 > 0 THEN p.category END AS category,
+         CASE (p.id // 20) % 4 WHEN 1 THEN '2024-06-01' WHEN 2 THEN '2024-03-01' WHEN 3 THEN '2030-01-01' END AS first_day,
+         CASE WHEN (p.id // 20) % 4 = 2 THEN '2024-04-15' END AS last_day,
+         CASE WHEN (p.id // 20) % 5 = 4 THEN [] ELSE list_sort(list_distinct(list_filter(t, lambda x: length(x) >= 5)))[1:2] END AS terms
+  FROM points p JOIN words w ON w.id = p.id WHERE p.id % 20 = 0)
+"""
+
+
+def points(spark, path):
+    found = table(spark, path, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = notices(spark, path).select("id", "category", F.col("content").alias("text"), day_text("published_at").alias("day"))
+    return rows.join(found, "id")
+
+
+def questions(spark, path):
+    turn = F.floor(F.col("id") / 20)
+    words = F.filter(ops.terms("text"), lambda x: F.length(x) >= 5)
+    return points(spark, path).where("id % 20 = 0").select(
+        F.col("id").alias("query_id"), F.col("vector").alias("query"), F.when(turn % 3 > 0, F.col("category")).alias("category"),
+        F.when(turn % 4 == 1, "2024-06-01").when(turn % 4 == 2, "2024-03-01").when(turn % 4 == 3, "2030-01-01").alias("first_day"),
+        F.when(turn % 4 == 2, "2024-04-15").alias("last_day"),
+        F.when(turn % 5 != 4, F.slice(F.array_sort(F.array_distinct(words)), 1, 2)).alias("terms"),
+    )
+
+
+@query(
+    "notice_leg_windowed",
+    f"""WITH {QUESTIONS_SQL},
+    s AS (SELECT q.query_id, first_day, last_day, first_day IS NOT NULL OR last_day IS NOT NULL AS windowed, v.id, v.day, {DOT_SQL} AS score
+          FROM questions q JOIN points v ON q.category IS NULL OR q.category = v.category),
+    r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= CASE WHEN windowed THEN 48 ELSE 18 END),
+    w AS (SELECT *, CASE WHEN windowed THEN day IS NOT NULL AND (first_day IS NULL OR day >= first_day) AND (last_day IS NULL OR day <= last_day) END AS in_window FROM r),
+    f AS (SELECT *, bool_or(in_window) OVER (PARTITION BY query_id) AS found FROM w),
+    g AS (SELECT *, round(greatest(0.1, max(score) OVER (PARTITION BY query_id) - 0.06), 6) AS least FROM (SELECT * FROM f WHERE NOT windowed OR in_window OR NOT found))
+    SELECT query_id, id, score, in_window, least FROM g WHERE score >= least""",
+)
+def notice_leg_windowed(spark, path):
+    return ops.notice_leg(questions(spark, path), points(spark, path), 6, floor=0.1)
+
+
+@query(
+    "hybrid_filtered",
+    f"""WITH {QUESTIONS_SQL},
+    st AS (SELECT count(*) AS d, avg(len(t)) AS m FROM words),
+    tf AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM words) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    kw AS (SELECT q.query_id, tf.id, round(sum(ln(1 + (d - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m))), 6) AS score
+           FROM (SELECT query_id, category, unnest(terms) AS term FROM questions) q JOIN tf USING (term) JOIN df USING (term)
+           JOIN points p ON p.id = tf.id AND (q.category IS NULL OR q.category = p.category), st GROUP BY 1, 2),
+    dn AS (SELECT q.query_id, v.id, {DOT_SQL} AS score FROM questions q JOIN points v ON q.category IS NULL OR q.category = v.category),
+    legs AS (
+      SELECT *, 0 AS leg, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM dn QUALIFY n <= 12
+      UNION ALL
+      SELECT *, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM kw QUALIFY n <= 12),
+    u AS (SELECT query_id, id, round(sum(1 / (60 + n)), 9) AS fused, min(leg) AS first_leg FROM legs GROUP BY 1, 2
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first_leg, id) <= 6)
+    SELECT u.query_id, u.id, CASE WHEN len(q.terms) > 0 THEN 'hybrid-rrf' ELSE 'dense' END AS mode, CASE WHEN len(q.terms) > 0 THEN fused END AS fused, score,
+           row_number() OVER (PARTITION BY u.query_id ORDER BY score DESC, u.id) - 1 AS place
+    FROM u JOIN questions q USING (query_id) JOIN dn ON dn.query_id = u.query_id AND dn.id = u.id""",
+)
+def hybrid_filtered(spark, path):
+    return ops.hybrid(questions(spark, path), points(spark, path), 6)
+
+
 HITS_SQL = """
 hits AS (SELECT doc_id // 4 AS doc, doc_id % 4 AS index, (doc_id // 8) % 2 AS section, text AS content,
            round(0.6 + (doc_id * 37 % 400) / 1000.0, 3)::DOUBLE AS score FROM documents)
