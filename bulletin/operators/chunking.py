@@ -150,14 +150,34 @@ def chunks(text: str, size: int = 800, overlap: int = 120, compat: bool = False)
     return out
 
 
+def bounded_frames(rows: Iterator[tuple], names: list[str], content: int, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Frames of rows whose contents have about ``most`` characters at most, however many come from one text."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[content]) + 100
+        if size >= most:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 800, overlap: int = 120, compat: bool = False) -> DataFrame:
-    """The chunks of every document; packing is sequential in a document and independent across them."""
+    """The chunks of every document; packing is sequential in a document and independent across them.
+
+    A null or blank text has no chunks; repeated rows give repeated chunks; a null id stays null;
+    other columns are ignored.
+    """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"doc_id": i} | c for i, t in zip(frame["doc_id"], frame["text"]) for c in chunks(t or "", size, overlap, compat)]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+            ids = [None if pd.isna(i) else int(i) for i in frame["doc_id"]]
+            rows = ((i, *(c[n] for n in names[1:])) for i, t in zip(ids, frame["text"]) for c in chunks(t or "", size, overlap, compat))
+            for part in bounded_frames(rows, names, names.index("content")):
+                yield part.astype({"doc_id": "Int64", "page": "Int32"})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
 

@@ -90,3 +90,16 @@ def most_common(rows: DataFrame, by: str, value: str, place: str) -> DataFrame:
     counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     best = counts.groupBy(by).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("first"))).alias("best"))
     return best.select(by, f"best.{value}", "best.n")
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """Of (``doc_id``, ``content``): documents with chunks, chunks, least and largest mean size of a document, and the mean of all chunks.
+
+    Sizes are characters; without chunks the means are null.
+    """
+    a = F.col("chars") / F.col("n")
+    sizes = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    return sizes.agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.round(F.min(a), 6).alias("least_average"),
+        F.round(F.max(a), 6).alias("largest_average"), F.round(F.sum("chars") / F.sum("n"), 6).alias("average"),
+    )

@@ -242,16 +242,21 @@ def selected(hits: DataFrame, k: int, floor: float = FLOOR) -> DataFrame:
 
 
 def merged(chunks: DataFrame) -> DataFrame:
-    """Runs of adjacent chunks of one document and section joined: gaps and islands over the index."""
+    """Runs of adjacent chunks of one document and section joined: gaps and islands over the index.
+
+    With a column ``page`` a run gets ``first_page`` and ``last_page``: those of its first and last chunk that state a page.
+    """
     w = Window.partitionBy("doc", "section").orderBy("index")
     gap = F.coalesce((F.col("index") - F.lag("index").over(w) > 1).cast("int"), F.lit(0))
     parts = F.array_sort(F.collect_list(F.struct("index", "content")))
+    stated = F.when(F.col("page").isNotNull(), F.col("index")) if "page" in chunks.columns else None
+    pages = [] if stated is None else [F.min_by("page", stated).alias("first_page"), F.max_by("page", stated).alias("last_page")]
     return (
         chunks.withColumn("gap", gap).withColumn("island", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
         .groupBy("doc", "section", "island")
         .agg(
             F.min("index").alias("first"), F.max("index").alias("last"), F.max("score").alias("score"),
-            F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"),
+            F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"), *pages,
         )
         .drop("island")
     )

@@ -27,7 +27,7 @@ def _case(answer) -> str:
 
 @query("chunk_documents", None)
 def chunk_documents(spark, path):
-    return chunking.chunk_documents(table(spark, path, "documents")).select("doc_id", "index", "char_start", "char_end", F.length("content").cast("int").alias("chars"), "section")
+    return chunking.chunk_documents(table(spark, path, "documents")).select("doc_id", "index", "char_start", "char_end", F.length("content").cast("int").alias("chars"), F.md5(F.col("content").cast("binary")).alias("digest"), "page", "section")
 
 
 @query("simple_chunks", None)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import quota
+from ..operators import chunking, quota
 from ..operators import reports as ops
 from ..sources.tables import NOTICES_SQL, day_text, notices, table
 from .registry import query
@@ -170,18 +170,9 @@ def mode_section(spark, path):
     return ops.most_common(rows.where("section <> ''"), "source", "section", "page_id")
 
 
-@query(
-    "chunk_stats",
-    """WITH c AS (SELECT doc_id, length(text) AS n, ceil(length(text) / 800) AS k FROM documents WHERE length(text) > 0)
-    SELECT count(*) AS documents, sum(k)::BIGINT AS chunks, round(min(n / k), 6) AS least_average, round(max(n / k), 6) AS largest_average, round(avg(n / k), 6) AS average FROM c""",
-)
+@query("chunk_stats", None)  # packing is a fold over blocks: held against a plain version in the tests
 def chunk_stats(spark, path):
-    sizes = table(spark, path, "documents").where("length(text) > 0").select(F.length("text").alias("n")).withColumn("k", F.ceil(F.col("n") / 800))
-    a = F.col("n") / F.col("k")
-    return sizes.agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("k").cast("long").alias("chunks"), F.round(F.min(a), 6).alias("least_average"),
-        F.round(F.max(a), 6).alias("largest_average"), F.round(F.avg(a), 6).alias("average"),
-    )
+    return ops.chunk_stats(chunking.chunk_documents(table(spark, path, "documents")))
 
 
 @query(

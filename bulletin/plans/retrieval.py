@@ -202,6 +202,19 @@ def merge_adjacent(spark, path):
     return ops.merged(hits(spark, path).where("score >= 0.7"))
 
 
+@query(
+    "merged_page_ranges",
+    f"""WITH {HITS_SQL}, s AS (SELECT *, CASE WHEN (doc * 4 + index) % 5 > 0 THEN index + 1 END AS page FROM hits WHERE score >= 0.65),
+    g AS (SELECT *, index - row_number() OVER (PARTITION BY doc, section ORDER BY index) AS island FROM s)
+    SELECT doc, section, min(index) AS first, max(index) AS last, arg_min(page, index) FILTER (page IS NOT NULL) AS first_page, arg_max(page, index) FILTER (page IS NOT NULL) AS last_page
+    FROM g GROUP BY doc, section, island""",
+)
+def merged_page_ranges(spark, path):
+    page = F.when((F.col("doc") * 4 + F.col("index")) % 5 > 0, F.col("index") + 1)
+    rows = ops.merged(hits(spark, path).where("score >= 0.65").withColumn("page", page))
+    return rows.select("doc", "section", "first", "last", "first_page", "last_page")
+
+
 @query(
     "age_markers",
     f"""WITH {NOTICES_SQL}, d AS (SELECT id, published_at::DATE AS day FROM notices)

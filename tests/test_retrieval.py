@@ -81,3 +81,11 @@ def test_bm25_of_many_questions_is_that_of_one(spark):
     got = {(r.query_id, r.id): r.score for r in ops.bm25_scores(asked, docs).collect()}
     want = {(1, r.id): r.score for r in ops.bm25(docs.na.fill(""), ["the", "water"]).collect()} | {(2, r.id): r.score for r in ops.bm25(docs.na.fill(""), ["road"]).collect() if r.id == 1}
     assert got == want
+
+
+def test_merged_page_ranges(spark):
+    rows = [(1, 0, "s", None, "a"), (1, 1, "s", 3, "b"), (1, 2, "s", None, "c"), (1, 3, "s", 5, "d"), (1, 5, "s", None, "e"), (1, 6, "t", 7, "f")]
+    chunks = spark.createDataFrame([(*r, 0.5) for r in rows], "doc int, index int, section string, page int, content string, score double")
+    got = {(r.section, r["first"]): (r["last"], r.first_page, r.last_page, r.content) for r in ops.merged(chunks).collect()}
+    assert got == {("s", 0): (3, 3, 5, "a\nb\nc\nd"), ("s", 5): (5, None, None, "e"), ("t", 6): (6, 7, 7, "f")}
+    assert "first_page" not in ops.merged(chunks.drop("page")).columns
