@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 
-# Bands of progress in percent by stage.
-STAGES = {"queued": (0, 5), "extract": (5, 40), "chunk": (40, 50), "embed": (50, 95), "done": (100, 100)}
+# Bands of progress in percent by stage, and the share of a band shown while nothing can be measured.
+STAGES = {"queued": (0, 2), "extracting": (2, 45), "chunking": (45, 48), "embedding": (48, 90), "indexing": (90, 100), "done": (100, 100)}
+UNMEASURED = 0.15
 
 
 def settings(definitions: DataFrame, stored: DataFrame) -> DataFrame:
@@ -71,12 +72,16 @@ def daily_allowance(events: DataFrame, limit: int) -> DataFrame:
 
 
 def progress(stages: DataFrame) -> DataFrame:
-    """Percent of each step (``job``, ``seq``, ``stage``, ``share``), in its stage's band and never falling."""
+    """Whole percent of each step (``job``, ``seq``, ``stage``, ``share``), in its stage's band and never falling.
+
+    A step without a share lies ``UNMEASURED`` into its band; a late step of an earlier stage, and one of an
+    unknown stage or ``failed``, keeps the percentage there was (null if there was none).
+    """
     low = F.coalesce(*(F.when(F.col("stage") == s, F.lit(float(a))) for s, (a, _) in STAGES.items()))
     high = F.coalesce(*(F.when(F.col("stage") == s, F.lit(float(b))) for s, (_, b) in STAGES.items()))
-    own = low + (high - low) * F.least(F.greatest(F.col("share"), F.lit(0.0)), F.lit(1.0))
+    own = low + (high - low) * F.least(F.greatest(F.coalesce("share", F.lit(UNMEASURED)), F.lit(0.0)), F.lit(1.0))
     w = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return stages.withColumn("percent", F.round(F.max(own).over(w), 4))
+    return stages.withColumn("percent", F.max(F.bround(own)).over(w).cast("int"))
 
 
 def evicted(entries: DataFrame, as_of: str, ttl_s: int, most: int) -> DataFrame:

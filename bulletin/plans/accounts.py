@@ -69,14 +69,17 @@ def daily_allowance(spark, path):
 
 @query(
     "progress_percent",
-    """WITH b AS (SELECT event_id, user_id AS job, CASE event_type WHEN 'signup' THEN 5 * s WHEN 'click' THEN 5 + 35 * s WHEN 'view' THEN 40 + 10 * s WHEN 'error' THEN 50 + 45 * s ELSE 100 END AS own
-      FROM (SELECT *, least(greatest(value / 100, 0), 1) AS s FROM events))
-    SELECT event_id, round(max(own) OVER (PARTITION BY job ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS percent FROM b""",
+    """WITH s AS (SELECT event_id, user_id AS job, event_type, CASE WHEN event_id % 10 = 0 THEN 0.15::DOUBLE ELSE least(greatest(value / 100, 0), 1) END AS s FROM events),
+    b AS (SELECT event_id, job, round_even(CASE event_type WHEN 'signup' THEN 2 * s WHEN 'click' THEN 2 + 43 * s WHEN 'view' THEN 45 + 3 * s WHEN 'error' THEN 48 + 42 * s
+      WHEN 'purchase' THEN 90 + 10 * s END, 0) AS own FROM s)
+    SELECT event_id, max(own) OVER (PARTITION BY job ORDER BY event_id ROWS UNBOUNDED PRECEDING)::INT AS percent FROM b""",
 )
 def progress_percent(spark, path):
-    kind = F.col("event_type")
-    stage = F.when(kind == "signup", "queued").when(kind == "click", "extract").when(kind == "view", "chunk").when(kind == "error", "embed").otherwise("done")
-    rows = events(spark, path).select("event_id", F.col("user_id").alias("job"), F.col("event_id").alias("seq"), stage.alias("stage"), (F.col("value") / 100).alias("share"))
+    kind, stage = F.col("event_type"), None
+    for event, name in (("signup", "queued"), ("click", "extracting"), ("view", "chunking"), ("error", "embedding"), ("purchase", "indexing")):
+        stage = F.when(kind == event, name) if stage is None else stage.when(kind == event, name)
+    share = F.when(F.col("event_id") % 10 != 0, F.col("value") / 100)
+    rows = events(spark, path).select("event_id", F.col("user_id").alias("job"), F.col("event_id").alias("seq"), stage.alias("stage"), share.alias("share"))
     return ops.progress(rows).select("event_id", "percent")
 
 

@@ -7,10 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-# The part of the whole that each stage takes, in percent.
-BANDS = {"queued": (0, 2), "extracting": (2, 45), "chunking": (45, 48), "embedding": (48, 90), "indexing": (90, 100)}
-#: Share of a band that is shown while nothing can be measured.
-UNMEASURED = 0.15
+from ..operators.accounts import STAGES, UNMEASURED
+
+BANDS = {stage: band for stage, band in STAGES.items() if stage != "done"}
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 import time
 
+from bulletin.operators import accounts
 from bulletin.streaming.progress import StageProgress
 
 
@@ -61,3 +62,12 @@ def test_stream_reports(spark, tmp_path):
         assert listener.works["doc"].rows == {"chunking": 40, "indexing": 40}
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_batch_progress(spark):
+    steps = [("queued", None), ("extracting", 0.5), ("extracting", None), ("odd", 0.5), ("chunking", 0.5), ("extracting", 1.0), ("embedding", 2.0), ("failed", None), ("indexing", 0.05), ("done", None)]
+    rows = [("a", i, *s) for i, s in enumerate(steps)] + [("b", 0, "failed", None), ("b", 1, "queued", -1.0)]
+    df = spark.createDataFrame(rows, "job string, seq int, stage string, share double")
+    got = {(r.job, r.seq): r.percent for r in accounts.progress(df).collect()}
+    assert [got["a", i] for i in range(10)] == [0, 24, 24, 24, 46, 46, 90, 90, 90, 100]
+    assert [got["b", i] for i in range(2)] == [None, 0]
