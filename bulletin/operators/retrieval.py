@@ -47,10 +47,20 @@ def vector_blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFram
     return whole.mapInArrow(gather, "ids array<long>, flat array<float>")
 
 
-def nearest(k: int, floor: float | None):
-    """A task function on pairs of blocks: one matrix product a pair, ``k`` rows a query and block."""
+def nearest(k: int, floor: float | None, most: int = 500_000):
+    """A task function on pairs of blocks: one matrix product a pair; a task gives ``k`` rows a query for about ``most`` rows it found."""
+
+    def best_of(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        q, i, score = map(np.concatenate, zip(*held))
+        order = np.lexsort((i, -score, q))
+        q, i, score = q[order], i[order], score[order]
+        first = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - first < k
+        return [q[keep], i[keep], score[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             for asked, asked_flat, ids, flat in zip(*(batch.column(c) for c in ("query_ids", "query_flat", "ids", "flat"))):
                 q, i = (np.asarray(x.values, np.int64) for x in (asked, ids))
@@ -60,9 +70,16 @@ def nearest(k: int, floor: float | None):
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 found = np.take_along_axis(scores, best, 1).ravel()
                 columns = [np.repeat(q, best.shape[1]), i[best.ravel()], found]
-                if floor is not None:
-                    columns = [c[found >= floor] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+                held.append(columns if floor is None else [c[found >= floor] for c in columns])
+                size += len(held[-1][0])
+                if size >= most:
+                    held = [best_of(held)]
+                    size = len(held[0][0])
+                    if size >= most // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["query_id", "id", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(held)], names=["query_id", "id", "score"])
 
     return run
 
