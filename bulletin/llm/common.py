@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import sys
 import tempfile
 import uuid
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches, size_of  # noqa: F401
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
@@ -36,24 +37,6 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_of(setting: str) -> int:
-    """Bytes or rows of a Spark size setting such as ``64MB``, ``8m`` or ``10000``."""
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", setting.strip().lower()).groups()
-    return int(number) * 1024 ** " kmgtp".index(unit or " ")
-
-
-def bounded_batches(df: DataFrame, rows: int = 1000, most_bytes: int = 8 << 20) -> DataFrame:
-    """Whole texts go to Python in Arrow batches of at most so many rows and, about, bytes.
-
-    Lowers the session's limits (10,000 rows by default) and never raises them.
-    """
-    conf = df.sparkSession.conf
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
-        if not 0 < size_of(conf.get(key)) <= value:
-            conf.set(key, str(value))
-    return df
-
-
 def fresh_worker(user: str) -> None:
     """Give back what this Python worker holds for other operators: their models and freed memory.
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches
+
 SKIPPED = {"script", "style", "noscript", "template"}
 CHROME = {"nav", "header", "footer", "aside", "form"}
 MAIN = {"article", "main"}
@@ -106,7 +108,7 @@ def page_frame(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
 def pages(rows: DataFrame) -> DataFrame:
     """Pages (``page_id``, ``url``, ``html``) with what they hold."""
     page_struct = F.pandas_udf(page_frame, PAGE_SCHEMA)
-    return rows.withColumn("p", page_struct("url", "html")).select("page_id", "url", "p.*")
+    return bounded_batches(rows).withColumn("p", page_struct("url", "html")).select("page_id", "url", "p.*")
 
 
 def main_text(least: int = 80) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.batches import bounded_batches
 from ..functions.columns import let
 from ..functions.text import clean
 
@@ -129,7 +130,7 @@ def page_trees(rows: DataFrame, batch: int = 64) -> DataFrame:
                 columns = [*(part.column(c) for c in ("page_id", "url", "html")), pa.array([n for n, _ in trees], pa.list_(NODE)), pa.array([s for _, s in trees], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "html", "nodes", "strings"])
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, f"page_id long, url string, html string, nodes {NODES_DDL}, strings array<string>")
+    return bounded_batches(rows).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, f"page_id long, url string, html string, nodes {NODES_DDL}, strings array<string>")
 
 
 def inside(x: Column, holder: Column) -> Column:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches
+
 #: Constants of rank fusion and of BM25.
 FUSION_K, K1, B = 60, 1.2, 0.75
 # The least score, and how far under the best score a result may lie.
@@ -96,7 +98,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | No
     """
     asked = vector_blocks(queries, "query_id", "query", block // 4).toDF("query_ids", "query_flat")
     pairs = vector_blocks(vectors, "id", "vector", block).crossJoin(asked)
-    return ranked(pairs.mapInArrow(nearest(k, floor), NEAREST), "query_id", "score", "id", k)
+    return ranked(bounded_batches(pairs).mapInArrow(nearest(k, floor), NEAREST), "query_id", "score", "id", k)
 
 
 def category_blocks(rows: DataFrame, key: str, vector: str, size: int, asked: bool) -> DataFrame:
@@ -132,7 +134,7 @@ def category_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1
     searched = category_blocks(vectors, "id", "vector", block, False).withColumn("salt", F.pmod(F.hash("ids"), F.lit(salts)))
     same = (asked["any"] == searched["any"]) & asked["category"].eqNullSafe(searched["category"]) & (asked["salt"] == searched["salt"])
     pairs = searched.join(asked, same).select("query_ids", "query_flat", "ids", "flat")
-    return ranked(pairs.mapInArrow(nearest(k, None), NEAREST), "query_id", "score", "id", k)
+    return ranked(bounded_batches(pairs).mapInArrow(nearest(k, None), NEAREST), "query_id", "score", "id", k)
 
 
 def notice_leg(questions: DataFrame, notices: DataFrame, k: int, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
