@@ -56,13 +56,26 @@ def valid(kind: Column, value: Column, options: Column, least: Column, most: Col
 
 
 def rate_limited(events: DataFrame, seconds: int, most: int, cooldown: int) -> DataFrame:
-    """Events of a client that exceed ``most`` in the window before, or follow the last within the cooldown."""
-    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("client").orderBy("at")
-    rows = events.withColumn("at", at)
-    within = F.count(F.lit(1)).over(w.rangeBetween(-seconds, -1))
-    last = F.max("at").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("limited", (within >= most) | F.coalesce(F.col("at") - last < cooldown, F.lit(False))).drop("at")
+    """Events of a client that exceed ``most`` in the window before, or follow the last within the cooldown.
+
+    An event enters the window in its own second and leaves it ``seconds`` later, so one running sum in time
+    order gives what is inside.  A client's time is cut into spans as long as the look-back, each led by one row
+    for the span before it, which bounds what one task sorts.  Events without a time count one another.
+    """
+    span = max(seconds, cooldown)
+    rows = events.withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    at, none = F.col("at"), F.lit(None).cast("long")
+    own, left = F.floor(at / span), F.floor((at + seconds) / span)
+    event = F.struct(*events.columns)
+    mark = lambda event, span, t, change, seen: F.struct(event.alias("event"), span.alias("span"), t.alias("t"), F.lit(change).alias("change"), seen.alias("seen"))
+    marks = rows.select("client", F.explode(F.array(mark(event, own, at, 1, at), mark(F.lit(None), left, at + seconds, -1, none))).alias("m"))
+    marks = marks.select("client", "m.*").where("event IS NOT NULL OR t IS NOT NULL")
+    before = rows.where("at IS NOT NULL").groupBy("client", (own + 1).alias("span")).agg(F.count_if(left > own).cast("int").alias("change"), F.max("at").alias("seen"))
+    marks = marks.unionByName(before.withColumn("t", F.col("span") * span - 1), allowMissingColumns=True)
+    w = Window.partitionBy("client", "span").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    told = marks.select("event", "t", F.sum("change").over(w).alias("within"), F.max("seen").over(w).alias("last")).where("event IS NOT NULL")
+    limited = F.coalesce(F.col("within") >= most, F.lit(most <= 0)) | F.coalesce(F.col("t") - F.col("last") < cooldown, F.lit(False))
+    return told.select("event.*", limited.alias("limited"))
 
 
 def daily_allowance(events: DataFrame, limit: int) -> DataFrame:
