@@ -77,7 +77,26 @@ def live_heads(sets: DataFrame, percent: int) -> DataFrame:
     return heads.join(shapes, "set_id").select("set_id", "n", "last", "head")
 
 
-def open_lists(heads: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+POSTING = ["token", "set_id", "n", "last", "reach", "comp"]
+
+
+def postings(heads: DataFrame, percent: int) -> DataFrame:
+    """A row for each shared n-gram of each class; ``reach`` is what is live in its prefix from there on and all behind."""
+    rows = heads.select("set_id", "n", "last", F.size("head").alias("held"), F.posexplode("head").alias("place", "token"))
+    reach = F.col("held") - F.col("place") + behind(F.col("n"), percent)
+    return rows.withColumns({"reach": reach, "comp": F.col("set_id")}).select(POSTING)
+
+
+def relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of the turn before with the components of now.
+
+    Those that a turn left out can link with none in any later one, as components only grow.
+    """
+    found = small(labels.select(F.col("id").alias("set_id"), "label"))
+    return lists.select(POSTING).join(found, "set_id", "left").withColumn("comp", F.coalesce("label", "comp")).select(POSTING)
+
+
+def open_lists(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Postings of lists that still hold different components, less those that can link with none.
 
     A class can link with those of at most ``cap`` n-grams where its prefix ends first, so a row
@@ -85,12 +104,6 @@ def open_lists(heads: DataFrame, labels: DataFrame | None, turn: int, percent: i
     ``hub`` is the class that a star of this turn has in its middle: in the first turn the one
     that shares most of its n-grams, as an original does, then random ones; ``list_n`` counts rows.
     """
-    rows = heads.withColumn("comp", F.col("set_id"))
-    if labels is not None:
-        found = small(labels.select(F.col("id").alias("set_id"), "label"))
-        rows = heads.join(found, "set_id", "left").withColumn("comp", F.coalesce("label", "set_id"))
-    rows = rows.select("set_id", "n", "last", "comp", F.size("head").alias("held"), F.posexplode("head").alias("place", "token"))
-    rows = rows.select("token", "set_id", "n", "last", (F.col("held") - F.col("place") + behind(F.col("n"), percent)).alias("reach"), "comp")
     order = -(F.col("reach") / F.col("n")) if turn == 0 else F.xxhash64("set_id", F.lit(turn)).cast("double")
     cap = F.floor((100 + percent) * F.col("reach") / percent) - F.col("n")
     seen = per_token(
@@ -99,24 +112,21 @@ def open_lists(heads: DataFrame, labels: DataFrame | None, turn: int, percent: i
         hub=F.min(F.struct(order.alias("o"), F.xxhash64("set_id").alias("r"), "set_id", "n", "last", "reach", "comp")),
     )
     kept = (F.col("lo") < F.col("hi")) & ((cap >= F.col("least_n")) | (F.col("n") <= F.col("most_cap")))
-    return seen.where(kept).select(*rows.columns, "list_n", "hub")
+    return seen.where(kept).select(*POSTING, "list_n", "hub")
 
 
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with one hub of its lists, of another component, that it can link with."""
+    """Each class (``a``) with one hub (``b``) of its lists, of another component, that it can link with."""
     rows = lists.where((F.col("comp") != F.col("hub.comp")) & can_link(F.col, lambda c: F.col(f"hub.{c}"), percent))
     best = rows.groupBy("set_id", "n").agg(F.min("hub").alias("hub"))
-    return best.select(
-        F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b"), (F.col("n") + F.col("hub.n")).alias("n")
-    ).distinct()
+    return best.select(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b"), (F.col("n") + F.col("hub.n")).alias("n"))
 
 
 def rest_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share a list and can link."""
-    columns = ["token", "set_id", "n", "last", "reach", "comp"]
-    left = lists.select("token", *(F.col(c).alias(f"l_{c}") for c in columns[1:]))
+    left = lists.select("token", *(F.col(c).alias(f"l_{c}") for c in POSTING[1:]))
     return (
-        left.join(lists.select(columns), "token")
+        left.join(lists.select(POSTING), "token")
         .where((F.col("l_comp") < F.col("comp")) & can_link(F.col, lambda c: F.col(f"l_{c}"), percent))
         .select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b"), (F.col("l_n") + F.col("n")).alias("n"))
         .distinct()
@@ -133,16 +143,24 @@ def with_prefix_overlap(pairs: DataFrame, heads: DataFrame, percent: int) -> Dat
 
 
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, order, size: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs that link: overlaps are counted in each fragment and summed per pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
-    wanted = small(stored(wanted.select("key", "set_id"), "jaccard-wanted"))
-    rows = texts.join(wanted, "key")
-    segments = stored(shingles.segments(rows, order, size, fragments), "jaccard-segments")
-    side = lambda k: segments.select(F.col("set_id").alias(k), "fragment", F.col("keys").alias(f"keys_{k}"))
+    """The pairs that link: overlaps are counted in each fragment and summed per pair.
+
+    The n-grams of ``a`` move once to each of its partners, those of ``b`` once in all.
+    """
+    partner = "array<struct<b:bigint,n:int>>"
+    sent = pairs.groupBy(F.col("a").alias("set_id")).agg(F.collect_list(F.struct("b", "n")).cast(partner).alias("partners"))
+    met = pairs.select(F.col("b").alias("set_id")).distinct().withColumn("partners", F.array().cast(partner))
+
+    def keys(wanted: DataFrame, name: str) -> DataFrame:
+        wanted = small(stored(wanted.join(classes, "set_id").select("key", "set_id", "partners"), name))
+        return shingles.segments(texts.join(wanted, "key"), order, size, fragments)
+
+    a = keys(sent, "jaccard-sent").select(F.col("set_id").alias("a"), F.explode("partners").alias("to"), "fragment", F.col("keys").alias("keys_a"))
+    b = keys(met, "jaccard-met").select(F.col("set_id").alias("b"), "fragment", F.col("keys").alias("keys_b"))
     part = F.max(F.size(F.array_intersect("keys_a", "keys_b"))).alias("part")  # repeated rows give equal parts
     return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), ["b", "fragment"])
+        a.select("a", "to.b", "to.n", "fragment", "keys_a")
+        .join(b, ["b", "fragment"])
         .groupBy("a", "b", "n", "fragment")
         .agg(part)
         .groupBy("a", "b", "n")
@@ -172,9 +190,9 @@ def near_duplicates(
     heads = stored(live_heads(sets, percent), "jaccard-heads")
     links, labels = spark.createDataFrame([], "a long, b long"), None
     most = 3 * (heads.agg(F.sum(F.size("head"))).first()[0] or 0)
-    turn, before = 0, None
+    turn, before, rows = 0, None, postings(heads, percent)
     while True:
-        lists = stored(open_lists(heads, labels, turn, percent), "jaccard-lists")
+        lists = stored(open_lists(rows, turn, percent), "jaccard-lists")
         left = (lists.agg(F.sum("list_n")).first()[0] or 0) / 2
         if not left:
             break
@@ -185,7 +203,7 @@ def near_duplicates(
         labels = components(links)
         if last:
             break
-        turn, before = turn + 1, left
+        turn, before, rows = turn + 1, left, relabelled(lists, labels)
     if labels is None:
         labels = spark.createDataFrame([], "id long, label long")
     rows = sets.select("doc_id", "n_shingles", "set_id").join(labels, sets["set_id"] == labels["id"], "left")

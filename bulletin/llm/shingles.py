@@ -200,21 +200,20 @@ def pivots(fragments: int) -> np.ndarray:
 
 
 def segments(texts: DataFrame, classes: np.ndarray, size: int, fragments: int) -> DataFrame:
-    """(set_id, fragment, keys): each text's keys cut at the pivots; empty segments are left out.
+    """(set_id, partners, fragment, keys): each text's keys cut at the pivots; empty segments are left out.
 
     A row whose text does not have the set of its ``set_id`` (another row of that id) gives none.
     """
     shared = texts.sparkSession.sparkContext.broadcast(classes)
     cuts = pivots(fragments)
-    schema = pa.schema([("set_id", pa.int64()), ("fragment", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker("shingles")
         table = shared.value
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                ids, numbers, sizes, values = [], [], [], []
-                for set_id, hashes in zip(batch.column("set_id").to_pylist(), shingle_hashes(raw_texts(batch), size)):
+                rows, numbers, sizes, values = [], [], [], []
+                for row, (set_id, hashes) in enumerate(zip(batch.column("set_id").to_pylist(), shingle_hashes(raw_texts(batch), size))):
                     keys = keys_of(hashes, table)
                     if set_hash(keys) != set_id:
                         continue
@@ -222,11 +221,14 @@ def segments(texts: DataFrame, classes: np.ndarray, size: int, fragments: int) -
                     edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
                     for k, (i, j) in enumerate(zip(edges, edges[1:])):
                         if j > i:
-                            ids.append(set_id)
+                            rows.append(row)
                             numbers.append(k)
                             sizes.append(j - i)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), lists], schema=schema)
+                own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("set_id", "partners")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), lists], names=["set_id", "partners", "fragment", "keys"])
 
-    return texts.select("set_id", "text").mapInArrow(run, "set_id long, fragment int, keys array<long>")
+    return texts.select("set_id", "partners", "text").mapInArrow(
+        run, "set_id long, partners array<struct<b:bigint,n:int>>, fragment int, keys array<long>"
+    )

@@ -78,6 +78,30 @@ def test_jaccard_large_group(documents):
     assert got == brute(rows)
 
 
+def test_jaccard_keys_move_once(spark, documents, monkeypatch):
+    """Key sets are not stored, and move for their pair alone, once a side, where Spark shuffles all joins."""
+    rng, seen = random.Random(3), []
+    bases = [" ".join(f"b{rng.randrange(10**6)}" for _ in range(80)) for _ in range(8)]
+    rows = [(i, mutated(rng, rng.choice(bases), rng.randrange(0, 6))) for i in range(1, 80)]
+    keep = jaccard.stored
+
+    def watched(df, name, *more):
+        seen.append((name, df.dtypes, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return keep(df, name, *more)
+
+    monkeypatch.setattr(jaccard, "stored", watched)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(tuple(r) for r in jaccard.near_duplicates(documents(rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == brute(rows)
+    assert not [name for name, types, _ in seen if "keys" in dict(types)]
+    shuffles = [n for name, _, n in seen if name == "jaccard-links"]
+    assert len(shuffles) > 1 and max(shuffles) <= 4  # two sides, then pairs a fragment and pairs
+
+
 def test_jaccard_nulls_and_empty(documents):
     rows = [(1, None), (2, ""), (3, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, None)]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(documents(rows)).collect())
