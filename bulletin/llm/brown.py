@@ -11,8 +11,10 @@ discounted and backed off to the class's own frequency, times that of the word i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .common import bounded_batches, id_bucket, slices, stored, table, text_byte
 END = b""  # no word is empty
 LONGEST_WORD = 1024
 DISCOUNT = 0.5
+#: Groups of words whose counts one task sums, and codes that a task counts together.
+BLOCKS, CODES = 128, 3_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -38,7 +42,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all rows; tasks pre-aggregate in a bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def take() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
@@ -47,11 +51,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
             counts.clear()
             return out
 
-        get = counts.get
         for batch in batches:
             for text in batch.column("text"):
-                for word in words_of(text.as_py()):
-                    counts[word] = get(word, 0) + 1
+                counts.update(words_of(text.as_py()))
                 if len(counts) > 500_000:
                     yield take()
         yield take()
@@ -88,12 +90,18 @@ def frequent_words(vocabulary: DataFrame, most: int, most_bytes: int = 1 << 24)
 
 
 SEQUENCES = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.binary()))]
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary()))]
 )
 
 
+def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the rows, and where each row's end."""
+    ids = batch.column("ids")
+    return np.frombuffer(b"".join(ids.to_pylist()), np.int32), np.cumsum(pc.binary_length(ids).to_numpy()) // 4
+
+
 def sequences(texts: DataFrame, words: list[bytes]) -> DataFrame:
-    """Each text as places in the word table (its size for all others), with the other words."""
+    """Each text as places in the word table (its size for all others; bytes of 32-bit integers), with the other words."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +110,8 @@ def sequences(texts: DataFrame, words: list[bytes]) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 split = [words_of(t) for t in batch.column("text").to_pylist()]
-                flat = [w for words in split for w in words]
-                ids = np.fromiter((place.get(w, beyond) for w in flat), np.int32, len(flat))
+                flat = list(chain.from_iterable(split))
+                ids = np.fromiter(map(place.get, flat, repeat(beyond)), np.int32, len(flat))
                 ends = np.concatenate([[0], np.cumsum([len(w) for w in split])])
                 at = np.flatnonzero(ids == beyond)
                 rare = pa.array([flat[i] for i in at.tolist()], pa.binary())
@@ -113,14 +121,14 @@ def sequences(texts: DataFrame, words: list[bytes]) -> DataFrame:
                         batch.column("row"),
                         batch.column("doc_id"),
                         batch.column("learn"),
-                        pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids)),
+                        pa.array([ids[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary()),
                         pa.ListArray.from_arrays(rare_ends, rare),
                     ],
                     schema=SEQUENCES,
                 )
 
     return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "learn", "text").mapInArrow(
-        run, "row long, doc_id long, learn boolean, ids array<int>, rare array<binary>"
+        run, "row long, doc_id long, learn boolean, ids binary, rare array<binary>"
     )
 
 
@@ -134,12 +142,10 @@ def around(rows: DataFrame, m: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            ids, words = lists.flatten().to_numpy(), batch.column("rare").flatten()
+            (ids, ends), words = ids_of(batch), batch.column("rare").flatten()
             at = np.flatnonzero(ids == m)
             if not len(at):
                 continue
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             owner = np.searchsorted(ends, at, "right")
             before, after = ids[at - 1], ids[at + 1]  # the end token comes before and after each text
             earlier = pa.array(np.maximum(np.arange(len(at)) - 1, 0), mask=before != m)
@@ -167,7 +173,7 @@ def counted(rows: DataFrame, codes_of) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
         for batch in batches:
-            ids = batch.column("ids").flatten().to_numpy()
+            ids, _ = ids_of(batch)
             if len(ids):
                 held.append(codes_of(np.concatenate([ids[-1:], ids[:-1]]), ids))  # every text ends with the end token
             if sum(map(len, held)) > 3_000_000:
@@ -177,6 +183,91 @@ def counted(rows: DataFrame, codes_of) -> DataFrame:
     return rows.select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers as bytes, all lowest ones first, which compress well."""
+    return np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def summed(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order with the sums of their counts."""
+    every, counts = np.concatenate([*codes, np.empty(0, np.int64)]), np.concatenate([*n, np.empty(0, np.int64)])
+    if not len(every):
+        return every, counts
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    starts = np.flatnonzero(np.diff(every, prepend=every[0] - 1))
+    return every[starts], np.add.reduceat(counts[order], starts)
+
+
+def in_blocks(rows: DataFrame, codes_of: Callable[[pa.RecordBatch], np.ndarray], width: int) -> DataFrame:
+    """(block, codes, n): how often each code occurs that ``codes_of`` gives for the batches.
+
+    Each task packs the codes of a block of words, a word's being ``width`` codes in succession.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def take() -> Iterator[pa.RecordBatch]:
+            codes, n = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+            held.clear()
+            block = codes // width % BLOCKS
+            order = np.argsort(block, kind="stable")
+            codes, n, edges = codes[order], n[order], np.searchsorted(block[order], np.arange(BLOCKS + 1))
+            for start in range(0, BLOCKS, 16):
+                parts = [(b, edges[b], edges[b + 1]) for b in range(start, start + 16) if edges[b] < edges[b + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b for b, _, _ in parts], pa.int32()),
+                        pa.array([planes(np.diff(codes[i:j], prepend=0)) for _, i, j in parts], pa.binary()),
+                        pa.array([planes(n[i:j]) for _, i, j in parts], pa.binary()),
+                    ],
+                    names=["block", "codes", "n"],
+                )
+
+        for batch in batches:
+            held.append(codes_of(batch))
+            if sum(map(len, held)) > CODES:
+                yield from take()
+        yield from take()
+
+    return rows.mapInArrow(run, "block int, codes binary, n binary")
+
+
+def summed_blocks(blocks: DataFrame, result: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``result`` makes of the codes of some whole blocks and their counts; a task holds each code once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n = [], []
+        for batch in batches:
+            for packed, counts in zip(batch.column("codes").to_pylist(), batch.column("n").to_pylist()):
+                codes.append(np.cumsum(from_planes(packed)))
+                n.append(from_planes(counts))
+                if sum(map(len, codes[1:])) > max(CODES, len(codes[0])):
+                    codes, n = ([x] for x in summed(codes, n))
+        yield result(*summed(codes, n))
+
+    return blocks.repartition(BLOCKS, "block").select("codes", "n").mapInArrow(run, schema)
+
+
+def beside(codes_of) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """The codes that ``codes_of`` gives for (previous ids, ids) of a batch of sequences."""
+
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        ids, _ = ids_of(batch)
+        return codes_of(np.concatenate([ids[-1:], ids[:-1]]), ids)  # every text ends with the end token
+
+    return codes
+
+
+def code_counts(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -256,24 +347,19 @@ def best(owner: np.ndarray, codes: np.ndarray, n: np.ndarray, words: int, log_ne
     return out
 
 
-def best_class(contexts: DataFrame, log_next: np.ndarray, class_n: np.ndarray) -> DataFrame:
-    """(word, class) of table words from their contexts: code = word x (2 x classes + 1) + a neighbour's code.
+def best_class(blocks: DataFrame, log_next: np.ndarray, class_n: np.ndarray) -> DataFrame:
+    """(word, class) of table words from the blocks of their contexts: code = word x (2 x classes + 1) + a neighbour's code.
 
-    A word has at most two rows a class, so its group is bounded.
+    A word has at most two codes a class, so what a task holds is bounded.
     """
-    n = 2 * len(class_n) + 1
+    width = 2 * len(class_n) + 1
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("rows")
-            rows, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
-            codes, counts = rows.field("code").to_numpy() % n, rows.field("n").to_numpy()
-            chosen = best(owner, codes, counts, batch.num_rows, log_next, class_n)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(chosen)], names=["word", "class"])
+    def choose(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        words, owner = np.unique(codes // width, return_inverse=True)
+        chosen = best(owner, codes % width, n, len(words), log_next, class_n)
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(chosen)], names=["word", "class"])
 
-    word = F.floor(F.col("code") / n).alias("word")
-    grouped = contexts.groupBy(word).agg(F.collect_list(F.struct("code", "n")).alias("rows"))
-    return grouped.mapInArrow(choose, "word long, class int")
+    return summed_blocks(blocks, choose, "word long, class int")
 
 
 def rare_contexts(pairs: DataFrame, rare: DataFrame, c: int) -> DataFrame:
@@ -321,12 +407,18 @@ def rare_best(
 
 
 def beside_rare(rare: DataFrame, k: int, m: int, c: int) -> DataFrame:
-    """(code, n): contexts of the table words from ``k`` on that neighbours beyond the table give."""
-    n = 2 * c + 1
-    before = rare.select(F.explode("before").alias("id"), (F.col("class") + c).alias("near"))
-    after = rare.select(F.explode("after").alias("id"), F.col("class").alias("near"))
-    code = (F.col("id").cast("long") * n + F.col("near")).alias("code")
-    return before.unionByName(after).where(F.col("id").between(k, m - 1)).groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+    """Blocks of contexts of the table words from ``k`` on that neighbours beyond the table give."""
+
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        classes, out = batch.column("class").to_numpy(), []
+        for name, shift in (("before", c), ("after", 0)):
+            lists = batch.column(name)
+            ids, own = lists.flatten().to_numpy(zero_copy_only=False), classes[pc.list_parent_indices(lists).to_numpy()]
+            inside = (ids >= k) & (ids < m)
+            out.append(ids[inside].astype(np.int64) * (2 * c + 1) + own[inside] + shift)
+        return np.concatenate(out)
+
+    return in_blocks(rare.select("before", "after", "class"), codes, 2 * c + 1)
 
 
 def transitions(pairs: np.ndarray) -> np.ndarray:
@@ -388,7 +480,7 @@ def fit(
         both = (before < k) & (ids < k)
         return before[both].astype(np.int64) * k + ids[both]
 
-    found = counted(learn, inner).toArrow()  # at most k x k rows
+    found = summed_blocks(in_blocks(learn.select("ids"), beside(inner), k), code_counts, "code long, n long").toArrow()  # at most k x k rows
     bigrams = np.zeros(k * k, np.int64)
     bigrams[found["code"].to_numpy()] = found["n"].to_numpy()
     top = exchange(bigrams.reshape(k, k), n_classes)
@@ -413,7 +505,7 @@ def fit(
 
         natural, class_n = transitions(pairs) * np.log(10), pairs.sum(1) + 1
         if m > k:
-            seen = counted(learn, contexts)
+            seen = in_blocks(learn.select("ids"), beside(contexts), 2 * c + 1)
             seen = seen.unionByName(beside_rare(rare, k, m, c)) if sweep else seen
             chosen = best_class(seen, natural, class_n).toArrow()
             classes[chosen["word"].to_numpy()] = chosen["class"].to_numpy()
@@ -492,9 +584,7 @@ def score(rows: DataFrame, model: BrownModel) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("ids")
-            ids = lists.flatten().to_numpy()
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            ids, ends = ids_of(batch)
             starts = np.concatenate([[0], ends[:-1]])
             classes = of_word[ids]
             before = np.concatenate([ids[-1:], ids[:-1]])  # the end token before each text

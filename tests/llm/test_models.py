@@ -124,6 +124,21 @@ def test_brown_words_beyond_the_table_get_classes(documents):
     assert found == {(1, 2, model.classes[4]), (1, 3, model.classes[5])}
 
 
+def test_brown_counts_meet_in_blocks(spark, documents, monkeypatch):
+    """Contexts of table words come as one row a task and block, whatever their number, and are summed exactly."""
+    monkeypatch.setattr(brown, "CODES", 500)
+    rng = np.random.default_rng(2)
+    docs = documents([(i, " ".join(f"w{k}" for k in rng.integers(0, 300, 200))) for i in range(40)]).repartition(2)
+    words = [brown.END, *(b"w%d" % i for i in range(300))]
+    rows = brown.sequences(docs.selectExpr("doc_id", "true AS learn", "cast(text AS binary) AS text"), words).localCheckpoint()
+    width, ids = 301, {r.doc_id: np.frombuffer(r.ids, np.int32) for r in rows.collect()}
+    expected = Counter(int(b) * width + int(a) for x in ids.values() for a, b in zip([0, *x[:-1]], x))
+    blocks = brown.in_blocks(rows.select("ids"), brown.beside(lambda before, own: own.astype(np.int64) * width + before), width)
+    assert blocks.groupBy("block").count().count() == brown.BLOCKS
+    got = brown.summed_blocks(blocks, brown.code_counts, "code long, n long").collect()
+    assert {r.code: r.n for r in got} == expected and len(got) == len(expected)
+
+
 def test_brown_table_is_filled_when_counts_tie(spark):
     vocabulary = spark.createDataFrame([(b"%d" % i, 3) for i in range(5000)] + [(b"x" * 100, 9)], "word binary, c long")
     got = brown.frequent_words(vocabulary, 2000)
