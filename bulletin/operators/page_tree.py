@@ -19,6 +19,7 @@ from ..functions import urls
 from ..functions.batches import bounded_batches
 from ..functions.columns import let
 from ..functions.text import clean
+from ..sources.folders import shuffled
 
 # Elements that never hold content, words of navigation, rows, page furniture and
 # pagers in classes and ids, selectors of article bodies and of viewers, paths of downloads,
@@ -343,7 +344,8 @@ def detected_listings(trees: DataFrame) -> DataFrame:
 
 def read_listings(trees: DataFrame, schemas: DataFrame) -> DataFrame:
     """The rows of each page by its own detected selectors: title, detail link, date, attachment."""
-    both = trees.join(schemas.select("page_id", *[F.col(c).alias(f"{c}_") for c in ("base", "title", "detail", "published", "attachment")]), "page_id")
+    schemas = schemas.select("page_id", *[F.col(c).alias(f"{c}_") for c in ("base", "title", "detail", "published", "attachment")])
+    both = trees.join(shuffled(schemas), "page_id")
     fields = [("title", F.col("title_"), None), ("detail_href", F.col("detail_"), "href"), ("published_raw", F.col("published_"), None), ("attachment_href", F.col("attachment_"), "href")]
     return listing_rows(both, F.col("base_"), fields)
 

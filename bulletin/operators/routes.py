@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.columns import let
-from ..sources.folders import written
+from ..sources.folders import shuffled, written
 from . import page_tree
 
 # Words of lists in addresses and link texts with their categories, words of pages that
@@ -110,10 +110,10 @@ def scored_links(trees: DataFrame, nav: bool = True) -> DataFrame:
 def row_counts(pages: DataFrame, routes: DataFrame) -> DataFrame:
     """(site_id, key, rows): of fetched routes, how many rows of the page's detected listing lead to articles of the site (``base``)."""
     wanted = routes.select("site_id", "base", "key", F.col("url").alias("route_url")).distinct()
-    fetched = pages.join(wanted, "key").withColumn("page_id", F.xxhash64("site_id", "key"))
+    fetched = pages.join(shuffled(wanted), "key").withColumn("page_id", F.xxhash64("site_id", "key"))
     fetched = written(fetched.select("page_id", "site_id", "key", "base", F.col("route_url").alias("url"), "html"), "routes-fetched")
     trees = page_tree.page_trees(fetched)
-    rows = page_tree.read_listings(trees, page_tree.detected_listings(trees)).join(fetched.select("page_id", "site_id", "key", "base"), "page_id")
+    rows = page_tree.read_listings(trees, page_tree.detected_listings(trees)).join(shuffled(fetched.select("page_id", "site_id", "key", "base")), "page_id")
     rows = rows.withColumn("target", urls.absolute("base", "detail_href"))
     article = urls.is_article(urls.article_reason("target", F.col("base"))) & (bare(F.col("target")) != F.col("key"))
     return rows.where(F.col("target").isNotNull() & article).groupBy("site_id", "key").agg(F.count(F.lit(1)).alias("rows"))
@@ -121,7 +121,7 @@ def row_counts(pages: DataFrame, routes: DataFrame) -> DataFrame:
 
 def verified(routes: DataFrame, pages: DataFrame) -> DataFrame:
     """``routes`` with ``rows`` and ``verified``; three rows or more prove a list and add up to 15 to the score."""
-    out = routes.join(row_counts(pages, routes), ["site_id", "key"], "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    out = routes.join(shuffled(row_counts(pages, routes)), ["site_id", "key"], "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
     proved = F.col("rows") >= MIN_ROWS
     return out.withColumns({"verified": proved, "score": F.when(proved, F.col("score") + F.least("rows", F.lit(15))).otherwise(F.col("score"))})
 
@@ -147,10 +147,10 @@ def discovered(sites: DataFrame, pages: DataFrame) -> DataFrame:
         "site_id", F.concat(F.regexp_replace("base", "/+$", ""), "g.path").alias("url"), "g.category", F.lit(None).cast("string").alias("label"), F.lit(2.0).alias("score"), (F.col("i") + 1_000_000).alias("place")
     )
     strong = linked.groupBy("site_id", "category").agg(F.max("score").alias("most")).where("most >= 6")
-    guesses = guesses.withColumn("key", bare(F.col("url"))).join(strong, ["site_id", "category"], "left_anti").join(linked, ["site_id", "key"], "left_anti")
-    candidates = linked.select(*FOUND).unionByName(guesses.select(*FOUND)).join(bases, "site_id")
+    guesses = guesses.withColumn("key", bare(F.col("url"))).join(shuffled(strong), ["site_id", "category"], "left_anti").join(shuffled(linked), ["site_id", "key"], "left_anti")
+    candidates = linked.select(*FOUND).unionByName(guesses.select(*FOUND)).join(shuffled(bases), "site_id")
     best_first = Window.partitionBy("site_id").orderBy(F.desc("score"), "place")
-    ranked = candidates.withColumn("rank", F.row_number().over(best_first))
+    ranked = written(candidates.withColumn("rank", F.row_number().over(best_first)), "routes-candidates")
     top = written(verified(ranked.where(F.col("rank") <= MOST_VERIFIED), pages), "routes-ranked")
     every = top.unionByName(ranked.where(F.col("rank") > MOST_VERIFIED).withColumns({"rows": F.lit(0).cast("long"), "verified": F.lit(False)}))
     parents = top.where("NOT verified AND score >= 5").withColumn("turn", F.row_number().over(Window.partitionBy("site_id").orderBy("rank"))).where(F.col("turn") <= MOST_PARENTS)
@@ -158,9 +158,9 @@ def discovered(sites: DataFrame, pages: DataFrame) -> DataFrame:
     for turn in range(1, MOST_PARENTS + 1):
         # A later parent sees what an earlier one has found.
         mine = parents.where(F.col("turn") == turn)
-        opened = written(mine.join(pages, mine["parent_key"] == pages["key"]).select(F.col("site_id").alias("page_id"), F.col("parent").alias("url"), "html"), "routes-opened")
-        links = scored_links(page_tree.page_trees(opened), nav=False).withColumnRenamed("page_id", "site_id").join(mine, "site_id").where("category = parent_category")
-        links = links.join(every.select("site_id", "key"), ["site_id", "key"], "left_anti")
+        opened = written(mine.join(shuffled(pages), mine["parent_key"] == pages["key"]).select(F.col("site_id").alias("page_id"), F.col("parent").alias("url"), "html"), "routes-opened")
+        links = scored_links(page_tree.page_trees(opened), nav=False).withColumnRenamed("page_id", "site_id").join(shuffled(mine), "site_id").where("category = parent_category")
+        links = links.join(shuffled(every.select("site_id", "key")), ["site_id", "key"], "left_anti")
         tried = links.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= MOST_CHILDREN)
         proved = verified(tried.select(*FOUND, "base", "rank"), pages).where("verified")
         child = proved.withColumn("first", F.row_number().over(Window.partitionBy("site_id").orderBy("rank"))).where("first = 1").drop("first")

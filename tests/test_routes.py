@@ -52,3 +52,15 @@ def test_discovery(spark):
     ]
     assert not [r for r in rows if r.site_id != 1]
     assert routes.discovered(sites.limit(0), fetched).count() == 0 and routes.discovered(sites.where(F.lit(False)), fetched.limit(0)).count() == 0
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    plans, write = [], routes.written
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(routes, "written", lambda df, name: planned(df) or write(df, name))
+    sites = spark.range(300).select(F.col("id").alias("site_id"), F.lit("https://a.org/").alias("base"), F.lit("<a href='/notices'>Notices</a>").alias("html"))
+    fetched = spark.createDataFrame([("https://a.org/notices", listing("/n/1/a", "/n/2/b"))], "url string, html string")
+    found = routes.discovered(sites, fetched)
+    planned(found)
+    assert found.count() == 300 and len(plans) > 8
+    assert not [p for p in plans if "Broadcast" in p]
